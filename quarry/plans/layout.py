@@ -29,29 +29,32 @@ def _default_parts(df: DataFrame) -> int:
 
 def running_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: str,
                 inclusive: bool = True, num_blocks: int | None = None,
-                checkpoint: bool = True) -> DataFrame:
-    """Global running sum of ``value_col`` in ``order_cols`` order.
+                checkpoint: bool = True, partition_cols: list[str] | None = None) -> DataFrame:
+    """Running sum of ``value_col`` in ``order_cols`` order (per ``partition_cols``
+    group if given, else over the whole frame).
 
     ``order_cols`` must identify rows uniquely (ties would make the sum
-    ambiguous).  Returns ``df`` plus ``out_col``.  Work: one range exchange,
-    one aggregate over at most ``num_blocks`` rows, one window per block.
+    ambiguous) and start with ``partition_cols``.  Returns ``df`` plus
+    ``out_col``.  Work: one range exchange, one aggregate over (block, group)
+    totals, one window per (block, group): a hot group is spread over many
+    blocks instead of landing in one task.
     """
+    parts = list(partition_cols or [])
     n = num_blocks or _default_parts(df)
     ranged = df.repartitionByRange(n, *order_cols).withColumn(BLOCK_COL, F.spark_partition_id())
     if checkpoint:
         # Pins the block labels (AQE may re-plan a re-read) and cuts lineage.
         ranged = cut_lineage(ranged)
-    totals = ranged.groupBy(BLOCK_COL).agg(F.sum(value_col).alias("_tot"))
-    offsets = totals.select(
-        BLOCK_COL,
-        F.coalesce(
-            F.sum("_tot").over(Window.orderBy(BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_off"),
-    )
+    totals = ranged.groupBy(BLOCK_COL, *parts).agg(F.sum(value_col).alias("_tot"))
+    before = Window.partitionBy(*parts).orderBy(BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1) \
+        if parts else Window.orderBy(BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(BLOCK_COL, *parts,
+                            F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    if not parts:
+        offsets = F.broadcast(offsets)  # one row per block
     frame_end = 0 if inclusive else -1
-    w = Window.partitionBy(BLOCK_COL).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
-    out = (ranged.join(F.broadcast(offsets), BLOCK_COL)  # <= num_blocks rows
+    w = Window.partitionBy(BLOCK_COL, *parts).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
+    out = (ranged.join(offsets, [BLOCK_COL, *parts])
            .withColumn(out_col, F.col("_off") + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
            .drop("_off", BLOCK_COL))
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "safety")
+MODULES = ("retrieval", "safety", "tokens")
 
 
 def _mods():
