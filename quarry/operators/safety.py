@@ -70,6 +70,8 @@ def python_regex_to_portable(p: str) -> str:
             nxt = p[i + 1]
             if nxt == "s":
                 out.append(_WS_BODY if in_class else PY_WS_CLASS)
+            elif nxt == "d":
+                out.append("\\p{Nd}" if in_class else "\\p{Nd}")
             elif nxt == "w":
                 out.append(_WORD_BODY if in_class else f"[{_WORD_BODY}]")
             elif nxt == "b" and not in_class:

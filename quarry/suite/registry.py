@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "safety", "tokens")
+MODULES = ("retrieval", "safety", "tokens", "chat")
 
 
 def _mods():
