@@ -54,3 +54,14 @@ def md5_unit(c) -> Column:
 def md5_int(c, modulo: int) -> Column:
     """Deterministic integer in [0, modulo) from md5 (first 8 hex digits)."""
     return (F.conv(F.substring(F.md5(col_(c).cast("string")), 1, 8), 16, 10).cast("bigint") % F.lit(modulo))
+
+
+def map_with_scalar(arr, scalar, fn) -> Column:
+    """``transform(arr, x -> fn(x, scalar))`` with ``scalar`` evaluated once per row.
+
+    Catalyst does not hoist expressions out of lambda bodies: a per-row scalar
+    written inside the lambda is recomputed for every element.  Repeating it
+    into an array and zipping keeps the work linear.
+    """
+    arr = col_(arr)
+    return F.zip_with(arr, F.array_repeat(scalar, F.size(arr)), fn)

@@ -101,12 +101,10 @@ def encode_with_specials(text, add_bos: bool = False, add_eos: bool = False) ->
     pieces = F.split(t, rx)
     markers = F.regexp_extract_all(t, F.lit(f"({rx})"), 1)
     ids = F.create_map(*[x for i, m in enumerate(SPECIAL_TOKENS) for x in (F.lit(m), F.lit(BYTE_BASE + i))])
-    body = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size(markers)),
-        lambda i: F.concat(
-            utf8_bytes(F.element_at(pieces, i + 1)),
-            F.when(i < F.size(markers), F.array(F.element_at(ids, F.element_at(markers, i + 1))))
-             .otherwise(F.array().cast("array<int>")))))
+    # pieces has one element more than markers; zip_with pads markers with a null
+    body = F.flatten(F.zip_with(pieces, markers, lambda p, m: F.concat(
+        utf8_bytes(p),
+        F.when(m.isNull(), F.array().cast("array<int>")).otherwise(F.array(F.element_at(ids, m))))))
     body = F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.array().cast("array<int>")).otherwise(body)
     parts = ([F.array(F.lit(BOS_ID))] if add_bos else []) + [body] + ([F.array(F.lit(EOS_ID))] if add_eos else [])
     return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -101,3 +101,13 @@ def sorted_fold(df: DataFrame, key_cols: list[str], order_cols: list[str],
     n = num_partitions or _default_parts(df)
     prepared = df.repartition(n, *key_cols).sortWithinPartitions(*key_cols, *order_cols)
     return prepared.mapInPandas(lambda it: fold(it, key_cols), schema)
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row.
+
+    An equi-join on a constant key against the broadcast single row: no
+    nested loop, no shuffle of ``df``.
+    """
+    return (df.withColumn("_k1", F.lit(0))
+            .join(F.broadcast(one_row.withColumn("_k1", F.lit(0))), "_k1").drop("_k1"))
