@@ -16,6 +16,10 @@ PY_WS_CLASS = (
     "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 )
 PY_WS_RUN = PY_WS_CLASS + "+"
+# The same set as a string of characters, for btrim (scans only the two ends).
+PY_WS_CODEPOINTS = [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                    0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+PY_WS_CHARS = "".join(chr(c) for c in PY_WS_CODEPOINTS)
 
 
 def col_(c) -> Column:
@@ -28,8 +32,8 @@ def py_split(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``s.strip()`` with the Unicode whitespace set."""
-    return F.regexp_replace(col_(c), f"^{PY_WS_RUN}|{PY_WS_RUN}$", "")
+    """``s.strip()`` with the Unicode whitespace set (btrim: only the ends are read)."""
+    return F.btrim(col_(c), F.lit(PY_WS_CHARS))
 
 
 def is_blank(c) -> Column:

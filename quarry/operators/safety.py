@@ -97,6 +97,17 @@ def category_regex(patterns: list[str]) -> str:
     return "(?i)" + "|".join(f"(?:{python_regex_to_portable(p)})" for p in patterns)
 
 
+def category_hit(lowered: Column, patterns: list[str]) -> Column:
+    """Any pattern of the category matches: short-circuit OR of one ``rlike``
+    per pattern.  Separate patterns keep the regex engine's literal-prefix
+    search, which one big alternation loses (measured ~2x on the corpus)."""
+    hit = None
+    for p in patterns:
+        h = lowered.rlike("(?i)" + python_regex_to_portable(p))
+        hit = h if hit is None else (hit | h)
+    return hit
+
+
 @dataclass
 class SafetyPolicy:
     """Ordered categories and the enabled list (defaults = the reference's)."""
@@ -139,7 +150,7 @@ def _first_category(text: Column, categories: list[str], policy: SafetyPolicy) -
         pats = policy.blocklists.get(cat)
         if not pats:
             continue
-        hit = lowered.rlike(category_regex(pats))
+        hit = category_hit(lowered, pats)
         expr = F.when(hit, F.lit(cat)) if expr is None else expr.when(hit, F.lit(cat))
     if expr is None:
         return F.lit(None).cast("string")

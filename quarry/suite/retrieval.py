@@ -38,8 +38,15 @@ def q_index_stats(spark, sf):
     return R.index_stats(chunks(spark, sf))
 
 
+def chunk_index(spark, sf):
+    """The chunk table, built once and checkpointed (scoring and the content
+    join-back read it; the chunker does not run twice)."""
+    from quarry.session import cut_lineage
+    return cut_lineage(chunks(spark, sf))
+
+
 def search_results(spark, sf):
-    return R.lexical_search(chunks(spark, sf), _queries(spark, sf), k=R.DEFAULT_TOP_K,
+    return R.lexical_search(chunk_index(spark, sf), _queries(spark, sf), k=R.DEFAULT_TOP_K,
                             threshold=R.DEFAULT_THRESHOLD)
 
 

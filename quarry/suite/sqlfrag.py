@@ -6,14 +6,17 @@ Python-string rules (whitespace set, strip, split) in DuckDB syntax.
 
 from __future__ import annotations
 
-from quarry.functions.text import PY_WS_CLASS
+from quarry.functions.text import PY_WS_CLASS, PY_WS_CODEPOINTS
 
 WS = PY_WS_CLASS
 WS_RUN = PY_WS_CLASS + "+"
 
 
+WS_CHARS_SQL = "(" + " || ".join(f"chr({c})" for c in PY_WS_CODEPOINTS) + ")"
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS_RUN}|{WS_RUN}$', '', 'g')"
+    return f"trim({x}, {WS_CHARS_SQL})"
 
 
 def split_ws(x: str) -> str:
