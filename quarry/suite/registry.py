@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "safety", "tokens", "chat", "logs", "evals", "streams")
+MODULES = ("retrieval", "safety", "tokens", "chat", "logs", "evals", "streams", "ingest")
 
 
 def _mods():
