@@ -272,7 +272,16 @@ def register_function(spark, func, description: str = ""):
                      p.default is inspect.Parameter.empty, pos))
     ret = sig.return_annotation
     rtype = SPARK_TYPES.get(PY_TYPE_NAMES.get(ret, "string"), "string") if ret is not inspect.Signature.empty else "string"
-    spark.udf.register(func.__name__, func, rtype)
+    convert = {str: str, int: int, float: float, bool: bool}
+    arg_conv = [convert.get(p.annotation) for k, p in sig.parameters.items() if k not in ("self", "cls")]
+    out_conv = convert.get(ret, str) if ret is not inspect.Signature.empty else str
+
+    def call(*args):
+        # SQL literals arrive as Decimal/str/etc.; coerce by the annotations, as a JSON-schema caller would
+        conv = [c(a) if (c is not None and a is not None) else a for c, a in zip(arg_conv, args)]
+        res = func(*conv)
+        return None if res is None else out_conv(res)
+    spark.udf.register(func.__name__, call, rtype)
     return spark.createDataFrame(rows, "tool string, description string, param string, type string, "
                                        "param_description string, required boolean, position int")
 
