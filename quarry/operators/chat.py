@@ -97,11 +97,24 @@ def render_instruction(messages_text: Column | None, instruction: Column, respon
 
 
 def sft_loss_mask(conv: DataFrame, template: dict | None = None, conv_col: str = "conv_id",
-                  turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+                  turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+                  max_seq_len: int | None = None) -> DataFrame:
     """Per conversation: input_ids over bos + messages + eos (byte tokens of the
     rendered pieces) and labels equal to the ids on assistant messages, -100
-    elsewhere (bos and eos included)."""
+    elsewhere (bos and eos included).
+
+    With ``max_seq_len`` only messages that start inside the first
+    ``max_seq_len`` tokens are gathered (start offsets from a block-wise
+    running sum), so a conversation with a huge history is never assembled
+    whole; the truncated ids equal the full ids cut to ``max_seq_len``.
+    """
     template = template or NATIVE_TEMPLATE
+    if max_seq_len is not None:
+        bos_len = len(template.get("bos", "").encode("utf-8"))
+        n = F.octet_length(format_message(role_col, text_col, template)).cast("bigint")
+        sized = conv.withColumn("_n", n)
+        starts = running_sum(sized, [conv_col, turn_col], "_n", "_start", inclusive=False, partition_cols=[conv_col])
+        conv = starts.filter(F.col("_start") + F.lit(bos_len) < F.lit(max_seq_len)).drop("_n", "_start")
     toks = byte_tokens(format_message(role_col, text_col, template))
     lab = F.when(F.col(role_col) == "assistant", toks).otherwise(F.transform(toks, lambda _: F.lit(IGNORE_INDEX)))
     g = conv.groupBy(conv_col).agg(

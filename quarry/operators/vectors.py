@@ -34,20 +34,26 @@ def dim_absmax(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
 def gram_matrix(df: DataFrame, vec_col: str = "embedding", damp: float = 0.01) -> DataFrame:
     """Normalised, damped Gram matrix rows (i, j, value)."""
     def partial(batches):
+        # one d x d partial per partition (batches are folded in), so the
+        # shuffle carries partitions x d^2 cells whatever the row count
+        g, n = None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
             m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            g = m.T @ m
-            d = g.shape[0]
-            ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
-            yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "v": g.ravel(),
-                                "n": np.where((ii == 0) & (jj == 0), len(m), 0).ravel()})
+            g = m.T @ m if g is None else g + m.T @ m
+            n += len(m)
+        if g is None:
+            return
+        d = g.shape[0]
+        ii, jj = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
+        yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "v": g.ravel(),
+                            "n": np.where((ii == 0) & (jj == 0), n, 0).ravel()})
 
     schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()),
                            T.StructField("v", T.DoubleType()), T.StructField("n", T.LongType())])
     parts = df.select(vec_col).mapInPandas(partial, schema)
-    # n rides along as a per-batch count on cell (0, 0); every cell is divided by the total n
+    # n rides along as a per-partition count on cell (0, 0); every cell is divided by the total n
     sums = parts.groupBy("i", "j").agg(F.sum("v").alias("_s"), F.sum("n").alias("_n"))
     total = sums.filter((F.col("i") == 0) & (F.col("j") == 0)).select(F.col("_n").alias("_total"))
     cells = attach_row(sums, total)

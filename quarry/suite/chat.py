@@ -78,7 +78,7 @@ def q_sft_loss_mask(spark, sf):
 
 
 def q_sft_pad(spark, sf):
-    m = C.sft_pad(C.sft_loss_mask(_conv(spark, sf)), MAX_SEQ_LEN)
+    m = C.sft_pad(C.sft_loss_mask(_conv(spark, sf), max_seq_len=MAX_SEQ_LEN), MAX_SEQ_LEN)
     return m.select("conv_id", _md5_arr("input_ids").alias("ids_md5"), _md5_arr("labels").alias("labels_md5"))
 
 

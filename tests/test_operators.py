@@ -229,3 +229,21 @@ def test_curriculum(spark):
     assert got == {0: 0, 99: 0, 100: 1, 299: 1, 300: 2, 10_000: 2}
     with pytest.raises(ValueError, match="increasing"):
         MX.curriculum_table(spark, [(8192, 100), (2048, 100)])
+
+
+def test_vector_topk_paths_agree(spark):
+    from tests.conftest import SMALL
+    from quarry.sources.tables import table
+    e = table(spark, SMALL, "embeddings").limit(120)
+    q = e.select(F.col("vec_id").alias("q_id"), "embedding")
+    small = {(r.q_id, r.rank, r.vec_id) for r in R.vector_topk(e, q, k=3).collect()}
+    big = {(r.q_id, r.rank, r.vec_id) for r in R.vector_topk(e, q, k=3, max_query_rows=10, buckets=4).collect()}
+    assert small == big and len(small) == 360
+
+
+def test_sft_truncation_equals_full_cut(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", "m%d " % i * 30) for i in range(12)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    full = C.sft_pad(C.sft_loss_mask(conv), 200).first()
+    cut = C.sft_pad(C.sft_loss_mask(conv, max_seq_len=200), 200).first()
+    assert full.input_ids == cut.input_ids and full.labels == cut.labels
