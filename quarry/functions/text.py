@@ -27,8 +27,13 @@ def col_(c) -> Column:
 
 
 def py_split(c) -> Column:
-    """``s.split()``: split on whitespace runs, empty pieces dropped."""
-    return F.filter(F.split(col_(c), PY_WS_RUN), lambda x: x != F.lit(""))
+    """``s.split()``: split on whitespace runs, empty pieces dropped.
+
+    Every whitespace character is first mapped to a space (``translate``, one
+    pass) so the split runs on a single literal character, which Java splits
+    without the regex engine."""
+    spaced = F.translate(col_(c), PY_WS_CHARS, " " * len(PY_WS_CHARS))
+    return F.filter(F.split(spaced, " "), lambda x: x != F.lit(""))
 
 
 def py_strip(c) -> Column:

@@ -215,7 +215,7 @@ def parse_tool_calls(df: DataFrame, key_cols: list[str], text_col: str = "text")
                                             F.try_parse_json(py_strip(c["args"])).isNotNull().alias("args_is_json"),
                                             F.lit("xml").alias("style")))
     calls = F.concat(js, xs)
-    out = df.select(*key_cols, F.posexplode(calls).alias("call_index", "c"))
+    out = df.select(*key_cols, F.posexplode_outer(calls).alias("call_index", "c")).filter(F.col("call_index").isNotNull())
     call_id = F.substring(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols],
                                             F.col("call_index").cast("string"))), 1, 12)
     return out.select(*key_cols, F.col("call_index").cast("bigint").alias("call_index"), call_id.alias("call_id"),
@@ -307,7 +307,7 @@ def plan_steps(df: DataFrame, key_cols: list[str], text_col: str, task_col: str)
     rx = "(?md)" + python_regex_to_portable(PLAN_LINE_PATTERN)
     steps = F.regexp_extract_all(F.col(text_col), F.lit(rx), 1)
     steps = F.when(F.size(steps) == 0, F.array(F.col(task_col))).otherwise(steps)
-    return df.select(*key_cols, F.posexplode(steps).alias("step_no", "step"))
+    return df.select(*key_cols, F.posexplode_outer(steps).alias("step_no", "step")).filter(F.col("step_no").isNotNull())
 
 
 def agent_trace_summary(steps: DataFrame, trace_col: str, order_col: str, action_col: str,

@@ -328,7 +328,7 @@ def metrics_long(df: DataFrame, id_cols: list[str], json_col: str) -> DataFrame:
     """Wide JSON metric dicts -> (id, name, value) for numeric values only
     (a JSON string such as "5" is not a number)."""
     m = F.from_json(F.col(json_col), "map<string,variant>")
-    e = df.select(*id_cols, F.explode(m).alias("name", "_v"))
+    e = df.select(*id_cols, F.explode_outer(m).alias("name", "_v")).filter(F.col("name").isNotNull())
     kind = F.schema_of_variant("_v")
     numeric = (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
     return e.filter(numeric).select(*id_cols, "name", F.variant_get("_v", "$", "double").alias("value"))

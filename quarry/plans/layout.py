@@ -9,6 +9,12 @@
 * ``bounded_broadcast``: broadcast only after measuring the side.
 * ``sorted_fold``: an ordered per-key fold that streams sorted rows through a
   pandas iterator, carrying only the fold state (never a whole group).
+
+Convention: expensive arrays are exploded with ``explode_outer`` /
+``posexplode_outer`` plus a not-null filter on the generated column.  A plain
+``explode`` makes the optimizer infer ``size(array) > 0`` and push it below
+the projections, which evaluates the array expression (a chunk fold, 23
+regex probes, an HTML parse) a second time.
 """
 
 from __future__ import annotations

@@ -64,6 +64,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
+    """Reliable checkpoint into the shared checkpoint folder (never local).
+
+    The frame is persisted first so the checkpoint write reuses the rows
+    computed for the eager count instead of recomputing the lineage; the
+    cache is released once the checkpoint files exist.
+    """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and
+    read it back: a durable, column-pruned cut of the lineage (used for index
+    tables that several jobs read)."""
+    import uuid
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex[:10]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -120,7 +120,7 @@ def _jsonl_records(lines: DataFrame) -> DataFrame:
                                  .otherwise(F.try_variant_get(m, "$.value", "string"))), lambda x: x.isNotNull())
     joined = F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
     recs = v.select("path", F.filter(F.array(first, joined), lambda x: x.isNotNull()).alias("_r"))
-    return recs.select("path", F.explode("_r").alias("text"))
+    return recs.select("path", F.explode_outer("_r").alias("text")).filter(F.col("text").isNotNull())
 
 
 def read_jsonl_text(spark: SparkSession, paths) -> DataFrame:
@@ -139,7 +139,7 @@ def read_json_text(spark: SparkSession, paths) -> DataFrame:
     obj = first_string("v", JSON_OBJECT_TEXT_FIELDS)
     recs = F.when(arr.isNotNull(), F.filter(items, lambda x: x.isNotNull())) \
             .otherwise(F.filter(F.array(obj), lambda x: x.isNotNull()))
-    return files.select("path", F.explode(recs).alias("text"))
+    return files.select("path", F.explode_outer(recs).alias("text")).filter(F.col("text").isNotNull())
 
 
 def read_text_corpus(spark: SparkSession, input_dir: str | None = None, files: list[str] | None = None,
@@ -350,7 +350,7 @@ def parse_search_json(df: DataFrame, json_col: str, max_results: int) -> DataFra
     items = F.coalesce(norm(org, "link", "snippet"), norm(web, "url", "description"), F.array())
     items = F.slice(items, 1, max_results)
     keep = [c for c in df.columns if c != json_col]
-    e = df.select(*keep, F.posexplode(items).alias("position0", "r"))
+    e = df.select(*keep, F.posexplode_outer(items).alias("position0", "r")).filter(F.col("position0").isNotNull())
     return e.select(*keep, (F.col("position0") + 1).alias("position"), "r.title", "r.url", "r.snippet",
                     (F.lit(1.0) / (F.col("position0") + 1)).alias("score"))
 

@@ -8,8 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+# Tables whose rows carry long texts and feed CPU-heavy row operators.
+TEXT_TABLES = ("documents", "conversations", "pages")
+SMALL_INPUT_BYTES = 4 << 30
+
+
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Round-robin a *small* input over the cluster's cores.
+
+    A file with one row group is read by one task however many splits it has;
+    text operators on it would then use one core.  Inputs below
+    ``SMALL_INPUT_BYTES`` (plan estimate) are re-spread with one cheap
+    shuffle; large inputs already arrive in many splits and are left alone.
+    """
+    spark = df.sparkSession
+    target = target or spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SMALL_INPUT_BYTES:
+        return df.repartition(target)
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one table; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Parquet scan of one table; Catalyst prunes columns and pushes filters
+    into it.  Text tables are spread over the cores when small (``spread``)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df

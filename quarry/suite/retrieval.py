@@ -39,10 +39,11 @@ def q_index_stats(spark, sf):
 
 
 def chunk_index(spark, sf):
-    """The chunk table, built once and checkpointed (scoring and the content
-    join-back read it; the chunker does not run twice)."""
-    from quarry.session import cut_lineage
-    return cut_lineage(chunks(spark, sf))
+    """The chunk table, built once and written as a parquet table in the shared
+    checkpoint folder (scoring reads keys + content, the join-back reads it
+    again; the chunker does not run twice)."""
+    from quarry.session import materialize
+    return materialize(chunks(spark, sf), "chunks")
 
 
 def search_results(spark, sf):

@@ -61,16 +61,17 @@ def _verdict_cols(v):
             v["score"].alias("score")]
 
 
+_VCOLS = ["conv_id", "turn", "blocked", "category", "reason", "score"]
+
+
 def q_safety_input(spark, sf):
-    t = probed_turns(spark, sf)
-    return t.select("conv_id", "turn", *_verdict_cols(S.check_input("text")))
+    return S.moderate(probed_turns(spark, sf), "text").select(*_VCOLS)
 
 
 def q_safety_output(spark, sf):
     # role decides: user/system turns are inputs, assistant turns outputs
-    t = probed_turns(spark, sf)
-    v = S.check("text", F.col("role") != "assistant")
-    return t.select("conv_id", "turn", *_verdict_cols(v))
+    t = probed_turns(spark, sf).withColumn("is_input", F.col("role") != "assistant")
+    return S.moderate(t, "text", is_input_col="is_input").select(*_VCOLS)
 
 
 def custom_policy():
@@ -81,8 +82,7 @@ def custom_policy():
 
 
 def q_safety_custom(spark, sf):
-    t = probed_turns(spark, sf)
-    return t.select("conv_id", "turn", *_verdict_cols(S.check_input("text", custom_policy())))
+    return S.moderate(probed_turns(spark, sf), "text", custom_policy()).select(*_VCOLS)
 
 
 def q_safety_all_matches(spark, sf):
