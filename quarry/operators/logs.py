@@ -362,14 +362,32 @@ def value_histogram(df: DataFrame, name_col: str, value_col: str, bins: int) ->
                                              F.min("_lo").alias("lo"), F.min("_hi").alias("hi")))
 
 
-def latency_summary(df: DataFrame, group_col: str, latency_col: str, seq_len: int) -> DataFrame:
-    """mean, lower median (percentile_disc 0.5), p95 by linear interpolation,
-    throughput seq_len / mean seconds."""
-    return df.groupBy(group_col).agg(
-        F.avg(latency_col).alias("mean_latency_ms"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {latency_col})").alias("median_latency_ms"),
-        F.percentile(latency_col, 0.95).alias("p95_latency_ms"),
-        (F.lit(seq_len) / (F.avg(latency_col) / 1000.0)).alias("throughput_tok_s"))
+def latency_summary(df: DataFrame, group_col: str, latency_col: str, seq_len: int,
+                    id_col: str | None = None) -> DataFrame:
+    """mean, lower median (sorted[(n-1)//2]), p95 by linear interpolation
+    (numpy/torch rule on position (n-1)*0.95), throughput seq_len / mean seconds.
+
+    Order statistics come from block-wise ranks (no group's values are ever
+    gathered into one task); only the two or three needed ranks are picked.
+    """
+    key = [id_col] if id_col else []
+    base = df.select(group_col, latency_col, *key, F.lit(1).alias("_one"))
+    ranked = running_sum(base, [group_col, latency_col, *key], "_one", "_r", inclusive=False,
+                         partition_cols=[group_col])  # 0-based rank
+    stats = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"), F.avg(latency_col).alias("mean_latency_ms"))
+    pos = (F.col("_n") - 1) * F.lit(0.95)
+    lo, hi, mid = F.floor(pos), F.ceil(pos), F.floor((F.col("_n") - 1) / 2)
+    j = ranked.join(stats.select(group_col, "_n"), group_col).filter(
+        (F.col("_r") == lo) | (F.col("_r") == hi) | (F.col("_r") == mid))
+    picks = j.groupBy(group_col).agg(
+        F.max(F.when(F.col("_r") == mid, F.col(latency_col))).alias("median_latency_ms"),
+        F.max(F.when(F.col("_r") == lo, F.col(latency_col))).alias("_vlo"),
+        F.max(F.when(F.col("_r") == hi, F.col(latency_col))).alias("_vhi"),
+        F.max(pos - lo).alias("_frac"))
+    out = stats.join(picks, group_col)
+    return out.select(group_col, "mean_latency_ms", "median_latency_ms",
+                      (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("p95_latency_ms"),
+                      (F.lit(seq_len) / (F.col("mean_latency_ms") / 1000.0)).alias("throughput_tok_s"))
 
 
 TRAIN_LINE_RX = r"([A-Za-z0-9_]+)/([A-Za-z0-9_]+)=([^ ]+)"

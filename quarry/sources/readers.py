@@ -70,14 +70,15 @@ def file_inventory(spark: SparkSession, base_dir: str) -> DataFrame:
     """One row: token files directly in tokens/ (case-sensitive .bin/.npy),
     text files anywhere under raw/ (lower-cased extension), loose text files
     in the root only when raw/ has none, and the status
-    (empty / raw / pretokenized / mixed)."""
+    (empty / raw / pretokenized / mixed).  The file lists themselves stay
+    DataFrames (``list_files``), never arrays in one row."""
     base = base_dir.rstrip("/")
     toks = list_files(spark, f"{base}/tokens", recursive=False).filter(F.col("ext").isin(TOKEN_EXTENSIONS))
     raw = list_files(spark, f"{base}/raw", recursive=True).filter(F.lower("ext").isin(TEXT_EXTENSIONS))
     loose = list_files(spark, base, recursive=False).filter(F.lower("ext").isin(TEXT_EXTENSIONS))
-    t = toks.agg(F.count(F.lit(1)).alias("n_tok"), F.array_sort(F.collect_list("path")).alias("tok_files"))
-    r = raw.agg(F.count(F.lit(1)).alias("n_raw"), F.array_sort(F.collect_list("path")).alias("raw_files"))
-    lo = loose.agg(F.count(F.lit(1)).alias("n_loose"), F.array_sort(F.collect_list("path")).alias("loose_files"))
+    t = toks.agg(F.count(F.lit(1)).alias("n_tok"))
+    r = raw.agg(F.count(F.lit(1)).alias("n_raw"))
+    lo = loose.agg(F.count(F.lit(1)).alias("n_loose"))
     from quarry.plans.layout import attach_row
     j = attach_row(attach_row(t, r), lo)
     has_tok = F.col("n_tok") > 0

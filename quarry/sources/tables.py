@@ -10,21 +10,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 # Tables whose rows carry long texts and feed CPU-heavy row operators.
 TEXT_TABLES = ("documents", "conversations", "pages")
-SMALL_INPUT_BYTES = 4 << 30
 
 
 def spread(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Round-robin a *small* input over the cluster's cores.
+    """Round-robin an input that comes in fewer files than the cluster has cores.
 
     A file with one row group is read by one task however many splits it has;
-    text operators on it would then use one core.  Inputs below
-    ``SMALL_INPUT_BYTES`` (plan estimate) are re-spread with one cheap
-    shuffle; large inputs already arrive in many splits and are left alone.
+    text operators on it would then use one core.  Such inputs are re-spread
+    with one shuffle; inputs made of many files (every large table) already
+    arrive in many splits and are left alone.
     """
-    spark = df.sparkSession
-    target = target or spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SMALL_INPUT_BYTES:
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < target:
         return df.repartition(target)
     return df
 

@@ -183,7 +183,7 @@ def q_value_histogram(spark, sf):
 
 
 def q_latency_summary(spark, sf):
-    s = LG.latency_summary(_events(spark, sf), "event_type", "value", 512)
+    s = LG.latency_summary(_events(spark, sf), "event_type", "value", 512, id_col="event_id")
     return s.select("event_type", *[F.round(c, 6).alias(c) for c in
                                     ("mean_latency_ms", "median_latency_ms", "p95_latency_ms", "throughput_tok_s")])
 
