@@ -428,7 +428,7 @@ SELECT event_id, used < {BUDGET} AS permitted, round(greatest(0.0, {BUDGET} - us
 a AS (SELECT user_id, drafted, CAST(floor(drafted * {u_sql("'acc'", 'event_id')}) AS BIGINT) AS accepted FROM s)
 SELECT user_id, round(sum(accepted) / greatest(sum(drafted), 1), 9) AS acceptance_rate, CAST(sum(accepted) AS BIGINT) AS accepted,
   CAST(sum(drafted) AS BIGINT) AS drafted FROM a GROUP BY user_id""",
-    "batch_generation_stats": """WITH c AS (SELECT conv_id % 10 AS batch, text, length(text) * 0.5 AS lat,
+    "batch_generation_stats": """WITH c AS (SELECT conv_id % 10 AS batch, text, CAST(length(text) AS DOUBLE) * 0.5 AS lat,
    strpos(text, '.') AS p FROM conversations),
 n AS (SELECT batch, lat, CASE WHEN p > 0 THEN octet_length(encode(substr(text, 1, p))) ELSE octet_length(encode(text)) END AS n FROM c)
 SELECT batch, CAST(count(*) AS BIGINT) AS requests, CAST(sum(n) AS BIGINT) AS tokens_generated, round(sum(lat), 6) AS latency_sum_ms,
