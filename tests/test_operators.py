@@ -247,3 +247,69 @@ def test_sft_truncation_equals_full_cut(spark):
     full = C.sft_pad(C.sft_loss_mask(conv), 200).first()
     cut = C.sft_pad(C.sft_loss_mask(conv, max_seq_len=200), 200).first()
     assert full.input_ids == cut.input_ids and full.labels == cut.labels
+
+
+# ---------------------------------------------------------------- FIXTURES.md part D edge cases
+
+@pytest.mark.parametrize("sizes", [[0, 5], [1], [6], [7], [8], [21], [3, 40, 2]])
+def test_pack_edge_shard_lengths(spark, sizes):
+    # document token counts chosen so shards come out 0/1/L-1/L/L+1/kL long (L = 7)
+    L, S_ = 7, 23
+    texts = ["x" * max(n, 0) for n in sizes]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    stream = []
+    for t in texts:
+        if t.strip():
+            stream += [TK.BOS_ID] + list(t.encode()) + [TK.EOS_ID, 10]
+    want = _py_windows(stream, S_, L)
+    got = TK.pack_sequences(docs, L, S_).orderBy("shard_id", "seq_no").collect()
+    assert [(r.shard_id, r.seq_no, list(r.input_ids), list(r.labels)) for r in got] == want
+
+
+def test_document_spanning_three_shards(spark):
+    docs = spark.createDataFrame([(0, "a" * 100)], "doc_id long, text string")
+    pieces = TK.shard_pieces(TK.token_offsets(docs), 40).orderBy("shard_id").collect()
+    assert [(p.shard_id, p.start_in_shard, p.doc_from, p.length) for p in pieces] == [(0, 0, 0, 40), (1, 0, 40, 40), (2, 0, 80, 23)]
+
+
+def test_chunk_exact_size_and_long_sentence(spark):
+    exact = "y" * 100
+    long = "z" * 250 + ". tail."
+    df = spark.createDataFrame([(exact,), (long,)], "t string")
+    got = [r.c for r in df.select(R.chunk_text("t", 100, 20).alias("c")).collect()]
+    assert got[0] == [exact]
+    assert got[1] == _py_chunks(long, 100, 20)
+
+
+def test_rate_limit_equal_timestamps_out_of_order(spark):
+    from datetime import datetime
+    t0 = datetime(2024, 1, 1)
+    ev = spark.createDataFrame([(5, 1, t0), (3, 1, t0), (4, 1, t0), (9, 1, t0)], "event_id long, user_id long, ts timestamp")
+    got = {r.event_id: r.allowed for r in LG.rate_limit_replay(ev, ["user_id"], "ts", "event_id", 2, 60).collect()}
+    assert got == {3: True, 4: True, 5: False, 9: False}  # ties broken by id, arrival order irrelevant
+
+
+def test_expiry_exactly_at_request_time(spark):
+    from datetime import datetime
+    keys = spark.createDataFrame([("k1", "", ["read"], False, "2024-01-01T00:00:00")],
+                                 "key_id string, key_hash string, scopes array<string>, revoked boolean, expires_at string")
+    keys = keys.withColumn("key_hash", LG.key_hash(F.lit("tok")))
+    req = spark.createDataFrame([(1, "tok", datetime(2024, 1, 1)), (2, "tok", datetime(2024, 1, 1, 0, 0, 1))],
+                                "event_id long, token string, ts timestamp")
+    got = {r.event_id: r.auth_status for r in LG.auth_key_join(req, keys).collect()}
+    assert got == {1: "valid", 2: "expired"}
+
+
+@pytest.mark.parametrize("where", [0, 2, 4])
+def test_audit_tamper_first_middle_last(spark, where):
+    e = spark.createDataFrame([(1, i, f"2024-01-01T00:00:0{i}", "TEST", "INFO", f'{{"n": {i}}}') for i in range(5)],
+                              "chain_id long, seq0 long, timestamp string, event_type string, severity string, payload string")
+    built = LG.audit_chain_build(e, "chain_id", ["seq0"], "sha256")
+    bad = built.withColumn("hash", F.when(F.col("seq") == where, F.lit("0" * 64)).otherwise(F.col("hash")))
+    faults = {r.seq: r.faults for r in LG.audit_chain_verify(bad, "chain_id", "sha256").collect()}
+    # the tampered entry's own hash no longer matches; the next entry's prev_hash no longer matches the stored hash
+    want = {i: 0 for i in range(5)}
+    want[where] = 1
+    if where + 1 < 5:
+        want[where + 1] = 1
+    assert faults == want
