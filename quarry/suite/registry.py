@@ -12,13 +12,13 @@ def _mods():
 
 
 def spark_queries() -> dict:
-    from quarry.session import ensure_checkpoint_dir
+    from quarry.session import prepare
 
     out = {}
     for m in _mods():
         for k, fn in m.QUERIES.items():
             def wrapped(spark, sf_dir, _fn=fn):
-                ensure_checkpoint_dir(spark)
+                prepare(spark)
                 return _fn(spark, sf_dir)
             wrapped.__name__ = k
             wrapped.__doc__ = fn.__doc__

@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from quarry.session import DEFAULT_CONF, ensure_checkpoint_dir
+    from quarry.session import DEFAULT_CONF, prepare
 
     b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
     for k, v in DEFAULT_CONF.items():
@@ -20,7 +20,7 @@ def spark():
             b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
+    prepare(s)
     yield s
 
 
