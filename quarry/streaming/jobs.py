@@ -37,11 +37,19 @@ def scratch_path(spark: SparkSession, kind: str, name: str) -> str:
 
 def feed_slices(df: DataFrame, slice_col: str, slices: list, name: str) -> str:
     """Write ``df`` as one parquet folder per slice value, in order (one small
-    job per slice so file times follow slice order).  Returns the feed root."""
+    job per slice).  The file source orders files by modification time, so
+    consecutive slices are written at least one second apart.  Returns the
+    feed root."""
+    import time
     root = scratch_path(df.sparkSession, "feeds", name)
+    last = 0.0
     for i, v in enumerate(slices):
+        wait = 1.05 - (time.time() - last)
+        if wait > 0:
+            time.sleep(wait)
         (df.filter(F.col(slice_col) == F.lit(v)).drop(slice_col).coalesce(1)
          .write.mode("overwrite").parquet(f"{root}/slice={i:05d}"))
+        last = time.time()
     return root
 
 
@@ -51,9 +59,20 @@ def read_feed(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame
             .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root))
 
 
-def run_available_now(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def progress_metrics(query) -> dict:
+    """Micro-batches, input rows and rows dropped as late by the watermark
+    (summed over the stateful operators of every progress report)."""
+    batches = query.recentProgress
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for b in batches for op in b.get("stateOperators", []))
+    return {"batches": len(batches), "input_rows": sum(b.get("numInputRows", 0) for b in batches),
+            "late_rows_dropped": late}
+
+
+def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
+                      metrics: dict | None = None) -> DataFrame:
     """Run a streaming query to completion over what is available now; return
-    the sink as a batch DataFrame."""
+    the sink as a batch DataFrame.  ``metrics`` (if given) receives
+    ``progress_metrics`` of the run, including late rows dropped."""
     spark = stream.sparkSession
     out = scratch_path(spark, "sinks", name)
     ckpt = scratch_path(spark, "stream-checkpoints", name)
@@ -62,6 +81,8 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append")
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if metrics is not None:
+        metrics.update(progress_metrics(q))
     return spark.read.parquet(out)
 
 
