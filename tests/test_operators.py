@@ -313,3 +313,21 @@ def test_audit_tamper_first_middle_last(spark, where):
     if where + 1 < 5:
         want[where + 1] = 1
     assert faults == want
+
+
+def _bpe_available():
+    try:
+        import tiktoken
+        tiktoken.get_encoding("cl100k_base")
+        return True
+    except Exception:  # noqa: BLE001 - no vocabulary offline
+        return False
+
+
+@pytest.mark.skipif(not _bpe_available(), reason="cl100k_base vocabulary not available offline")
+def test_bpe_tokenize(spark):
+    import tiktoken
+    enc = tiktoken.get_encoding("cl100k_base")
+    df = spark.createDataFrame([("Hello world",), ("Ça va?",)], "t string")
+    got = [r.ids for r in df.select(TK.bpe_tokenize("t").alias("ids")).collect()]
+    assert got == [enc.encode_ordinary("Hello world"), enc.encode_ordinary("Ça va?")]
