@@ -258,8 +258,9 @@ def pack_sequences(docs: DataFrame, seq_len: int, shard_size: int = DEFAULT_SHAR
     flat = flat.withColumn("n_tokens", F.size("_w"))
     if min_tokens:
         flat = flat.filter(F.col("n_tokens") >= min_tokens)
-    padded = F.concat(F.col("_w").cast("array<bigint>"),
-                      F.array_repeat(F.lit(0).cast("bigint"), F.lit(seq_len + 1) - F.size("_w")))
+    # ids stay INT (the vocabulary is far below 2^31): half the bytes of BIGINT through
+    # the gather, pad and slices; cast at the consumer if 64-bit ids are required
+    padded = F.concat(F.col("_w"), F.array_repeat(F.lit(0), F.lit(seq_len + 1) - F.size("_w")))
     return flat.select("shard_id", "seq_no", "n_tokens",
                        F.slice(padded, 1, seq_len).alias("input_ids"),
                        F.slice(padded, 2, seq_len).alias("labels"))
