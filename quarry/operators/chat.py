@@ -14,7 +14,7 @@ import inspect
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import PY_WS_CLASS, col_, py_strip
+from quarry.functions.text import col_, py_strip
 from quarry.operators.tokens import byte_tokens, token_estimate
 from quarry.operators.safety import python_regex_to_portable
 from quarry.plans.layout import running_sum

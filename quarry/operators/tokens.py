@@ -17,7 +17,6 @@ Plan shape (no step gathers a shard or the stream in one place):
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

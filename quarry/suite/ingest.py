@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import is_blank
 from quarry.operators import chat as C
 from quarry.operators import mixing as MX
 from quarry.operators import retrieval as R

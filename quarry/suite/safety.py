@@ -56,11 +56,6 @@ def probed_docs(spark, sf):
     return d.select("doc_id", F.concat(F.col("text"), _probe_col("doc_id", "n_chars")).alias("text"))
 
 
-def _verdict_cols(v):
-    return [v["blocked"].alias("blocked"), v["category"].alias("category"), v["reason"].alias("reason"),
-            v["score"].alias("score")]
-
-
 _VCOLS = ["conv_id", "turn", "blocked", "category", "reason", "score"]
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import is_blank
 from quarry.operators.logs import epoch_us
 from quarry.operators.tokens import token_estimate
 from quarry.sources.tables import table

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import is_blank
 from quarry.operators import tokens as TK
 from quarry.sources.tables import table
 from quarry.suite import sqlfrag as Q
