@@ -331,3 +331,18 @@ def test_bpe_tokenize(spark):
     df = spark.createDataFrame([("Hello world",), ("Ça va?",)], "t string")
     got = [r.ids for r in df.select(TK.bpe_tokenize("t").alias("ids")).collect()]
     assert got == [enc.encode_ordinary("Hello world"), enc.encode_ordinary("Ça va?")]
+
+
+def test_running_sum_with_hot_group_matches_window(spark):
+    from pyspark.sql import Window
+    from quarry.plans.layout import global_row_number, running_sum
+    # group 0 holds a third of the rows, so it spans many range blocks
+    rows = [(0 if i % 3 == 0 else i % 97, i, (i * 7919) % 13) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, k long, v long")
+    got = running_sum(df, ["g", "k"], "v", "rs", partition_cols=["g"], num_blocks=16)
+    want = df.withColumn("rs", F.sum("v").over(Window.partitionBy("g").orderBy("k")
+                                              .rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(map(tuple, got.select("g", "k", "rs").collect())) == sorted(map(tuple, want.select("g", "k", "rs").collect()))
+    rn = global_row_number(df, ["k"], "rn", num_blocks=16)
+    assert sorted(r.rn for r in rn.collect()) == list(range(1, 3001))
+    assert all(r.rn == r.k + 1 for r in rn.collect())
