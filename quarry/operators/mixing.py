@@ -17,6 +17,7 @@ from quarry.functions.text import col_
 from quarry.plans.layout import attach_row, bounded_broadcast, running_sum
 
 SMALL_DIMENSION_ROWS = 100_000
+RANGE_BUCKETS = 4096
 
 # The reference's curriculum presets, (seq_len, num_steps) per stage.
 CURRICULUM_PRESETS = {
@@ -65,11 +66,19 @@ def mix_sample(draws: DataFrame, idx_col: str, weights: DataFrame, sizes: DataFr
     """For each sample index: source by cumulative weight (u1), then a uniform
     local index with replacement (u2 * size).  ``weights`` from ``mix_weights``;
     ``sizes`` (source, size).  The range join is against a broadcast dimension."""
+    # The unit interval is cut into RANGE_BUCKETS buckets; each source range is
+    # listed under the buckets it overlaps, so a draw meets only the one or two
+    # ranges of its bucket (an equi-join plus a range check, not draws x sources).
     d = draws.select(idx_col, uniform(seed, F.lit("src"), F.col(idx_col)).alias("_u1"),
                      uniform(seed, F.lit("idx"), F.col(idx_col)).alias("_u2"))
-    w = bounded_broadcast(weights.select(source_col, "range_lo", "range_hi").join(sizes, source_col),
-                          SMALL_DIMENSION_ROWS)
-    j = d.join(w, (F.col("_u1") >= F.col("range_lo")) & (F.col("_u1") < F.col("range_hi")), "left")
+    d = d.withColumn("_bk", F.floor(F.col("_u1") * RANGE_BUCKETS).cast("bigint"))
+    w = weights.select(source_col, "range_lo", "range_hi").join(sizes, source_col)
+    w = w.select("*", F.explode(F.sequence(F.floor(F.col("range_lo") * RANGE_BUCKETS).cast("bigint"),
+                                            F.least(F.floor(F.col("range_hi") * RANGE_BUCKETS),
+                                                    F.lit(RANGE_BUCKETS - 1)).cast("bigint"))).alias("_bk"))
+    w = bounded_broadcast(w, SMALL_DIMENSION_ROWS + RANGE_BUCKETS)
+    j = d.join(w, (d["_bk"] == w["_bk"]) & (F.col("_u1") >= F.col("range_lo")) & (F.col("_u1") < F.col("range_hi")),
+               "left")
     return j.select(idx_col, source_col, F.floor(F.col("_u2") * F.col("size")).cast("bigint").alias("local_idx"))
 
 
