@@ -17,9 +17,11 @@ A set that then has too few non-empty parts gives all it has and, besides, its
 size//3 + 1 least whole shingles; two such sets share one of those.
 
 Verify.  Sets that share keys are buckets.  Each bucket's sets are compared with
-its first; then, within a bucket, all sets that are not yet linked through others.
-A comparison is exact, on the shingles of both texts.  Links that join two parts of
-one component already are not looked for, as components are the result.
+its first; then each with the likeliest of every other component in the bucket; then
+all that are still not linked through others.  A pair is dropped if its sizes, or the
+bits in which its bit sketches (a parity bit for each of once to twice as many places
+as shingles) differ, rule the similarity out; what is left is compared exactly, on the shingles of both texts.  Links that join
+two parts of one component already are not looked for, as components are the result.
 
 Defined results: null text, or text without words, has no shingles and is a
 component of its own; a text with fewer words than a shingle is one shingle; rows
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.phrase_automata import member, runs, signed
+from quarry.llm.phrase_automata import member, runs, signed, texts_of
 from quarry.llm.textbytes import Words, chunks, column_of, joined_words, mix, range_hashes
 from quarry.session import materialize
 
@@ -44,7 +46,9 @@ SHINGLE = 5
 #: they are in one of so many documents: at most COMMON times a mean set's size of them.
 LOOKED_AT, COMMON = 4, 1000
 #: Sets compared with each other at a time, within a bucket.
-BLOCK = 512
+BLOCK = 256
+#: Bits of the sieve that keeps texts no pair needs from being shuffled (log 2).
+SIEVE = 26
 
 
 def shingle_sets(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,8 +60,10 @@ def shingle_sets(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.nd
     few = np.flatnonzero((w.counts > 0) & (w.counts < SHINGLE))
     short = range_hashes(h, w.first[few], w.first[few] + w.counts[few])
     row, value = np.concatenate([w.doc[whole], few]), np.concatenate([grams[whole], short])
-    order = np.lexsort((value, row))
-    first = runs(row[order], value[order])[:-1]
+    bits = np.uint64(int(len(column)).bit_length())
+    key = (row.astype(np.uint64) << (np.uint64(64) - bits)) | (value >> bits)  # its order is that of (row, value)
+    order = np.argsort(key)
+    first = runs(key[order])[:-1]
     row, value = row[order][first], value[order][first]
     return w, row, value, np.searchsorted(row, np.arange(len(column) + 1))
 
@@ -68,34 +74,55 @@ def set_ids(value: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(np.diff(at) > 0, mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)), 0).astype(np.uint64)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, _set (hash of the set, null if empty)."""
-    def run(batches):
-        for whole in batches:
-            for b in chunks(whole, "_text"):
-                _, _, value, at = shingle_sets(column_of(b, "_text"))
-                ids = set_ids(value, at)
-                yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), pa.array(np.diff(at)), pa.array(ids.view(np.int64), mask=ids == 0)], names=["doc_id", "n_shingles", "_set"])
-
-    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("_set", "long")
-    return docs.select("doc_id", "_text").mapInArrow(run, schema)
+def bit_sketches(row: np.ndarray, value: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Each set's bit sketch: of 2**k places, once to twice the size, those that an odd
+    number of shingles fall to.  Its halves' XOR is the sketch of half as many places."""
+    size = np.diff(at)
+    width = np.where(size > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64)), 0)
+    start = np.concatenate([[0], np.cumsum(width)])
+    place = start[row] + (mix(value ^ np.uint64(0x2545F4914F6CDD1D)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(place, minlength=start[-1]) & 1).astype(np.uint8)).tobytes()
+    return [bits[a // 8:b // 8] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
 
 
-def common_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Hashes of the very common shingles, sorted."""
+def described(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, _set (hash of the set, null if empty) and, for
+    the first with a set in its task, _z (words joined by one space, compressed) and _bits
+    (the bit sketch).  Besides, rows of _h and _often: shingles that are frequent in a batch."""
     def run(batches):
+        import zstandard
+
+        pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
+        names = ["doc_id", "n_shingles", "_set", "_z", "_bits", "_h", "_often"]
         for whole in batches:
             for b in chunks(whole, "_text"):
-                _, _, value, _ = shingle_sets(column_of(b, "_text"))
+                w, row, value, at = shingle_sets(column_of(b, "_text"))
+                ids = set_ids(value, at)
+                new = np.array([bool(x) and x not in seen and not seen.add(x) for x in ids.tolist()], bool)
+                z = [pack(t) if n else None for t, n in zip(joined_words(w), new.tolist(), strict=True)]
+                bits = [t if n else None for t, n in zip(bit_sketches(row, value, at), new.tolist(), strict=True)]
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), pa.array(np.diff(at)), pa.array(ids.view(np.int64), mask=ids == 0), pa.array(z, pa.binary()), pa.array(bits, pa.binary()), none, none], names=names)
                 value = np.sort(value)
                 r = runs(value)
                 n = np.diff(r)
                 often = n >= LOOKED_AT
-                yield pa.RecordBatch.from_arrays([signed(value[r[:-1][often]]), pa.array(n[often])], names=["h", "n"])
+                h = signed(value[r[:-1][often]])
+                none = [pa.nulls(len(h), t) for t in (b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, h, pa.array(n[often])], names=names)
+
+    schema = docs.select("doc_id").schema
+    for c, t in (("n_shingles", "long"), ("_set", "long"), ("_z", "binary"), ("_bits", "binary"), ("_h", "long"), ("_often", "long")):
+        schema = schema.add(c, t)
+    return docs.select("doc_id", "_text").mapInArrow(run, schema)
+
 
-    found = docs.select("_text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.filter(F.col("n") * COMMON >= n_docs).select("h").toArrow()
-    return np.sort(rows.column("h").to_numpy().view(np.uint64))
+def common_shingles(table: DataFrame, n_docs: int) -> np.ndarray:
+    """Hashes of the very common shingles, sorted: of all documents' shingles at most
+    COMMON times the mean set's size."""
+    found = table.filter("_h is not null").groupBy("_h").agg(F.sum("_often").alias("n"))
+    rows = found.filter(F.col("n") * COMMON >= n_docs).select("_h").toArrow()
+    return np.sort(rows.column("_h").to_numpy().view(np.uint64))
 
 
 def sketch_keys(row: np.ndarray, value: np.ndarray, size: np.ndarray, common: np.ndarray):
@@ -111,7 +138,7 @@ def sketch_keys(row: np.ndarray, value: np.ndarray, size: np.ndarray, common: np
         mine = may[part_row]
         r, v = part_row[mine], part_value[mine]
         part = ((v >> np.uint64(32)) * parts[r]) >> np.uint64(32)
-        order = np.argsort(r.astype(np.uint64) << np.uint64(32) | part, kind="stable")
+        order = np.argsort(r.astype(np.uint64) << np.uint64(32) | part)
         r, v, part = r[order], v[order], part[order]
         if not len(r):
             short |= may
@@ -131,37 +158,31 @@ def sketch_keys(row: np.ndarray, value: np.ndarray, size: np.ndarray, common: np
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def sketched(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
+def sketched(texts: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
     """_q (the key's part of the key space), keys (32 bits each), rows (index into sets), sets:
-    the keys of a batch of distinct sets that fall to one part."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    the keys of a batch of sets (_z) that fall to one part."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        seen: set[int] = set()  # sets that this task has sketched
         for whole in batches:
-            for b in chunks(whole, "_text"):
-                _, row, value, at = shingle_sets(column_of(b, "_text"))
+            for b, column in texts_of(whole):
+                _, row, value, at = shingle_sets(column)
                 ids = set_ids(value, at)
-                new = np.zeros(len(ids), bool)
-                for i, x in enumerate(ids.tolist()):
-                    new[i] = x and x not in seen
-                    seen.add(x)
-                mine = new[row]
-                r, key = sketch_keys(row[mine], value[mine], np.where(new, np.diff(at), 0), shared.value)
+                r, key = sketch_keys(row, value, np.diff(at), shared.value)
                 q = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
                 order = np.argsort(q, kind="stable")
-                r, key, q = r[order], key[order], q[order]
+                r, key, q = r[order], key[order].astype(np.uint32), q[order]
                 g = runs(q)
                 cols = {"_q": [], "keys": [], "rows": [], "sets": []}
                 for lo, hi in zip(g[:-1].tolist(), g[1:].tolist(), strict=True):
                     own, place = np.unique(r[lo:hi], return_inverse=True)
                     cols["_q"].append(int(q[lo]))
-                    cols["keys"].append(key[lo:hi].astype(np.uint32).tobytes())
+                    cols["keys"].append(key[lo:hi].tobytes())
                     cols["rows"].append(place.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes())
                     cols["sets"].append(ids[own].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cols["_q"], pa.int32()), *(pa.array(cols[c], pa.binary()) for c in ("keys", "rows", "sets"))], names=list(cols))
 
-    return docs.select("_text").mapInArrow(run, "_q int, keys binary, rows binary, sets binary")
+    return texts.select("_z").mapInArrow(run, "_q int, keys binary, rows binary, sets binary")
 
 
 def buckets(keys: DataFrame, parts: int) -> DataFrame:
@@ -176,6 +197,14 @@ def buckets(keys: DataFrame, parts: int) -> DataFrame:
         if not key:
             return
         key, own = np.concatenate(key), np.concatenate(own)
+        order = np.argsort(key)
+        key, own = key[order], own[order]
+        r = runs(key)
+        n = np.diff(r)
+        shared = np.repeat(n > 1, n)
+        key, own = key[shared], own[shared]
+        if not len(key):
+            return
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
         first = runs(key, own)[:-1]
@@ -193,43 +222,47 @@ def buckets(keys: DataFrame, parts: int) -> DataFrame:
     return keys.repartitionById(parts, F.col("_q")).mapInArrow(run, "_b long, _set long").distinct()
 
 
-def texts_by_set(docs: DataFrame) -> DataFrame:
-    """_set, _z (words joined by one space, compressed): a row for each set and task."""
-    def run(batches):
-        import zstandard
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2**SIEVE bits with the ids' hashes set."""
+    place = F.pmod(F.xxhash64("_set"), F.lit(1 << SIEVE))
+    words = ids.select(place.alias("p")).selectExpr("p div 64 AS w", "shiftleft(1L, CAST(p % 64 AS INT)) AS x").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
+    out = np.zeros(1 << (SIEVE - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("x").to_numpy()
+    return out.view(np.uint64)
 
-        pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
-        for whole in batches:
-            for b in chunks(whole, "_text"):
-                w, _, value, at = shingle_sets(column_of(b, "_text"))
-                ids = set_ids(value, at)
-                rows = [(x, pack(t)) for x, t in zip(ids.view(np.int64).tolist(), joined_words(w), strict=True) if x and x not in seen and not seen.add(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([z for _, z in rows], pa.binary())], names=["_set", "_z"])
 
-    return docs.select("_text").mapInArrow(run, "_set long, _z binary")
+def sifted(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows (_set, _z) whose set's bit is there: all that are wanted and few others."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for b in batches:
+            place = column_of(b, "_place").to_numpy()
+            there = (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
+            yield b.filter(pa.array(there.astype(bool))).select(["_set", "_z"])
+
+    return texts.select("_set", "_z", F.pmod(F.xxhash64("_set"), F.lit(1 << SIEVE)).alias("_place")).mapInArrow(run, "_set long, _z binary")
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b: of the pairs (a, b) of sets, those with similarity 3/4 or more."""
     wanted = pairs.select("a", F.col("b").alias("_set")).unionByName(pairs.select("a", F.col("a").alias("_set")).distinct())
+    texts = sifted(texts, sieve(wanted.select("_set")))
     rows = wanted.join(texts, "_set").withColumn("_own", F.col("a") == F.col("_set"))
     rows = rows.repartition(F.col("a")).sortWithinPartitions("a", F.col("_own").desc())
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         name, mine = None, None
         for whole in batches:
-            for b in chunks(whole, "_z", 1 << 20):
-                _, _, value, at = shingle_sets(pa.array([unpack(x) for x in column_of(b, "_z").to_pylist()], pa.large_binary()))
+            for b, column in texts_of(whole):
+                _, _, value, at = shingle_sets(column)
                 a, other, own = (column_of(b, c).to_pylist() for c in ("a", "_set", "_own"))
                 at, out = at.tolist(), []
                 for i in range(len(a)):
                     its = value[at[i]:at[i + 1]]
                     if own[i]:
                         name, mine = a[i], its
-                    elif name == a[i] and 4 * min(len(its), len(mine)) >= 3 * max(len(its), len(mine)):
+                    elif name == a[i]:
                         both = int(member(its, mine).sum())
                         if 100 * both >= 75 * (len(its) + len(mine) - both):
                             out.append((a[i], other[i]))
@@ -253,55 +286,127 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("_set", "_root")
 
 
-def unlinked_pairs(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: sets of one bucket that are in different components so far."""
-    rows = found.join(labels, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
-    mixed = rows.groupBy("_b").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).filter("lo < hi").select("_b")
-    rows = rows.join(mixed, "_b").repartition(F.col("_b")).sortWithinPartitions("_b")
-
-    def pairs(own, root):
-        for lo in range(0, len(own), BLOCK):
-            for more in range(lo, len(own), BLOCK):
-                i, j = np.nonzero(root[lo:lo + BLOCK, None] != root[None, more:more + BLOCK])
-                a, b = own[lo + i], own[more + j]
-                yield np.minimum(a, b), np.maximum(a, b)
-
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with half as many places, until there are ``words`` words."""
+    while bits.shape[1] > words:
+        bits = bits[:, :bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2:]
+    return bits
+
+
+#: More than any two sketches differ in.
+NEVER = 1 << 40
+
+
+def apart_of(size_a, bits_a, size_b, bits_b) -> np.ndarray:
+    """Bits in which sketches differ, for all pairs; NEVER where sizes or they rule a pair out."""
+    words = min(bits_a.shape[1], bits_b.shape[1])
+    apart = np.bitwise_count(folded(bits_a, words)[:, None, :] ^ folded(bits_b, words)[None, :, :]).sum(2, dtype=np.int64)
+    a, b = size_a[:, None], size_b[None, :]
+    return np.where((4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (7 * apart <= a + b), apart, NEVER)
+
+
+def by_width(bits: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sketches of each length: their places, and rows of 64-bit words."""
+    width = np.array([len(x) for x in bits])
+    out = []
+    for w in np.unique(width):
+        mine = np.flatnonzero(width == w)
+        out.append((mine, np.frombuffer(b"".join(bits[i] for i in mine), np.uint64).reshape(len(mine), w // 8)))
+    return out
+
+
+def star_of(own, root, size, bits):
+    """(a, root of b, b, apart) of a bucket's least set a and all others."""
+    first = int(own.argmin())
+    its = np.frombuffer(bits[first], np.uint64).reshape(1, -1)
+    for mine, whole in by_width(bits):
+        apart = apart_of(size[[first]], its, size[mine], whole)[0]
+        j = np.flatnonzero((apart < NEVER) & (mine != first))
+        yield np.full(len(j), own[first]), np.full(len(j), root[first]), own[mine[j]], apart[j]
+
+
+def rest_of(own, root, size, bits):
+    """(a, root of b, b, apart) of a bucket's sets of different roots; a is of the rarer one."""
+    _, at, n = np.unique(root, return_inverse=True, return_counts=True)
+    rarity = np.lexsort((root, n[at.reshape(-1)])).argsort()
+    kinds = by_width(bits)
+    for place, (mine, whole) in enumerate(kinds):
+        for other, others in kinds[place:]:
+            for lo in range(0, len(mine), BLOCK):
+                for hi in range(lo if other is mine else 0, len(other), BLOCK):
+                    x, y = mine[lo:lo + BLOCK], other[hi:hi + BLOCK]
+                    if root[x].min() == root[y].max() and root[x].max() == root[y].min():
+                        continue
+                    apart = apart_of(size[x], whole[lo:lo + BLOCK], size[y], others[hi:hi + BLOCK])
+                    i, j = np.nonzero((apart < NEVER) & (root[x][:, None] != root[y][None, :]))
+                    a, b = x[i], y[j]
+                    turn = rarity[a] > rarity[b]
+                    a, b = np.where(turn, b, a), np.where(turn, a, b)
+                    yield own[a], root[b], own[b], apart[i, j]
+
+
+def bucket_pairs(rows: DataFrame, stars: bool) -> DataFrame:
+    """a, r, bs: for a set and another component (least set r) of its bucket, the sets
+    of that one that may be similar, the likeliest first.  rows: _b, _set, _root,
+    n_shingles, _bits; stars: pairs with the bucket's least set only."""
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3
+        held = None
 
-        def flush(name, own, root):
-            g = runs(name)
+        def flush(rows):
+            g = runs(rows["_b"].to_numpy())
+            own, root, size = (rows[c].to_numpy() for c in ("_set", "_root", "n_shingles"))
+            bits = rows["_bits"].to_pylist()
+            found = [np.zeros((4, 0), np.int64)]
             for lo, hi in zip(g[:-1].tolist(), g[1:].tolist(), strict=True):
-                for a, b in pairs(own[lo:hi], root[lo:hi]):
-                    both = np.unique(np.stack([a, b], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                found += [np.stack(x) for x in (star_of if stars else rest_of)(own[lo:hi], root[lo:hi], size[lo:hi], bits[lo:hi])]
+            a, r, b, apart = np.unique(np.concatenate(found, 1), axis=1)
+            order = np.lexsort((b, apart, r, a))
+            a, r, b = a[order], r[order], b[order]
+            g = runs(a, r)
+            return pa.RecordBatch.from_arrays([pa.array(a[g[:-1]]), pa.array(r[g[:-1]]), pa.ListArray.from_arrays(pa.array(g, pa.int32()), pa.array(b))], names=["a", "r", "bs"])
 
-        for batch in batches:
-            held = [np.concatenate([x, column_of(batch, c).to_numpy()]) for x, c in zip(held, ("_b", "_set", "_root"), strict=True)]
-            cut = int((held[0] != held[0][-1]).sum()) if len(held[0]) else 0
+        for b in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([b])]) if held is not None else pa.Table.from_batches([b])
+            name = held["_b"].to_numpy()
+            cut = int((name != name[-1]).sum()) if len(name) else 0
             if cut:
-                yield from flush(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield from flush(*held)
+                yield flush(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield flush(held)
+
+    dealt = rows.select("_b", "_set", "_root", "n_shingles", "_bits").repartition(F.col("_b")).sortWithinPartitions("_b")
+    return dealt.mapInArrow(run, "a long, r long, bs array<long>")
 
-    return rows.select("_b", "_set", "_root").mapInArrow(run, "a long, b long").distinct()
+
+def unlinked(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose sets are in different components so far, with _root."""
+    rows = found.join(labels, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
+    apart = rows.groupBy("_b").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).filter("lo < hi").select("_b")
+    return rows.join(apart, "_b")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the row's component)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    sets = materialize(described(docs), "sets")
-    common = common_shingles(docs, sets.count())
-    found = materialize(buckets(sketched(docs, common, parts), parts), "buckets")
-    texts = texts_by_set(docs)
-    first = found.groupBy("_b").agg(F.min("_set").alias("a"))
-    stars = found.join(first, "_b").filter("a <> _set").select("a", F.col("_set").alias("b")).distinct()
-    links = materialize(linked(stars, texts), "stars")
-    more = materialize(unlinked_pairs(found, components(links)).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    labels = components(links.union(linked(more, texts)))
-    least = sets.groupBy("_set").agg(F.min("doc_id").alias("_least")).join(labels, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
-    of_root = least.filter("_set is not null").groupBy("_root").agg(F.min("_least").alias("_first"))
+    table = materialize(described(docs), "sets")
+    sets, texts = table.filter("_h is null").select("doc_id", "n_shingles", "_set"), table.filter("_z is not null")
+    common = common_shingles(table, sets.count())
+    found = materialize(buckets(sketched(texts, common, parts), parts), "buckets")
+    bits = texts.select("_set", "n_shingles", "_bits").join(found.select("_set").distinct(), "_set", "left_semi").dropDuplicates(["_set"])
+    bits = materialize(bits, "bits")
+    stars = bucket_pairs(found.join(bits, "_set").withColumn("_root", F.col("_set")), True)
+    links = materialize(linked(stars.select("a", F.explode("bs").alias("b")).distinct(), texts), "stars")
+    labels = components(links)
+    more = materialize(bucket_pairs(unlinked(found, labels).join(bits, "_set"), False), "pairs")
+    links = materialize(links.union(linked(more.select("a", F.col("bs")[0].alias("b")).distinct(), texts)), "stars")
+    labels = components(links)
+    for c in ("a", "r"):
+        more = more.join(labels.select(F.col("_set").alias(c), F.col("_root").alias(f"_{c}")), c, "left")
+    apart = more.filter(F.coalesce("_a", "a") != F.coalesce("_r", "r")).filter(F.size("bs") > 1)
+    labels = components(links.union(linked(apart.select("a", F.explode(F.slice("bs", 2, 1 << 30)).alias("b")).distinct(), texts)))
+    least = sets.filter("_set is not null").groupBy("_set").agg(F.min("doc_id").alias("_least")).join(labels, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
+    of_root = least.groupBy("_root").agg(F.min("_least").alias("_first"))
     named = least.join(of_root, "_root").select("_set", "_first")
     return sets.join(named, "_set", "left").select("doc_id", "n_shingles", F.coalesce("_first", "doc_id").alias("component_id"))
