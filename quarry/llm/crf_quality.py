@@ -8,7 +8,7 @@ backward sums give each line's probability; weighted by length they make the
 document's, which a logistic curve fitted on the same sample turns into a score.
 
 Defined results: null text is empty, and an empty text is one empty line; repeated
-rows get equal scores; without labelled rows of both kinds every score is one half;
+rows get scores that are equal but for rounding; without labelled rows of both kinds every score is one half;
 an empty table gives an empty table; other columns are carried only if they are
 named in ``keys``.
 """

@@ -106,9 +106,34 @@ QUERIES = {
     "op10_training_order": order_and_write,
 }
 SQL = {
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        x AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS passage FROM d, unnest(generate_series(1, len(w) - 34)) AS t(i)),
+        r AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY passage) > 1),
+        g AS (SELECT DISTINCT doc_id, j FROM r, unnest(generate_series(i, i + 34)) AS t(j)),
+        p AS (SELECT doc_id, j, w[j] AS word FROM d, unnest(generate_series(1, len(w))) AS t(j)),
+        k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM p ANTI JOIN g USING (doc_id, j) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op6_secret_scans": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        rules(nth, kind, pattern, part, least) AS (VALUES
+            (0, 'assign', '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+            (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]+', 0, 24),
+            (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1), (4, 'bearer', '[Bb]earer [A-Za-z0-9._~+/=-]{20,}', 0, 1)),
+        assign AS (SELECT doc_id, 0 AS nth, 'assign' AS kind, 6 AS least, string_split_regex(t, r.pattern) AS gaps, regexp_extract_all(t, r.pattern) AS found, regexp_extract_all(t, r.pattern, 2) AS parts FROM d, rules r WHERE r.nth = 0),
+        others AS (SELECT doc_id, r.nth, r.kind, r.least, string_split_regex(t, r.pattern) AS gaps, regexp_extract_all(t, r.pattern) AS found, found AS parts FROM d, rules r WHERE r.nth > 0),
+        m AS (SELECT doc_id, nth, kind, least, i, length(gaps[i]) AS gap, length(found[i]) AS size, length(parts[i]) AS part
+              FROM (SELECT * FROM assign UNION ALL SELECT * FROM others), unnest(generate_series(1, len(found))) AS u(i)),
+        s AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, nth ORDER BY i) AS stop FROM m),
+        k AS (SELECT doc_id, nth, kind, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM s WHERE part >= least),
+        a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                     string_agg(span, ',' ORDER BY start, nth) FILTER (nth < 3) AS base, string_agg(span, ',' ORDER BY start, nth) AS spans FROM k GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a USING (doc_id)""",
     "op9_exact_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS e FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
               FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
