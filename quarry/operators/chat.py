@@ -278,16 +278,14 @@ def register_function(spark, func, description: str = ""):
     default -> required.
     """
     sig = inspect.signature(func)
-    rows = []
-    for pos, (pname, p) in enumerate((k, v) for k, v in sig.parameters.items() if k not in ("self", "cls")):
-        ptype = PY_TYPE_NAMES.get(p.annotation, "string") if p.annotation is not inspect.Parameter.empty else "string"
-        rows.append((func.__name__, description or func.__doc__ or "", pname, ptype, f"Parameter {pname}",
-                     p.default is inspect.Parameter.empty, pos))
-    ret = sig.return_annotation
-    rtype = SPARK_TYPES.get(PY_TYPE_NAMES.get(ret, "string"), "string") if ret is not inspect.Signature.empty else "string"
-    convert = {str: str, int: int, float: float, bool: bool}
-    arg_conv = [convert.get(p.annotation) for k, p in sig.parameters.items() if k not in ("self", "cls")]
-    out_conv = convert.get(ret, str) if ret is not inspect.Signature.empty else str
+    params = [p for p in sig.parameters.values() if p.name not in ("self", "cls")]
+    about = description or func.__doc__ or ""
+    rows = [(func.__name__, about, p.name, PY_TYPE_NAMES.get(p.annotation, "string"), f"Parameter {p.name}", p.default is p.empty, i)
+            for i, p in enumerate(params)]
+    rtype = SPARK_TYPES[PY_TYPE_NAMES.get(sig.return_annotation, "string")]
+    known = set(PY_TYPE_NAMES)
+    arg_conv = [p.annotation if p.annotation in known else None for p in params]
+    out_conv = sig.return_annotation if sig.return_annotation in known else str
 
     def call(*args):
         # SQL literals arrive as Decimal/str/etc.; coerce by the annotations, as a JSON-schema caller would

@@ -351,7 +351,9 @@ def running_loss(steps: DataFrame, run_col: str, step_col: str, loss_col: str) -
 
 
 def value_histogram(df: DataFrame, name_col: str, value_col: str, bins: int) -> DataFrame:
-    """Equal-width histogram of values per name over [min, max] (bins buckets)."""
+    """Equal-width histogram of values per name over [min, max] (bins buckets); NULL values are
+    in no bucket."""
+    df = df.filter(F.col(value_col).isNotNull())
     rng = df.groupBy(name_col).agg(F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi"))
     j = df.join(rng, name_col)
     width = (F.col("_hi") - F.col("_lo"))
@@ -394,10 +396,13 @@ TRAIN_LINE_RX = r"([A-Za-z0-9_]+)/([A-Za-z0-9_]+)=([^ ]+)"
 
 
 def parse_train_lines(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
-    """``prefix/key=value`` tokens of a log line -> map key -> double."""
-    keys = F.regexp_extract_all(F.col(line_col), F.lit(TRAIN_LINE_RX), 2)
-    vals = F.transform(F.regexp_extract_all(F.col(line_col), F.lit(TRAIN_LINE_RX), 3), lambda v: v.try_cast("double"))
-    return df.select(id_col, F.map_from_arrays(keys, vals).alias("metrics"))
+    """``prefix/key=value`` tokens of a log line -> map prefix/key -> double; of a token that
+    the line repeats, the last value."""
+    parts = [F.regexp_extract_all(F.col(line_col), F.lit(TRAIN_LINE_RX), i) for i in (1, 2, 3)]
+    keys = F.zip_with(parts[0], parts[1], lambda p, k: F.concat_ws("/", p, k))
+    pairs = F.zip_with(keys, parts[2], lambda k, v: F.struct(k.alias("k"), v.try_cast("double").alias("v")))
+    last = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1))
+    return df.select(id_col, F.map_from_entries(last).alias("metrics"))
 
 
 def trace_by_correlation(logs: DataFrame, cid_col: str, ts_col: str, level_col: str) -> DataFrame:

@@ -33,9 +33,9 @@ DEFAULT_WARMUP_RATIO = 0.02
 
 
 def uniform(seed: int, *parts) -> Column:
-    """md5 uniform in [0, 1) of 'seed:p1:p2...'."""
+    """md5 uniform in [0, 1) of 'seed:p1:p2...', with the 52 bits that a double holds."""
     s = F.concat_ws(":", F.lit(str(seed)), *[col_(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 # ------------------------------------------------------------------ mixing
@@ -102,17 +102,10 @@ def mix_report(plan: DataFrame, weights: DataFrame, source_col: str = "name") ->
 def curriculum_table(spark, stages: list[tuple], warmup_ratio: float = DEFAULT_WARMUP_RATIO) -> DataFrame:
     """Stages -> (stage, seq_len, num_steps, batch_size, lr, step_lo, step_hi,
     total_steps, max_seq_len, warmup_steps); lengths must not decrease."""
-    rows = []
-    for i, st in enumerate(stages):
-        seq_len, steps = st[0], st[1]
-        bs = st[2] if len(st) > 2 else None
-        lr = st[3] if len(st) > 3 else None
-        if i and seq_len < stages[i - 1][0]:
-            raise ValueError(f"Stages must be ordered by increasing seq_len: stage {i} ({seq_len}) < "
-                             f"stage {i - 1} ({stages[i - 1][0]})")
-        rows.append((i, seq_len, steps, bs, lr))
-    if not rows:
-        raise ValueError("At least one curriculum stage is required")
+    rows = [(i, *(tuple(st) + (None, None))[:4]) for i, st in enumerate(stages)]
+    lengths = [r[1] for r in rows]
+    if not rows or lengths != sorted(lengths):
+        raise ValueError(f"a curriculum needs stages in increasing order of length, not {lengths}")
     df = spark.createDataFrame(rows, "stage int, seq_len bigint, num_steps bigint, batch_size int, lr double")
     w = Window.orderBy("stage").rowsBetween(Window.unboundedPreceding, 0)  # a handful of stage rows
     allw = Window.partitionBy(F.lit(0))

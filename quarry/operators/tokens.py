@@ -17,6 +17,7 @@ Plan shape (no step gathers a shard or the stream in one place):
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,27 +111,23 @@ def encode_with_specials(text, add_bos: bool = False, add_eos: bool = False) ->
 
 
 def detokenize_bytes(ids: pd.Series, skip_special: bool = True) -> pd.Series:
-    """ids -> text: regular ids as bytes (invalid UTF-8 replaced), specials kept or skipped."""
-    out = []
-    for arr in ids:
-        if arr is None:
-            out.append(None)
-            continue
-        parts, run = [], bytearray()
-        for tid in arr:
-            tid = int(tid)
-            if BYTE_BASE <= tid < VOCAB_SIZE:
-                if run:
-                    parts.append(run.decode("utf-8", errors="replace"))
-                    run = bytearray()
-                if not skip_special:
-                    parts.append(SPECIAL_TOKENS[tid - BYTE_BASE])
-            elif 0 <= tid < BYTE_BASE:
-                run.append(tid)
-        if run:
-            parts.append(run.decode("utf-8", errors="replace"))
-        out.append("".join(parts))
-    return pd.Series(out)
+    """ids -> text: regular ids as bytes (invalid UTF-8 replaced), specials kept or skipped.
+
+    A special id ends a stretch of bytes, so that no character is read across it; other
+    ids outside the vocabulary are left out."""
+    def text(a):
+        if a is None:
+            return None
+        a = np.asarray(a, np.int64)
+        a = a[(a >= 0) & (a < VOCAB_SIZE)]
+        marks = np.flatnonzero(a >= BYTE_BASE)
+        stretches = [x.astype(np.uint8).tobytes().decode("utf-8", errors="replace") for x in np.split(np.where(a < BYTE_BASE, a, 0), marks)]
+        names = [] if skip_special else [SPECIAL_TOKENS[i - BYTE_BASE] for i in a[marks].tolist()]
+        # each stretch but the first begins with its mark's place (a zero byte)
+        rest = [x[1:] for x in stretches[1:]]
+        return stretches[0] + "".join((names[i] if names else "") + x for i, x in enumerate(rest))
+
+    return pd.Series([text(a) for a in ids], dtype=object)
 
 
 @F.pandas_udf(T.StringType())

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,10 @@ def list_files(spark: SparkSession, base: str, recursive: bool = True, glob: str
         r = r.option("pathGlobFilter", glob)
     try:
         df = r.load(base)
-    except Exception:  # noqa: BLE001 - missing directory = no files
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # a missing directory has no files
         return spark.createDataFrame([], "path string, name string, ext string, length long, modificationTime timestamp")
     return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
                      _ext(F.col("path")).alias("ext"), "length", "modificationTime")
@@ -113,7 +117,7 @@ def _jsonl_records(lines: DataFrame) -> DataFrame:
     ``conversations`` values as a second record; malformed lines skipped."""
     from quarry.functions.text import py_strip
     s = lines.select("path", py_strip("value").alias("line")).filter(F.col("line") != "")
-    v = s.select("path", F.try_parse_json("line").alias("v")).filter(F.col("v").isNotNull())
+    v = s.select("path", strict_json("line").alias("v")).filter(F.col("v").isNotNull())
     first = first_string("v", JSONL_TEXT_FIELDS)
     conv = F.try_variant_get(F.col("v"), "$.conversations", "array<variant>")
     parts = F.filter(F.transform(conv, lambda m: F.when(vtype(m) == "STRING", F.variant_get(m, "$", "string"))
@@ -230,14 +234,38 @@ SHAREGPT_ROLES = {"human": "user", "gpt": "assistant", "system": "system",
                   "observation": "tool", "function_call": "assistant"}
 
 
+def strict_json(text) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else; NULL otherwise.  (The parser
+    stops after the first value; inside brackets what follows it is an error.)"""
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), col_(text), F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, items[0])
+
+
+def _line_key() -> Column:
+    """Key of a line of a text scan: equal lines of one file have different ones."""
+    return F.md5(F.concat_ws(":", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")))
+
+
+def _json_records(spark: SparkSession, paths) -> DataFrame:
+    """(conv_key, v): the records of JSONL files (by line, so that files are split) and of JSON
+    files (an array, an object, or lines); records that are not JSON are left out."""
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(paths)
+    lines = lines.select(_line_key().alias("conv_key"), strict_json("value").alias("v"))
+    whole = spark.read.option("pathGlobFilter", "*[!l]").text(paths, wholetext=True)
+    whole = whole.select(F.col("_metadata.file_path").alias("path"), "value", strict_json("value").alias("v"))
+    items = F.coalesce(F.try_variant_get(F.col("v"), "$", "array<variant>"), F.when(F.col("v").isNotNull(), F.array("v")),
+                       F.transform(F.split("value", "\n"), strict_json))
+    whole = whole.select("path", F.posexplode(items).alias("item_no", "v"))
+    whole = whole.select(F.md5(F.concat_ws(":", "path", F.col("item_no").cast("string"))).alias("conv_key"), "v")
+    return lines.unionByName(whole).filter(F.col("v").isNotNull())
+
+
 def read_openai_chat(spark: SparkSession, paths) -> DataFrame:
     """JSONL {"messages": [...], "metadata": {...}} -> long form
     (conv_key, turn, role, content, tool_call_id); role defaults to user,
     content to ''; conversations without messages dropped."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.btrim("value").alias("line"))
-    lines = lines.filter(F.col("line") != "")
-    p = lines.select(F.md5(F.concat_ws("\u0001", "path", "line")).alias("conv_key"),
-                     F.from_json("line", OPENAI_SCHEMA).alias("o"))
+    lines = spark.read.text(paths).select(_line_key().alias("conv_key"), F.btrim("value").alias("line"))
+    p = lines.filter(F.col("line") != "").select("conv_key", F.from_json("line", OPENAI_SCHEMA).alias("o"))
     e = p.select("conv_key", F.posexplode(F.col("o.messages")).alias("turn", "m"))
     return e.select("conv_key", "turn", F.coalesce("m.role", F.lit("user")).alias("role"),
                     F.coalesce("m.content", F.lit("")).alias("content"), F.col("m.tool_call_id").alias("tool_call_id"))
@@ -250,16 +278,7 @@ def sharegpt_role(speaker) -> Column:
 
 def read_sharegpt_chat(spark: SparkSession, paths) -> DataFrame:
     """JSON array / object / JSONL of {"conversations": [{from, value}]}."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"),
-                                                          F.try_parse_json("value").alias("v"), "value")
-    as_array = F.try_variant_get(F.col("v"), "$", "array<variant>")
-    items = F.when(as_array.isNotNull(), as_array).when(vtype("v").startswith("OBJECT"), F.array(F.col("v")))
-    # JSONL files: the whole-file parse fails; parse line by line
-    lines = F.transform(F.filter(F.split(F.col("value"), "\n"), lambda x: F.btrim(x) != ""), lambda x: F.try_parse_json(x))
-    items = F.coalesce(items, lines)
-    convs = whole.select("path", F.posexplode(items).alias("item_no", "it"))
-    turns = convs.select(F.md5(F.concat_ws(":", "path", F.col("item_no").cast("string"))).alias("conv_key"),
-                         F.posexplode(F.try_variant_get(F.col("it"), "$.conversations", "array<variant>")).alias("turn", "t"))
+    turns = _json_records(spark, paths).select("conv_key", F.posexplode(F.try_variant_get(F.col("v"), "$.conversations", "array<variant>")).alias("turn", "t"))
     return turns.select("conv_key", "turn", sharegpt_role(F.try_variant_get(F.col("t"), "$.from", "string")).alias("role"),
                         F.coalesce(F.try_variant_get(F.col("t"), "$.value", "string"), F.lit("")).alias("content"))
 
@@ -276,15 +295,20 @@ def alpaca_turns(instruction, inp, output) -> Column:
 
 
 def read_alpaca(spark: SparkSession, paths) -> DataFrame:
-    recs = spark.read.option("multiLine", True).schema("instruction string, input string, output string").json(paths)
-    recs = recs.withColumn("conv_key", F.md5(F.to_json(F.struct("*"))))
+    """JSON array / object / JSONL of {"instruction", "input", "output"}; equal records stay apart."""
+    fields = [F.try_variant_get(F.col("v"), f"$.{c}", "string").alias(c) for c in ("instruction", "input", "output")]
+    recs = _json_records(spark, paths).select("conv_key", *fields)
     e = recs.select("conv_key", F.posexplode(alpaca_turns("instruction", "input", "output")).alias("turn", "t"))
     return e.select("conv_key", "turn", "t.role", "t.content")
 
 
 def read_preferences(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL prompt/chosen/rejected (missing -> ''); an empty file is an error."""
-    df = spark.read.schema("prompt string, chosen string, rejected string").json(path).na.fill("")
+    """JSONL prompt/chosen/rejected (missing -> ''); lines that are not JSON objects are left
+    out; no sample at all is an error."""
+    fields = "prompt string, chosen string, rejected string, _bad string"
+    lines = spark.read.text(path).filter(F.btrim("value") != "")
+    rows = lines.select(F.from_json("value", fields, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    df = rows.filter(F.col("_bad").isNull()).drop("_bad").na.fill("")
     if df.limit(1).count() == 0:
         raise ValueError(f"No preference samples found in {path}")
     return df

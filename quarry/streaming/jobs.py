@@ -274,7 +274,7 @@ def stream_train_metrics(stream: DataFrame, run_col: str, step_col: str, loss_co
             s += float(l)
             n += 1
             if int(st) % every == 0:
-                rows.append((int(st), round(s, 2), n))
+                rows.append((int(st), s, n))
         state.update((s, n))
         yield pd.DataFrame(rows, columns=[step_col, "loss_sum", "steps"]).assign(**{run_col: key[0]})[
             [run_col, step_col, "loss_sum", "steps"]]

@@ -30,7 +30,7 @@ def u(*parts):
 
 def u_sql(*parts):
     inner = " || ':' || ".join(f"CAST({p} AS VARCHAR)" if not p.startswith("'") else p for p in parts)
-    return f"(('0x' || substr(md5('{SEED}:' || {inner}), 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5('{SEED}:' || {inner}), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
 def _docs(spark, sf):

@@ -193,8 +193,8 @@ def q_parse_train_lines(spark, sf):
     line = F.format_string("train/step=%d train/loss=%.4f train/tok_per_s=%d", F.col("event_id"), F.col("value"),
                            F.get_json_object("props", "$.k").cast("int"))
     p = LG.parse_train_lines(e.select("event_id", line.alias("line")), "event_id", "line")
-    return p.select("event_id", F.col("metrics")["step"].alias("step"), F.col("metrics")["loss"].alias("loss"),
-                    F.col("metrics")["tok_per_s"].alias("tok_per_s"))
+    return p.select("event_id", F.col("metrics")["train/step"].alias("step"), F.col("metrics")["train/loss"].alias("loss"),
+                    F.col("metrics")["train/tok_per_s"].alias("tok_per_s"))
 
 
 def q_trace_by_correlation(spark, sf):

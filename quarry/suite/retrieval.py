@@ -86,7 +86,7 @@ res AS (SELECT r.q_id, CAST(r.rank AS BIGINT) AS rank, r.doc_id, r.chunk_index,
 """
 
 SQL = {
-    "doc_id": "SELECT doc_id, substr(md5(left(text, 1000)), 1, 12) AS doc_key FROM documents",
+    "doc_id": "SELECT doc_id, substr(md5(text), 1, 12) AS doc_key FROM documents",
     "chunk_documents": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, content, "
                        f"CAST(length(content) AS BIGINT) AS n_chars FROM chunks",
     "index_stats": f"WITH {_CHUNKS} SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS num_documents, "

@@ -16,7 +16,7 @@ SQL = E.oracle_sql()
 
 def test_every_key_has_an_oracle():
     missing = [k for k in KEYS if k not in SQL]
-    assert missing == [] or all(k in ("html_to_text", "serp_html_parse") for k in missing), missing
+    assert missing == []
 
 
 @pytest.mark.parametrize("key", KEYS)
