@@ -399,14 +399,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     stars = bucket_pairs(found.join(bits, "_set").withColumn("_root", F.col("_set")), True)
     links = materialize(linked(stars.select("a", F.explode("bs").alias("b")).distinct(), texts), "stars")
     labels = components(links)
-    more = materialize(bucket_pairs(unlinked(found, labels).join(bits, "_set"), False), "pairs")
+    more = bucket_pairs(unlinked(found, labels).join(bits, "_set"), False)  # tasks have much the same lists
+    more = materialize(more.groupBy("a", "r").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")), "pairs")
     links = materialize(links.union(linked(more.select("a", F.col("bs")[0].alias("b")).distinct(), texts)), "stars")
     labels = components(links)
     for c in ("a", "r"):
         more = more.join(labels.select(F.col("_set").alias(c), F.col("_root").alias(f"_{c}")), c, "left")
-    apart = more.filter(F.coalesce("_a", "a") != F.coalesce("_r", "r"))
-    lists = apart.groupBy("a", "r").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))  # tasks have much the same
-    labels = components(links.union(linked(lists.select("a", F.explode("bs").alias("b")), texts)))
+    apart = more.filter(F.coalesce("_a", "a") != F.coalesce("_r", "r")).filter(F.size("bs") > 1)
+    labels = components(links.union(linked(apart.select("a", F.explode(F.slice("bs", 2, 1 << 30)).alias("b")), texts)))
     least = sets.filter("_set is not null").groupBy("_set").agg(F.min("doc_id").alias("_least")).join(labels, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
     of_root = least.groupBy("_root").agg(F.min("_least").alias("_first"))
     named = least.join(of_root, "_root").select("_set", "_first")
