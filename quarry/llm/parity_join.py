@@ -16,8 +16,9 @@ Very common shingles are left out of the sketches (what is left differs no more)
 A set that then has too few non-empty parts gives all it has and, besides, its
 size//3 + 1 least whole shingles; two such sets share one of those.
 
-Verify.  Sets that share keys are buckets.  Each bucket's sets are compared with
-its first; then each with the likeliest of every other component in the bucket; then
+Verify.  Sets that share keys are buckets.  Each set is compared with the least of
+the first sets of its buckets that its sketch allows; then, in every bucket that is not
+one component by now, each with the likeliest of every other component; then
 all that are still not linked through others.  A pair is dropped if its sizes, or the
 bits in which its bit sketches (a parity bit for each of once to twice as many places
 as shingles) differ, rule the similarity out; what is left is compared exactly, on the shingles of both texts.  Links that join
@@ -92,7 +93,7 @@ def described(docs: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
-        pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
+        pack, seen = zstandard.ZstdCompressor(level=6).compress, set()
         names = ["doc_id", "n_shingles", "_set", "_z", "_bits", "_h", "_often"]
         for whole in batches:
             for b in chunks(whole, "_text"):
@@ -159,8 +160,8 @@ def sketch_keys(row: np.ndarray, value: np.ndarray, size: np.ndarray, common: np
 
 
 def sketched(texts: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
-    """_q (the key's part of the key space), keys (32 bits each), rows (index into sets), sets:
-    the keys of a batch of sets (_z) that fall to one part."""
+    """_q (the key's part of the key space), keys (32 bits each), counts (keys of each set), sets:
+    the keys of a batch of sets (_z) that fall to one part, in order of the sets."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -170,19 +171,19 @@ def sketched(texts: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
                 ids = set_ids(value, at)
                 r, key = sketch_keys(row, value, np.diff(at), shared.value)
                 q = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                order = np.argsort(q, kind="stable")
+                order = np.argsort(q << np.uint64(32) | r.astype(np.uint64))
                 r, key, q = r[order], key[order].astype(np.uint32), q[order]
                 g = runs(q)
-                cols = {"_q": [], "keys": [], "rows": [], "sets": []}
+                cols = {"_q": [], "keys": [], "counts": [], "sets": []}
                 for lo, hi in zip(g[:-1].tolist(), g[1:].tolist(), strict=True):
-                    own, place = np.unique(r[lo:hi], return_inverse=True)
+                    own = runs(r[lo:hi])
                     cols["_q"].append(int(q[lo]))
                     cols["keys"].append(key[lo:hi].tobytes())
-                    cols["rows"].append(place.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes())
-                    cols["sets"].append(ids[own].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cols["_q"], pa.int32()), *(pa.array(cols[c], pa.binary()) for c in ("keys", "rows", "sets"))], names=list(cols))
+                    cols["counts"].append(np.diff(own).astype(np.min_scalar_type(int(np.diff(own).max()))).tobytes())
+                    cols["sets"].append(ids[r[lo:hi][own[:-1]]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(cols["_q"], pa.int32()), *(pa.array(cols[c], pa.binary()) for c in ("keys", "counts", "sets"))], names=list(cols))
 
-    return texts.select("_z").mapInArrow(run, "_q int, keys binary, rows binary, sets binary")
+    return texts.select("_z").mapInArrow(run, "_q int, keys binary, counts binary, sets binary")
 
 
 def buckets(keys: DataFrame, parts: int) -> DataFrame:
@@ -190,10 +191,10 @@ def buckets(keys: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         key, own = [], []
         for b in batches:
-            for k, r, s in zip(*(column_of(b, c).to_pylist() for c in ("keys", "rows", "sets")), strict=True):
-                s = np.frombuffer(s, np.uint64)
+            for k, n, s in zip(*(column_of(b, c).to_pylist() for c in ("keys", "counts", "sets")), strict=True):
                 key.append(np.frombuffer(k, np.uint32))
-                own.append(s[np.frombuffer(r, np.uint16 if len(s) < 65536 else np.uint32)])
+                s = np.frombuffer(s, np.uint64)
+                own.append(np.repeat(s, np.frombuffer(n, f"u{len(n) // len(s)}")))
         if not key:
             return
         key, own = np.concatenate(key), np.concatenate(own)
@@ -397,7 +398,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     bits = texts.select("_set", "n_shingles", "_bits").join(found.select("_set").distinct(), "_set", "left_semi").dropDuplicates(["_set"])
     bits = materialize(bits, "bits")
     stars = bucket_pairs(found.join(bits, "_set").withColumn("_root", F.col("_set")), True)
-    links = materialize(linked(stars.select("a", F.explode("bs").alias("b")).distinct(), texts), "stars")
+    links = materialize(linked(stars.select(F.explode("bs").alias("b"), "a").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), "stars")
     labels = components(links)
     more = bucket_pairs(unlinked(found, labels).join(bits, "_set"), False)  # tasks have much the same lists
     more = materialize(more.groupBy("a", "r").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")), "pairs")
