@@ -309,10 +309,13 @@ def plan_steps(df: DataFrame, key_cols: list[str], text_col: str, task_col: str)
 
 
 def agent_trace_summary(steps: DataFrame, trace_col: str, order_col: str, action_col: str,
-                        obs_col: str, success_col: str, retry_col: str, total_col: str) -> DataFrame:
+                        obs_col: str, success_col: str, retry_col: str, total_col: str,
+                        obs_chars: int | None = None) -> DataFrame:
     """Per trace: steps, retries, success share, progress = done/total (1 if no
-    planned steps), summary lines ``Step i: action -> observation[:200]``."""
-    line = F.concat(F.col(action_col), F.lit(" -> "), F.substring(F.col(obs_col), 1, 200))
+    planned steps), summary lines ``Step i: action -> observation``; ``obs_chars``
+    shows so many characters of each observation only."""
+    seen = F.col(obs_col) if obs_chars is None else F.substring(F.col(obs_col), 1, obs_chars)
+    line = F.concat(F.col(action_col), F.lit(" -> "), seen)
     g = steps.groupBy(trace_col).agg(
         F.count(F.lit(1)).cast("bigint").alias("steps"),
         F.sum(F.col(retry_col).cast("int")).cast("bigint").alias("retries"),
@@ -326,7 +329,7 @@ def agent_trace_summary(steps: DataFrame, trace_col: str, order_col: str, action
     prog = F.when(F.coalesce(F.col("_total"), F.lit(0)) == 0, F.lit(1.0)).otherwise(
         F.least(F.col("_done"), F.col("_total")) / F.col("_total"))
     return g.select(trace_col, "steps", "retries", "success_share", prog.alias("progress"),
-                    F.md5(summary).alias("summary_md5"))
+                    summary.alias("summary"))
 
 
 def conversation_json(conv: DataFrame, system_prompt: DataFrame | None, max_tokens: int,

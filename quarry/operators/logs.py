@@ -1,8 +1,8 @@
 """Audit chains, access control, request logs and training-metric tables.
 
 Sequential per-key semantics (rate limiter, TTL cache, hash chain) are
-replayed by streaming each hash partition, sorted by (key, time), through a
-pandas iterator that keeps only the current key's state.  A key's history is
+replayed by streaming each hash partition, sorted by (key, time), as Arrow
+batches through a fold that keeps only the current key's state.  A key's history is
 never collected into one array, one pandas frame or the driver; a hot key is
 processed sequentially because its answer is sequential by definition.
 """
@@ -15,6 +15,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,8 @@ def epoch_us(c) -> Column:
 
 # ------------------------------------------------------------- replays
 
-def _key_tuples(pdf: pd.DataFrame, key_cols: list[str]):
-    return list(pdf[key_cols].itertuples(index=False, name=None))
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+    return [batch.column(batch.schema.get_field_index(c)) for c in names]
 
 
 def rate_limit_replay(events: DataFrame, key_cols: list[str], ts_col: str, id_col: str,
@@ -41,7 +42,8 @@ def rate_limit_replay(events: DataFrame, key_cols: list[str], ts_col: str, id_co
     """Replay a sliding-window limiter: a request is admitted iff fewer than
     ``requests_per_window`` admitted requests of its key lie in the last
     ``window_seconds`` (strictly newer than ts - window).  Rejected requests
-    leave no trace.  Ties in time are ordered by ``id_col``.
+    leave no trace.  Ties in time are ordered by ``id_col``.  A NULL key is one key;
+    a request without a time is rejected.
 
     Returns (id, *keys, allowed, admitted_in_window).
     """
@@ -49,25 +51,23 @@ def rate_limit_replay(events: DataFrame, key_cols: list[str], ts_col: str, id_co
     limit = int(requests_per_window)
     prepared = events.select(id_col, *key_cols, epoch_us(F.col(ts_col)).alias("_t"))
 
-    def fold(batches, keys):
-        cur, admitted = None, deque()
-        for pdf in batches:
-            ks = _key_tuples(pdf, keys)
-            ts = pdf["_t"].to_numpy()
-            allowed = np.zeros(len(pdf), dtype=bool)
-            inwin = np.zeros(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
-                if ks[i] != cur:
-                    cur, admitted = ks[i], deque()
-                t = int(ts[i])
-                while admitted and not (t - admitted[0] < win_us):
-                    admitted.popleft()
-                if len(admitted) < limit:
-                    admitted.append(t)
-                    allowed[i] = True
+    def fold(batches):
+        admitted = deque()
+        for batch, new in batches:
+            allowed = np.zeros(batch.num_rows, dtype=bool)
+            inwin = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, (t, starts) in enumerate(zip(_columns(batch, ["_t"])[0].to_pylist(), new.tolist())):
+                if starts:
+                    admitted = deque()
+                if t is not None:
+                    while admitted and not (t - admitted[0] < win_us):
+                        admitted.popleft()
+                    if len(admitted) < limit:
+                        admitted.append(t)
+                        allowed[i] = True
                 inwin[i] = len(admitted)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), **{k: pdf[k].to_numpy() for k in keys},
-                                "allowed": allowed, "admitted_in_window": inwin})
+            yield pa.RecordBatch.from_arrays([*_columns(batch, [id_col, *key_cols]), pa.array(allowed), pa.array(inwin)],
+                                             names=schema.names)
 
     schema = T.StructType([events.schema[id_col]] + [events.schema[k] for k in key_cols] +
                           [T.StructField("allowed", T.BooleanType()),
@@ -79,25 +79,25 @@ def ttl_cache_replay(events: DataFrame, key_cols: list[str], ts_col: str, ttl_se
                      id_col: str = "event_id") -> DataFrame:
     """Replay a TTL cache refreshed only on a miss: per key in time order, a
     request hits iff ``ts - last_miss < ttl``; otherwise it misses and becomes
-    the new ``last_miss``.  Returns (id, *keys, hit)."""
+    the new ``last_miss``.  A NULL key is one key; a request without a time misses and is
+    not remembered.  Returns (id, *keys, hit)."""
     ttl_us = int(round(ttl_seconds * 1_000_000))
     prepared = events.select(id_col, *key_cols, epoch_us(F.col(ts_col)).alias("_t"))
 
-    def fold(batches, keys):
-        cur, last = None, None
-        for pdf in batches:
-            ks = _key_tuples(pdf, keys)
-            ts = pdf["_t"].to_numpy()
-            hit = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if ks[i] != cur:
-                    cur, last = ks[i], None
-                t = int(ts[i])
+    def fold(batches):
+        last = None
+        for batch, new in batches:
+            hit = np.zeros(batch.num_rows, dtype=bool)
+            for i, (t, starts) in enumerate(zip(_columns(batch, ["_t"])[0].to_pylist(), new.tolist())):
+                if starts:
+                    last = None
+                if t is None:
+                    continue
                 if last is not None and t - last < ttl_us:
                     hit[i] = True
                 else:
                     last = t
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), **{k: pdf[k].to_numpy() for k in keys}, "hit": hit})
+            yield pa.RecordBatch.from_arrays([*_columns(batch, [id_col, *key_cols]), pa.array(hit)], names=schema.names)
 
     schema = T.StructType([events.schema[id_col]] + [events.schema[k] for k in key_cols] +
                           [T.StructField("hit", T.BooleanType())])
@@ -132,23 +132,21 @@ def audit_chain_build(entries: DataFrame, chain_col: str, order_cols: list[str],
     prepared = entries.select(chain_col, *[c for c in order_cols if c != chain_col],
                               "timestamp", "event_type", "severity", "payload")
 
-    def fold(batches, keys):
-        cur, prev, seq = None, GENESIS, 0
-        for pdf in batches:
-            ks = _key_tuples(pdf, keys)
+    def fold(batches):
+        prev, seq = GENESIS, 0
+        for batch, new in batches:
             prevs, hashes, seqs = [], [], []
-            for i, row in enumerate(pdf[["timestamp", "event_type", "severity", "payload"]].itertuples(index=False, name=None)):
-                if ks[i] != cur:
-                    cur, prev, seq = ks[i], GENESIS, 0
-                h = _digest(algo, canonical_entry(row[0], row[1], row[2], row[3], prev))
+            fields = _columns(batch, ["timestamp", "event_type", "severity", "payload"])
+            for starts, *row in zip(new.tolist(), *(f.to_pylist() for f in fields)):
+                if starts:
+                    prev, seq = GENESIS, 0
+                h = _digest(algo, canonical_entry(*row, prev))
                 prevs.append(prev)
                 hashes.append(h)
                 seqs.append(seq)
                 prev, seq = h, seq + 1
-            yield pd.DataFrame({chain_col: pdf[chain_col].to_numpy(), "seq": np.array(seqs, dtype=np.int64),
-                                "timestamp": pdf["timestamp"], "event_type": pdf["event_type"],
-                                "severity": pdf["severity"], "payload": pdf["payload"],
-                                "prev_hash": prevs, "hash": hashes})
+            yield pa.RecordBatch.from_arrays([*_columns(batch, [chain_col]), pa.array(seqs, pa.int64()), *fields,
+                                              pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=schema.names)
 
     schema = T.StructType([entries.schema[chain_col], T.StructField("seq", T.LongType())] +
                           [T.StructField(c, T.StringType()) for c in ("timestamp", "event_type", "severity",
@@ -342,10 +340,11 @@ def metrics_sampled(steps: DataFrame, interval: int, step_col: str, metric_cols:
     return long.filter(F.col("value").isNotNull())
 
 
-def running_loss(steps: DataFrame, run_col: str, step_col: str, loss_col: str) -> DataFrame:
-    """Running mean loss per run, block-wise (a long run is not one task)."""
-    s = running_sum(steps, [run_col, step_col], loss_col, "_sum", partition_cols=[run_col])
-    s = running_sum(s.withColumn("_one", F.lit(1)), [run_col, step_col], "_one", "_cnt", partition_cols=[run_col])
+def running_loss(steps: DataFrame, run_col: str, step_col: str, loss_col: str, id_col: str | None = None) -> DataFrame:
+    """Running mean loss per run, block-wise (a long run is not one task).  ``id_col`` orders
+    the rows of a run that have the same step."""
+    order = [run_col, step_col] + ([id_col] if id_col else [])
+    s = running_sum(steps.withColumn("_one", F.lit(1)), order, [loss_col, "_one"], ["_sum", "_cnt"], partition_cols=[run_col])
     return (s.withColumn("running_loss", F.col("_sum") / F.col("_cnt"))
              .withColumnRenamed("_sum", "loss_sum").withColumnRenamed("_cnt", "steps").drop("_one"))
 

@@ -41,7 +41,8 @@ def uniform(seed: int, *parts) -> Column:
 # ------------------------------------------------------------------ mixing
 
 def mix_weights(sources: DataFrame, name_col: str = "name", weight_col: str | None = "weight") -> DataFrame:
-    """Normalised weights (equal when no weight column), cumulative ranges and pct."""
+    """Normalised weights (equal when no weight column), cumulative ranges and pct.  Each range
+    begins where the one before ends, and the last one of any weight ends at 1."""
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     s = sources.withColumn("_w", w)
     tot = s.agg(F.sum("_w").alias("_tot"), F.count(F.lit(1)).alias("_cnt"))
@@ -49,8 +50,10 @@ def mix_weights(sources: DataFrame, name_col: str = "name", weight_col: str | No
     s = s.withColumn("weight_norm", F.when(F.col("_tot") > 0, F.col("_w") / F.col("_tot"))
                      .otherwise(F.lit(1.0) / F.col("_cnt")))
     order = Window.orderBy(name_col).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_hi", F.sum("weight_norm").over(order))  # one row per source: a tiny single window
-    return s.select("*", (F.col("_hi") - F.col("weight_norm")).alias("range_lo"), F.col("_hi").alias("range_hi"),
+    after = Window.orderBy(name_col).rowsBetween(1, Window.unboundedFollowing)
+    closed = F.coalesce(F.sum("weight_norm").over(after), F.lit(0.0)) == 0
+    s = s.withColumn("_hi", F.when(closed, F.lit(1.0)).otherwise(F.sum("weight_norm").over(order)))  # a row per source
+    return s.select("*", F.lag("_hi", 1, 0.0).over(Window.orderBy(name_col)).alias("range_lo"), F.col("_hi").alias("range_hi"),
                     (F.col("weight_norm") * 100).alias("pct")).drop("_w", "_tot", "_cnt", "_hi")
 
 

@@ -1,9 +1,9 @@
 """Content safety: ordered pattern categories evaluated as Catalyst predicates.
 
 A policy is an ordered list of (category, patterns) plus the enabled list.
-Each category becomes one case-insensitive ``rlike`` over an alternation of
-its patterns; a ``CASE WHEN`` chain in enabled order returns the first
-matching category.  Nothing leaves the JVM: no UDF, whole-stage codegen
+Each category becomes an ``OR`` of case-insensitive ``rlike`` tests, one per
+pattern; a ``CASE WHEN`` chain in enabled order returns the first matching
+category.  Nothing leaves the JVM: no UDF, whole-stage codegen
 keeps the chain inside the scan's stage.
 """
 
@@ -60,8 +60,8 @@ def python_regex_to_portable(p: str) -> str:
     """Rewrite Python-``re`` classes so Java regex and RE2 give Python's answer.
 
     ``\\s`` -> Python's Unicode whitespace set, ``\\w`` -> letters, numbers,
-    underscore; a ``\\b`` that ends an alternative after a word character ->
-    "followed by a non-word character or the end" (equivalent for a search).
+    underscore; a ``\\b`` next to a word character at an end of an alternative ->
+    a non-word character or the end of the text (equivalent for a search).
     """
     out, i, in_class = [], 0, False
     while i < len(p):
@@ -75,10 +75,12 @@ def python_regex_to_portable(p: str) -> str:
             elif nxt == "w":
                 out.append(_WORD_BODY if in_class else f"[{_WORD_BODY}]")
             elif nxt == "b" and not in_class:
-                end_of_alt = i + 2 == len(p) or p[i + 2] in "|)"
-                if not end_of_alt:
+                if i + 2 == len(p) or p[i + 2] in "|)":
+                    out.append(f"(?:[^{_WORD_BODY}]|$)")
+                elif i == 0 or p[i - 1] in "|(":
+                    out.append(f"(?:^|[^{_WORD_BODY}])")
+                else:
                     raise ValueError(f"unsupported \\b position in {p!r}")
-                out.append(f"(?:[^{_WORD_BODY}]|$)")
             else:
                 out.append(p[i:i + 2])
             i += 2
@@ -92,9 +94,58 @@ def python_regex_to_portable(p: str) -> str:
     return "".join(out)
 
 
-def category_regex(patterns: list[str]) -> str:
-    """One case-insensitive alternation for a category (first match = any match)."""
-    return "(?i)" + "|".join(f"(?:{python_regex_to_portable(p)})" for p in patterns)
+_BODIES = {"s": _WS_BODY, "d": "\\p{Nd}", "w": _WORD_BODY}
+_WORD, _ELSE = f"[{_WORD_BODY}]", f"[^{_WORD_BODY}]"
+_BOUNDARIES = {"b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))",
+               "B": f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"}
+
+
+def python_regex_to_java(p: str) -> str:
+    """Rewrite a Python pattern for Java's engine: ``\\s \\w \\d``, their opposites (in
+    classes too) and ``\\b \\B`` anywhere keep Python's Unicode meaning."""
+    out, i = [], 0
+    while i < len(p):
+        if p[i] == "\\" and i + 1 < len(p):
+            c = p[i + 1]
+            if c.lower() in _BODIES:
+                out.append(f"[{'^' if c.isupper() else ''}{_BODIES[c.lower()]}]")
+            else:
+                out.append(_BOUNDARIES.get(c, p[i:i + 2]))
+            i += 2
+        elif p[i] == "[":
+            text, i = _java_class(p, i)
+            out.append(text)
+        else:
+            out.append(p[i])
+            i += 1
+    return "".join(out)
+
+
+def _java_class(p: str, i: int) -> tuple[str, int]:
+    """The class of ``p`` that begins at ``i``, for Java, and where it ends.  An opposite such
+    as ``\\W`` becomes an alternative beside the class (or, if negated, a look ahead)."""
+    negated = p[i + 1:i + 2] == "^"
+    j = first = i + 1 + negated
+    body, opposites = "", []
+    while j < len(p) and (p[j] != "]" or j == first):
+        step = 1
+        if p[j] == "\\" and j + 1 < len(p):
+            step, c = 2, p[j + 1]
+            if c in "SDW":
+                opposites.append(f"[^{_BODIES[c.lower()]}]")
+            else:
+                body += _BODIES.get(c, p[j:j + 2])
+        else:
+            body += "\\" + p[j] if p[j] in "[]&" else p[j]
+        j += step
+    either = "|".join(opposites)
+    if not opposites:
+        text = f"[{'^' if negated else ''}{body}]"
+    elif negated:
+        text = f"(?:(?!{either})" + (f"[^{body}])" if body else "[\\s\\S])")
+    else:
+        text = f"(?:{either}" + (f"|[{body}])" if body else ")")
+    return text, j + 1
 
 
 _META = set("\\()[].*+?{}|^$")
@@ -189,7 +240,7 @@ def pattern_hit(lowered: Column, pattern: str) -> Column:
     """``rlike`` of one pattern on lower-cased text, behind a literal prefilter:
     a substring test for the pattern's required literals (short-circuit AND),
     so the regex engine only runs on rows that can match."""
-    rx = lowered.rlike("(?i)" + python_regex_to_portable(pattern))
+    rx = lowered.rlike("(?iu)" + python_regex_to_java(pattern))
     lits = required_literals(pattern)
     if not lits:
         return rx

@@ -7,8 +7,8 @@
   ``WindowGroupLimit`` before the shuffle, so a hot group ships at most k rows
   per map task.
 * ``bounded_broadcast``: broadcast only after measuring the side.
-* ``sorted_fold``: an ordered per-key fold that streams sorted rows through a
-  pandas iterator, carrying only the fold state (never a whole group).
+* ``sorted_fold``: an ordered per-key fold that streams sorted Arrow batches,
+  carrying only the fold state (never a whole group).
 
 Convention: expensive arrays are exploded with ``explode_outer`` /
 ``posexplode_outer`` plus a not-null filter on the generated column.  A plain
@@ -21,6 +21,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,11 @@ def _default_parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def running_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: str,
+def running_sum(df: DataFrame, order_cols: list[str], value_col: str | list[str], out_col: str | list[str],
                 inclusive: bool = True, num_blocks: int | None = None,
                 checkpoint: bool = True, partition_cols: list[str] | None = None) -> DataFrame:
     """Running sum of ``value_col`` in ``order_cols`` order (per ``partition_cols``
-    group if given, else over the whole frame).
+    group if given, else over the whole frame).  Several columns are summed in one pass.
 
     ``order_cols`` must identify rows uniquely (ties would make the sum
     ambiguous) and start with ``partition_cols``.  Returns ``df`` plus
@@ -46,24 +49,30 @@ def running_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: s
     blocks instead of landing in one task.
     """
     parts = list(partition_cols or [])
+    values = [value_col] if isinstance(value_col, str) else list(value_col)
+    outs = [out_col] if isinstance(out_col, str) else list(out_col)
     n = num_blocks or _default_parts(df)
     ranged = df.repartitionByRange(n, *order_cols).withColumn(BLOCK_COL, F.spark_partition_id())
     if checkpoint:
         # Pins the block labels (AQE may re-plan a re-read) and cuts lineage.
         ranged = cut_lineage(ranged)
-    totals = ranged.groupBy(BLOCK_COL, *parts).agg(F.sum(value_col).alias("_tot"))
+    totals = ranged.groupBy(BLOCK_COL, *parts).agg(*[F.sum(v).alias(f"_tot{i}") for i, v in enumerate(values)])
     before = Window.partitionBy(*parts).orderBy(BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1) \
         if parts else Window.orderBy(BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(BLOCK_COL, *parts,
-                            F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+                            *[F.coalesce(F.sum(f"_tot{i}").over(before), F.lit(0)).alias(f"_off{i}")
+                              for i in range(len(values))])
     if not parts:
         offsets = F.broadcast(offsets)  # one row per block
     frame_end = 0 if inclusive else -1
     w = Window.partitionBy(BLOCK_COL, *parts).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
-    out = (ranged.join(offsets, [BLOCK_COL, *parts])
-           .withColumn(out_col, F.col("_off") + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
-           .drop("_off", BLOCK_COL))
-    return out
+    sums = {o: F.col(f"_off{i}") + F.coalesce(F.sum(v).over(w), F.lit(0)) for i, (v, o) in enumerate(zip(values, outs))}
+    # a NULL group is a group: its rows meet its offsets too
+    same = ranged[BLOCK_COL] == offsets[BLOCK_COL]
+    for c in parts:
+        same &= ranged[c].eqNullSafe(offsets[c])
+    joined = ranged.join(offsets, same).drop(offsets[BLOCK_COL], *[offsets[c] for c in parts])
+    return joined.withColumns(sums).drop(*[f"_off{i}" for i in range(len(values))], BLOCK_COL)
 
 
 def global_row_number(df: DataFrame, order_cols: list[str], out_col: str = "rn",
@@ -93,27 +102,45 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def sorted_fold(df: DataFrame, key_cols: list[str], order_cols: list[str],
-                fold: Callable[[Iterable, object], Iterator], schema: str,
+                fold: Callable[[Iterable], Iterator], schema,
                 num_partitions: int | None = None) -> DataFrame:
     """Run ``fold`` over each key's rows in order, streaming.
 
     Rows are hash-partitioned by key and sorted by (key, order) inside each
-    partition; ``fold(batches, state_factory)`` receives the pandas batches of a
-    partition in that order and must carry its own per-key state across
-    batch boundaries.  Memory is one Arrow batch plus the fold state, whatever
-    the size of a key's history (a hot key is sequential by definition, but it
-    is never materialised as one array or one pandas frame).
+    partition; ``fold`` receives (Arrow batch, mask of the rows that start a key) in
+    that order and carries its own state across batch boundaries.  Keys are compared
+    as Arrow values, so that 64-bit keys stay exact and NULL is one key.  Memory is
+    one Arrow batch plus the fold state, whatever the size of a key's history (a hot
+    key is sequential, but never materialised as one array or one frame).
     """
     n = num_partitions or _default_parts(df)
     prepared = df.repartition(n, *key_cols).sortWithinPartitions(*key_cols, *order_cols)
-    return prepared.mapInPandas(lambda it: fold(it, key_cols), schema)
+    return prepared.mapInArrow(lambda batches: fold(key_starts(batches, key_cols)), schema)
+
+
+def key_starts(batches: Iterable, key_cols: list[str]) -> Iterator:
+    """Each batch of rows sorted by key, with a mask of the rows whose key is not that of
+    the row before (NULL equals NULL)."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(b.schema.get_field_index(c)) for c in key_cols]
+        new = np.zeros(b.num_rows, dtype=bool)
+        new[0] = last is None
+        for k, end in zip(keys, last or [k.slice(0, 1) for k in keys]):
+            before = pa.concat_arrays([end, k.slice(0, len(k) - 1)])
+            differs = pc.or_(pc.fill_null(pc.not_equal(k, before), False), pc.xor(pc.is_null(k), pc.is_null(before)))
+            new |= differs.to_numpy(zero_copy_only=False)
+        last = [k.slice(len(k) - 1, 1) for k in keys]
+        yield b, new
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row.
 
-    An equi-join on a constant key against the broadcast single row: no
-    nested loop, no shuffle of ``df``.
+    A join on a constant key against the broadcast single row, which the optimizer
+    folds to a nested loop over that one row: no shuffle of ``df``.
     """
     return (df.withColumn("_k1", F.lit(0))
             .join(F.broadcast(one_row.withColumn("_k1", F.lit(0))), "_k1").drop("_k1"))

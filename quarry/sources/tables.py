@@ -13,15 +13,15 @@ TEXT_TABLES = ("documents", "conversations", "pages")
 
 
 def spread(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Round-robin an input that comes in fewer files than the cluster has cores.
+    """Round-robin an input that is scanned in fewer splits than the cluster has cores.
 
     A file with one row group is read by one task however many splits it has;
     text operators on it would then use one core.  Such inputs are re-spread
-    with one shuffle; inputs made of many files (every large table) already
-    arrive in many splits and are left alone.
+    with one shuffle; large inputs, in however few files, arrive in many splits
+    and are left alone.
     """
     target = target or df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target:
+    if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
 

@@ -240,9 +240,9 @@ def q_agent_trace_summary(spark, sf):
         "conv_id", "turn", F.concat(F.lit("step "), F.col("turn").cast("string")).alias("action"),
         F.col("text").alias("observations"), (F.length("text") % 3 != 0).alias("success"),
         (F.col("turn") % 4 == 3).alias("retry"), (F.col("conv_id") % 5).alias("planned"))
-    s = C.agent_trace_summary(steps, "conv_id", "turn", "action", "observations", "success", "retry", "planned")
+    s = C.agent_trace_summary(steps, "conv_id", "turn", "action", "observations", "success", "retry", "planned", obs_chars=200)
     return s.select("conv_id", "steps", "retries", F.round("success_share", 9).alias("success_share"),
-                    F.round("progress", 9).alias("progress"), "summary_md5")
+                    F.round("progress", 9).alias("progress"), F.md5("summary").alias("summary_md5"))
 
 
 # ------------------------------------------------------------------ SQL oracle

@@ -163,7 +163,7 @@ def q_metrics_sampled(spark, sf):
 
 def q_running_loss(spark, sf):
     e = _events(spark, sf).select("event_id", "user_id", LG.epoch_us("ts").alias("t"), "value")
-    r = LG.running_loss(e, "user_id", "t", "value")
+    r = LG.running_loss(e, "user_id", "t", "value", "event_id")
     # losses are in cents: the cent-rounded running sum over the step count is bit-identical across engines
     return r.select("event_id", "user_id", F.col("steps").cast("bigint").alias("steps"),
                     (F.round("loss_sum", 2) / F.col("steps")).alias("running_loss"))
@@ -172,7 +172,7 @@ def q_running_loss(spark, sf):
 def q_epoch_loss(spark, sf):
     e = _events(spark, sf).select("event_id", "user_id", LG.epoch_us("ts").alias("t"),
                                   F.to_date("ts").alias("epoch"), "value")
-    r = LG.running_loss(e, "user_id", "t", "value")
+    r = LG.running_loss(e, "user_id", "t", "value", "event_id")
     last = r.groupBy("user_id", "epoch").agg(F.max_by(F.struct("loss_sum", "steps"), F.struct("t", "event_id")).alias("_l"))
     return last.select("user_id", F.col("epoch").cast("string").alias("epoch"),
                        (F.round("_l.loss_sum", 2) / F.col("_l.steps")).alias("epoch_loss"))
@@ -222,7 +222,7 @@ def q_read_json_logs(spark, sf):
 def q_queue_stats(spark, sf):
     e = _events(spark, sf)
     asof = e.groupBy("event_type").agg(F.max("ts").alias("asof"))
-    j = e.join(asof, "event_type").filter(LG.is_expired("ts", "asof", 7 * 86_400.0) == F.lit(False))
+    j = e.join(asof, "event_type")
     s = LG.queue_stats(j, "event_type", "ts", F.col("asof"), QUEUE_TIMEOUT_S, "value")
     return s.select("event_type", "queue_depth", "expired", F.round("oldest_age_s", 6).alias("oldest_age_s"),
                     F.round("avg_latency_ms", 6).alias("avg_latency_ms"))
@@ -354,8 +354,7 @@ FROM events GROUP BY event_type""",
   CAST(event_id % 400 AS BIGINT) AS line, CAST(user_id AS VARCHAR) AS correlation_id, event_id AS step, value AS loss,
   CAST(NULL AS DOUBLE) AS lr FROM events""",
     "queue_stats": f"""WITH a AS (SELECT event_type, max(ts) AS asof FROM events GROUP BY event_type),
-j AS (SELECT e.event_type, e.value, (epoch_us(a.asof) - epoch_us(e.ts)) / 1e6 AS age FROM events e JOIN a USING (event_type)
-      WHERE NOT (epoch_us(a.asof) - epoch_us(e.ts) > {int(7 * 86_400 * 1e6)}))
+j AS (SELECT e.event_type, e.value, (epoch_us(a.asof) - epoch_us(e.ts)) / 1e6 AS age FROM events e JOIN a USING (event_type))
 SELECT event_type, CAST(sum(CASE WHEN age > {QUEUE_TIMEOUT_S} THEN 0 ELSE 1 END) AS BIGINT) AS queue_depth,
   CAST(sum(CASE WHEN age > {QUEUE_TIMEOUT_S} THEN 1 ELSE 0 END) AS BIGINT) AS expired,
   round(max(CASE WHEN age > {QUEUE_TIMEOUT_S} THEN NULL ELSE age END), 6) AS oldest_age_s, round(avg(value), 6) AS avg_latency_ms
