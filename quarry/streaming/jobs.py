@@ -4,8 +4,7 @@ Each job is a function from a streaming DataFrame to a streaming DataFrame
 (plus, for stateful ones, the per-key state schema).  ``run_available_now``
 drives a job over a file source with ``trigger(availableNow=True)`` into a
 parquet sink under the cluster's checkpoint folder and returns the sink as a
-batch DataFrame; ``feed_slices`` turns a table into an ordered series of
-files so jobs really run over several micro-batches.
+batch DataFrame; ``table_stream`` reads a given table as it is.
 
 Stateful semantics (limiter, cache, memory window, chain verification,
 running mean) use ``applyInPandasWithState``: rows of a key inside a
@@ -16,6 +15,7 @@ and event-time timeouts evict idle keys once the watermark passes.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,28 +35,32 @@ def scratch_path(spark: SparkSession, kind: str, name: str) -> str:
     return f"{root}/{kind}/{name}-{uuid.uuid4().hex[:10]}"
 
 
-def feed_slices(df: DataFrame, slice_col: str, slices: list, name: str) -> str:
-    """Write ``df`` as one parquet folder per slice value, in order (one small
-    job per slice).  The file source orders files by modification time, so
-    consecutive slices are written at least one second apart.  Returns the
-    feed root."""
-    import time
-    root = scratch_path(df.sparkSession, "feeds", name)
-    last = 0.0
-    for i, v in enumerate(slices):
-        wait = 1.05 - (time.time() - last)
-        if wait > 0:
-            time.sleep(wait)
-        (df.filter(F.col(slice_col) == F.lit(v)).drop(slice_col).coalesce(1)
-         .write.mode("overwrite").parquet(f"{root}/slice={i:05d}"))
-        last = time.time()
-    return root
+def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """File stream over a parquet table, a folder or a file.
 
+    Without ``max_files`` a micro-batch takes all files that are there, in whatever
+    order they were written.  With it, files come in order of modification, so a
+    feed must be written in event order up to the watermark.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
-def read_feed(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """File stream over the feed, one file per micro-batch."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root))
+
+def derived_stream(df: DataFrame, name: str) -> DataFrame:
+    """File stream over ``df``, written once as a table by all its tasks."""
+    path = scratch_path(df.sparkSession, "feeds", name)
+    df.write.parquet(path)
+    return table_stream(df.sparkSession, path)
+
+
+def closing_source(rows: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """A stream without rows, and a function that appends ``rows`` to its folder: a later
+    event that moves the watermark on, so that windows, sessions and joins close."""
+    path = scratch_path(rows.sparkSession, "feeds", f"{name}-closing")
+    rows.limit(0).write.parquet(path)
+    return table_stream(rows.sparkSession, path), lambda: rows.write.mode("append").parquet(path)
 
 
 def progress_metrics(query) -> dict:
@@ -69,20 +73,32 @@ def progress_metrics(query) -> dict:
 
 
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
-                      metrics: dict | None = None) -> DataFrame:
+                      metrics: dict | None = None, closing: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Run a streaming query to completion over what is available now; return
     the sink as a batch DataFrame.  ``metrics`` (if given) receives
-    ``progress_metrics`` of the run, including late rows dropped."""
+    ``progress_metrics`` of the first run, including late rows dropped.
+
+    ``closing`` is called after that run; the query is then resumed from its
+    checkpoint and reads what was appended to its sources."""
     spark = stream.sparkSession
     out = scratch_path(spark, "sinks", name)
     ckpt = scratch_path(spark, "stream-checkpoints", name)
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+
+    def run():
+        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+             .outputMode(output_mode).trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+        return q
+
+    first = run()
     if metrics is not None:
-        metrics.update(progress_metrics(q))
+        metrics.update(progress_metrics(first))
+    for append in closing:
+        append()
+    if closing:
+        run()
     return spark.read.parquet(out)
 
 
@@ -110,14 +126,16 @@ def stream_safety(stream: DataFrame, text_col: str, is_input_col: str | None = N
 
 def stream_request_metrics(stream: DataFrame, ts_col: str, endpoint_col: str, latency_col: str,
                            window: str, watermark: str) -> DataFrame:
-    """Per endpoint and tumbling window: count, mean and max latency; late
-    rows beyond the watermark are dropped.  Append mode emits a window once
-    the watermark passes its end."""
+    """Per endpoint and tumbling window: count, mean, p95 (the least latency that 95 %
+    do not exceed) and max latency; late rows beyond the watermark are dropped.
+    Append mode emits a window once the watermark passes its end.  p95 keeps a
+    count per distinct latency of an open window."""
     return (stream.withWatermark(ts_col, watermark)
             .groupBy(F.window(ts_col, window).alias("w"), endpoint_col)
             .agg(F.count(F.lit(1)).alias("count"), F.avg(latency_col).alias("avg_latency_ms"),
+                 F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{latency_col}`)").alias("p95_latency_ms"),
                  F.max(latency_col).alias("max_latency_ms"))
-            .select(F.col("w.start").alias("window_start"), endpoint_col, "count", "avg_latency_ms", "max_latency_ms"))
+            .select(F.col("w.start").alias("window_start"), endpoint_col, "count", "avg_latency_ms", "p95_latency_ms", "max_latency_ms"))
 
 
 def stream_sessions(stream: DataFrame, ts_col: str, key_col: str, gap: str, watermark: str) -> DataFrame:
@@ -145,6 +163,20 @@ def stream_queue_expiry(enqueued: DataFrame, dequeued: DataFrame, id_col: str, e
 
 # ------------------------------------------------------------------ stateful
 
+def _timed(stream: DataFrame, ts_col: str | None, watermark_seconds: int) -> tuple[DataFrame, str]:
+    """The stream with a watermark, and the kind of timeout; without an event time
+    there is neither, and states stay until the query ends."""
+    if ts_col is None:
+        return stream, GroupStateTimeout.NoTimeout
+    return stream.withWatermark(ts_col, f"{int(watermark_seconds)} seconds"), GroupStateTimeout.EventTimeTimeout
+
+
+def _expire_after(state, timed: bool, seconds: float) -> None:
+    """A key that stays idle until the watermark is ``seconds`` on loses its state."""
+    if timed:
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(seconds * 1000) + 1)
+
+
 def _micros(s: pd.Series) -> np.ndarray:
     return s.to_numpy(dtype="int64")
 
@@ -220,11 +252,18 @@ def stream_query_cache(stream: DataFrame, key_cols: list[str], ts_col: str, id_c
                                                          GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_memory(stream: DataFrame, conv_col: str, turn_col: str, tokens_col: str, max_tokens: int) -> DataFrame:
+def stream_memory(stream: DataFrame, conv_col: str, turn_col: str, tokens_col: str, max_tokens: int, ts_col: str | None = None,
+                  watermark_seconds: int = 3600, idle_seconds: float = 86_400) -> DataFrame:
     """Per conversation, the retained window after each message: append, then
     drop the oldest while the total exceeds max_tokens and more than one
-    message remains.  State: retained (turn, tokens) lists."""
+    message remains.  State: retained (turn, tokens) lists.  With ``ts_col``, a conversation that is idle
+    for ``idle_seconds`` and the watermark delay of event time is forgotten."""
+    src, timeout = _timed(stream, ts_col, watermark_seconds)
+
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         turns, toks = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(turn_col, kind="mergesort")
         rows = []
@@ -237,18 +276,26 @@ def stream_memory(stream: DataFrame, conv_col: str, turn_col: str, tokens_col: s
                 turns.pop(0)
             rows.append((int(t), turns[0], len(turns), total))
         state.update((turns, toks))
+        _expire_after(state, ts_col is not None, watermark_seconds + idle_seconds)
         yield pd.DataFrame(rows, columns=[turn_col, "window_start_turn", "window_messages", "window_tokens"]).assign(
             **{conv_col: key[0]})[[conv_col, turn_col, "window_start_turn", "window_messages", "window_tokens"]]
 
     out = f"{conv_col} long, {turn_col} long, window_start_turn long, window_messages long, window_tokens long"
-    return stream.groupBy(conv_col).applyInPandasWithState(fn, out, "turns array<long>, toks array<long>", "append",
-                                                           GroupStateTimeout.NoTimeout)
+    return src.groupBy(conv_col).applyInPandasWithState(fn, out, "turns array<long>, toks array<long>", "append", timeout)
 
 
-def stream_audit_verify(stream: DataFrame, chain_col: str, seq_col: str, genesis: str = "GENESIS") -> DataFrame:
+def stream_audit_verify(stream: DataFrame, chain_col: str, seq_col: str, genesis: str = "GENESIS", ts_col: str | None = None,
+                        watermark_seconds: int = 3600, idle_seconds: float = 86_400) -> DataFrame:
     """Per chain: the expected prev_hash is the last *stored* hash seen; an
-    entry whose prev_hash differs is emitted with ok = false."""
+    entry whose prev_hash differs is emitted with ok = false.  With ``ts_col``, a chain that is idle
+    for ``idle_seconds`` and the watermark delay of event time is closed: its next
+    entry has to start from genesis."""
+    src, timeout = _timed(stream, ts_col, watermark_seconds)
+
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else genesis
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(seq_col, kind="mergesort")
         oks = []
@@ -256,17 +303,24 @@ def stream_audit_verify(stream: DataFrame, chain_col: str, seq_col: str, genesis
             oks.append(prev == last)
             last = h
         state.update((last,))
+        _expire_after(state, ts_col is not None, watermark_seconds + idle_seconds)
         yield pd.DataFrame({chain_col: key[0], seq_col: pdf[seq_col].to_numpy(), "prev_ok": oks})
 
     out = f"{chain_col} long, {seq_col} long, prev_ok boolean"
-    return stream.groupBy(chain_col).applyInPandasWithState(fn, out, "last_hash string", "append",
-                                                            GroupStateTimeout.NoTimeout)
+    return src.groupBy(chain_col).applyInPandasWithState(fn, out, "last_hash string", "append", timeout)
 
 
-def stream_train_metrics(stream: DataFrame, run_col: str, step_col: str, loss_col: str, every: int) -> DataFrame:
+def stream_train_metrics(stream: DataFrame, run_col: str, step_col: str, loss_col: str, every: int, ts_col: str | None = None,
+                         watermark_seconds: int = 3600, idle_seconds: float = 86_400) -> DataFrame:
     """Every n-th step: the running mean loss of the run so far (all steps
-    count; state = running sum and count)."""
+    count; state = running sum and count).  With ``ts_col``, a run that is idle
+    for ``idle_seconds`` and the watermark delay of event time starts afresh."""
+    src, timeout = _timed(stream, ts_col, watermark_seconds)
+
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         s, n = (state.get[0], state.get[1]) if state.exists else (0.0, 0)
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(step_col, kind="mergesort")
         rows = []
@@ -276,20 +330,21 @@ def stream_train_metrics(stream: DataFrame, run_col: str, step_col: str, loss_co
             if int(st) % every == 0:
                 rows.append((int(st), s, n))
         state.update((s, n))
+        _expire_after(state, ts_col is not None, watermark_seconds + idle_seconds)
         yield pd.DataFrame(rows, columns=[step_col, "loss_sum", "steps"]).assign(**{run_col: key[0]})[
             [run_col, step_col, "loss_sum", "steps"]]
 
     out = f"{run_col} long, {step_col} long, loss_sum double, steps long"
-    return stream.groupBy(run_col).applyInPandasWithState(fn, out, "s double, n long", "append",
-                                                          GroupStateTimeout.NoTimeout)
+    return src.groupBy(run_col).applyInPandasWithState(fn, out, "s double, n long", "append", timeout)
 
 
-def stream_ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, add_bos=True, add_eos=True, separator="\n"):
-    """foreachBatch body: text records -> per-file token counts, written under
+def stream_ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, key: str = "path",
+                        text: str = "value", add_bos=True, add_eos=True, separator="\n"):
+    """foreachBatch body: text records -> token counts per record, written under
     batch_id (overwrite of the same batch id makes a replay idempotent)."""
     from quarry.functions.text import is_blank
     from quarry.operators.tokens import byte_token_count
-    res = (batch.filter(~is_blank("value"))
-           .select(F.col("path"), F.length("value").cast("bigint").alias("n_chars"),
-                   byte_token_count("value", add_bos, add_eos, separator).alias("n_tokens")))
+    res = (batch.filter(~is_blank(text))
+           .select(F.col(key), F.length(text).cast("bigint").alias("n_chars"),
+                   byte_token_count(text, add_bos, add_eos, separator).alias("n_tokens")))
     res.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")

@@ -1,75 +1,67 @@
 """Structured Streaming query keys.
 
-Each key feeds its input table (or data derived from it) as ordered files,
-runs the streaming job with ``availableNow`` over several micro-batches, and
-returns the sink.  The oracle is the batch twin's SQL: a stream must give
-exactly the batch answer.  A sentinel row two days past the last event
-advances the watermark so every window, session and join result closes.
+Each key reads its input table as a stream (or one that Spark derives from it and
+writes once), runs the streaming job with ``availableNow``, and returns the sink.  The
+oracle is the batch twin's SQL: a stream must give exactly the batch answer.  Where
+windows, sessions or join results must close, an event two days past the last one is
+appended to a second source and the query is resumed from its checkpoint.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.logs import epoch_us
 from quarry.operators.tokens import token_estimate
 from quarry.sources.tables import table
 from quarry.streaming import jobs as J
 from quarry.suite import logs as LQ
 from quarry.suite import safety as SQ
 
-SLICE_DAYS = 6
 WATERMARK_S = 3600
 MEMORY_MAX = 300
 TRAIN_EVERY = 10
 QUEUE_TIMEOUT = "2 hours"
 
 
-def _event_feed(spark, sf, name, sentinel=False, extra=None):
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))  # UTC session: same instants
-    if extra is not None:
-        e = extra(e)
-    sl = F.floor(epoch_us("ts") / (SLICE_DAYS * 86_400 * 1_000_000)).cast("bigint")
-    e = e.withColumn("_slice", sl)
-    slices = [r[0] for r in e.select("_slice").distinct().orderBy("_slice").collect()]  # a handful of slice ids
-    if sentinel:
-        last = e.agg(F.max("ts").alias("ts"))
-        cols = [c for c in e.columns if c not in ("ts", "_slice")]
-        sent = last.select(*[(F.lit(-1).cast(e.schema[c].dataType) if c.endswith("_id") else F.lit(None).cast(e.schema[c].dataType)).alias(c)
-                             for c in cols],
-                           (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(10**12).cast("bigint").alias("_slice"))
-        e = e.unionByName(sent)
-        slices = slices + [10**12]
-    root = J.feed_slices(e, "_slice", slices, name)
-    return J.read_feed(spark, root, e.drop("_slice").schema)
+def _events(spark, sf):
+    """The events table as a stream (UTC session: same instants)."""
+    return J.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _closed_events(spark, sf, name, last=2):
+    """The events as a stream, and the function that adds an event of id and user -1
+    ``last`` days after the last one."""
+    e = table(spark, sf, "events")
+    end = e.agg((F.max("ts") + F.expr(f"INTERVAL {last} DAYS")).alias("ts"))
+    none = [F.lit(-1 if f.name.endswith("_id") else None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts") for f in e.schema]
+    closer, append = J.closing_source(end.select(*none), name)
+    return _events(spark, sf).unionByName(closer.withColumn("ts", F.col("ts").cast("timestamp"))), append
 
 
 def q_stream_rate_limit(spark, sf):
-    s = _event_feed(spark, sf, "rate")
-    out = J.stream_rate_limit(s, "user_id", "ts", "event_id", LQ.RATE_PER_WINDOW, LQ.RATE_WINDOW_S, WATERMARK_S)
+    out = J.stream_rate_limit(_events(spark, sf), "user_id", "ts", "event_id", LQ.RATE_PER_WINDOW, LQ.RATE_WINDOW_S, WATERMARK_S)
     return J.run_available_now(out, "rate_limit").select("event_id", "user_id", "allowed", "admitted_in_window")
 
 
 def q_stream_query_cache(spark, sf):
-    s = _event_feed(spark, sf, "cache")
-    out = J.stream_query_cache(s, ["event_type", "user_id"], "ts", "event_id", LQ.CACHE_TTL_S, WATERMARK_S)
+    out = J.stream_query_cache(_events(spark, sf), ["event_type", "user_id"], "ts", "event_id", LQ.CACHE_TTL_S, WATERMARK_S)
     return J.run_available_now(out, "query_cache").select("event_id", "event_type", "user_id", "hit")
 
 
 def q_stream_request_metrics(spark, sf):
-    s = _event_feed(spark, sf, "metrics", sentinel=True)
+    s, close = _closed_events(spark, sf, "metrics")
     out = J.stream_request_metrics(s, "ts", "event_type", "value", "1 hour", "1 hour")
-    r = J.run_available_now(out, "request_metrics")
+    r = J.run_available_now(out, "request_metrics", closing=[close])
     return r.filter(F.col("event_type").isNotNull()).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
         F.col("count").cast("bigint").alias("count"), F.round("avg_latency_ms", 6).alias("avg_latency_ms"),
-        "max_latency_ms")
+        "p95_latency_ms", "max_latency_ms")
 
 
 def q_stream_sessions(spark, sf):
-    s = _event_feed(spark, sf, "sessions", sentinel=True)
+    s, close = _closed_events(spark, sf, "sessions")
     out = J.stream_sessions(s, "ts", "user_id", "30 minutes", "1 hour")
-    r = J.run_available_now(out, "sessions")
+    r = J.run_available_now(out, "sessions", closing=[close])
     return r.filter(F.col("user_id") >= 0).select(
         "user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
         F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"),
@@ -77,64 +69,44 @@ def q_stream_sessions(spark, sf):
 
 
 def q_stream_queue_expiry(spark, sf):
-    enq = _event_feed(spark, sf, "enqueue", sentinel=True,
-                      extra=lambda e: e.select("event_id", "ts"))
-    deq = _event_feed(spark, sf, "dequeue", sentinel=True,
-                      extra=lambda e: e.filter(F.col("event_id") % 7 != 0).select(
-                          F.col("event_id").alias("event_id_d"),
-                          (F.col("ts") + F.expr("INTERVAL 1 SECOND") * F.floor(F.col("value") * 60).cast("int")).alias("ts")))
-    deq = deq.withColumnRenamed("ts", "deq_ts")
-    out = J.stream_queue_expiry(enq, deq, "event_id", "ts", "deq_ts", QUEUE_TIMEOUT, "1 hour")
-    r = J.run_available_now(out, "queue_expiry")
+    enq, close_enq = _closed_events(spark, sf, "enqueue")
+    deq, close_deq = _closed_events(spark, sf, "dequeue")
+    waits = F.expr("INTERVAL 1 SECOND") * F.floor(F.coalesce("value", F.lit(0.0)) * 60).cast("int")
+    deq = deq.filter(F.col("event_id") % 7 != 0).select(F.col("event_id").alias("event_id_d"), (F.col("ts") + waits).alias("deq_ts"))
+    out = J.stream_queue_expiry(enq.select("event_id", "ts"), deq, "event_id", "ts", "deq_ts", QUEUE_TIMEOUT, "1 hour")
+    r = J.run_available_now(out, "queue_expiry", closing=[close_enq, close_deq])
     return r.filter(F.col("event_id") >= 0).select("event_id", "expired")
 
 
 def q_stream_memory(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", token_estimate("text").cast("bigint").alias("tokens"))
-    c = c.withColumn("_slice", F.floor(F.col("turn") / 2).cast("bigint"))
-    turns = [r[0] for r in c.select("_slice").distinct().orderBy("_slice").collect()]  # slice ids of the feed
-    root = J.feed_slices(c, "_slice", turns, "memory")
-    c = c.drop("_slice")
-    s = J.read_feed(spark, root, c.schema)
-    out = J.stream_memory(s, "conv_id", "turn", "tokens", MEMORY_MAX)
-    return J.run_available_now(out, "memory")
+    c = J.table_stream(spark, f"{sf}/conversations.parquet")
+    s = c.select("conv_id", "turn", token_estimate("text").cast("bigint").alias("tokens"))
+    return J.run_available_now(J.stream_memory(s, "conv_id", "turn", "tokens", MEMORY_MAX), "memory")
 
 
 def q_stream_audit_verify(spark, sf):
-    chain = LQ.tampered_chain(spark, sf).select("chain_id", "seq", "prev_hash", "hash")
-    chain = chain.withColumn("_slice", F.floor(F.col("seq") / 20).cast("bigint"))
-    slices = [r[0] for r in chain.select("_slice").distinct().orderBy("_slice").collect()]
-    root = J.feed_slices(chain, "_slice", slices, "audit")
-    s = J.read_feed(spark, root, chain.drop("_slice").schema)
+    s = J.derived_stream(LQ.tampered_chain(spark, sf).select("chain_id", "seq", "prev_hash", "hash"), "audit")
     return J.run_available_now(J.stream_audit_verify(s, "chain_id", "seq"), "audit_verify")
 
 
 def q_stream_safety(spark, sf):
-    t = SQ.probed_turns(spark, sf).select("conv_id", "turn", "text")
-    root = J.feed_slices(t.withColumn("_slice", F.col("conv_id") % 4), "_slice", [0, 1, 2, 3], "safety")
-    s = J.read_feed(spark, root, t.schema)
+    s = J.derived_stream(SQ.probed_turns(spark, sf).select("conv_id", "turn", "text"), "safety")
     r = J.run_available_now(J.stream_safety(s, "text"), "safety")
     return r.select("conv_id", "turn", "blocked", "category", "reason", "score")
 
 
 def q_stream_train_metrics(spark, sf):
-    s = _event_feed(spark, sf, "train", extra=lambda e: e.select(
-        "user_id", "event_id", "ts", "value"))
-    out = J.stream_train_metrics(s, "user_id", "event_id", "value", TRAIN_EVERY)
+    s = _events(spark, sf).select("user_id", "event_id", "ts", "value")
+    out = J.stream_train_metrics(s, "user_id", "event_id", "value", TRAIN_EVERY, "ts", WATERMARK_S)
     r = J.run_available_now(out, "train_metrics")
     r = r.withColumn("loss_sum", F.round("loss_sum", 2))  # the oracle adds in another order
     return r.select("user_id", "event_id", "loss_sum", "steps", (F.col("loss_sum") / F.col("steps")).alias("running_loss"))
 
 
 def q_stream_ingest(spark, sf):
-    d = table(spark, sf, "documents").select("source", "text")
-    root = J.scratch_path(spark, "feeds", "ingest")
-    d.repartition("source").write.partitionBy("source").text(root)
-    s = (spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", 5)
-         .option("recursiveFileLookup", "true").load(root).select(F.col("_metadata.file_path").alias("path"), "value"))
-    out = J.run_foreach_batch(s, "ingest", J.stream_ingest_batch)
-    r = spark.read.parquet(out)
-    return r.select(F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), "n_chars", "n_tokens")
+    s = J.table_stream(spark, f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    out = J.run_foreach_batch(s, "ingest", lambda batch, i, to: J.stream_ingest_batch(batch, i, to, "doc_id", "text"))
+    return spark.read.parquet(out).select("doc_id", "n_chars", "n_tokens")
 
 
 # ------------------------------------------------------------------ SQL oracle (batch twins)
@@ -143,7 +115,8 @@ SQL = {
     "stream_rate_limit": LQ.SQL["rate_limit"],
     "stream_query_cache": LQ.SQL["query_cache_ttl"],
     "stream_request_metrics": """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
-  CAST(count(*) AS BIGINT) AS count, round(avg(value), 6) AS avg_latency_ms, max(value) AS max_latency_ms
+  CAST(count(*) AS BIGINT) AS count, round(avg(value), 6) AS avg_latency_ms,
+  quantile_disc(value, 0.95) AS p95_latency_ms, max(value) AS max_latency_ms
 FROM events GROUP BY 1, 2""",
     "stream_sessions": """WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
      OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 1800000000 THEN 1 ELSE 0 END AS brk FROM events),
@@ -167,8 +140,8 @@ FROM w JOIN c ON c.conv_id = w.conv_id AND c.turn >= w.st AND c.turn <= w.turn G
     "stream_train_metrics": f"""WITH r AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s,
    count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events)
 SELECT user_id, event_id, round(s, 2) AS loss_sum, CAST(n AS BIGINT) AS steps, round(s, 2) / n AS running_loss FROM r WHERE event_id % {TRAIN_EVERY} = 0""",
-    "stream_ingest": """SELECT source, CAST(sum(length(text)) + count(*) AS BIGINT) AS n_chars,
-  CAST(sum(octet_length(encode(text))) + count(*) + 3 AS BIGINT) AS n_tokens FROM documents GROUP BY source""",
+    "stream_ingest": r"""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(octet_length(encode(text)) + 3 AS BIGINT) AS n_tokens
+FROM documents WHERE regexp_matches(text, '\S')""",
 }
 
 QUERIES = {

@@ -1,6 +1,7 @@
 """Streaming behaviour beyond the batch-twin oracle: late rows are dropped by
 the watermark and counted."""
 
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -8,6 +9,15 @@ from pyspark.sql import functions as F
 from quarry.streaming import jobs as J
 
 
+def feed(df, n, name):
+    """A stream that gives the rows of _slice 0, 1, ... n - 1 a micro-batch each."""
+    root = J.scratch_path(df.sparkSession, "feeds", name)
+    for i in range(n):  # files are taken in the order of their times, which may be whole seconds
+        df.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(root)
+        time.sleep(1.05)
+    return J.table_stream(df.sparkSession, root, max_files=1)
+
+
 def test_late_rows_dropped_and_counted(spark):
     t0 = datetime(2024, 1, 1)
     on_time = [(i, t0 + timedelta(hours=i), "view", 1.0) for i in range(6)]
@@ -19,8 +29,7 @@ def test_late_rows_dropped_and_counted(spark):
     # row arrives two batches after the watermark moved past its window
     df = spark.createDataFrame([(*r, 0) for r in on_time] + [(*r, 1) for r in more] + [(*r, 2) for r in late]
                                + [(*r, 3) for r in closer], schema + ", _slice int")
-    root = J.feed_slices(df, "_slice", [0, 1, 2, 3], "late")
-    stream = J.read_feed(spark, root, spark.createDataFrame([], schema).schema)
+    stream = feed(df, 4, "late")
     m = {}
     out = J.run_available_now(J.stream_request_metrics(stream, "ts", "event_type", "value", "1 hour", "1 hour"),
                               "late-test", metrics=m)
@@ -28,3 +37,32 @@ def test_late_rows_dropped_and_counted(spark):
     assert [r["count"] for r in rows] == [1] * 7   # the late row never reaches a window
     assert max(r.max_latency_ms for r in rows) == 1.0
     assert m["late_rows_dropped"] >= 1 and m["batches"] >= 3
+
+
+def test_state_is_carried_and_expires(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, 1, t0, 1.0, 0), (1, 2, t0, 2.0, 0), (2, 3, t0, 5.0, 0), (1, 4, t0 + timedelta(minutes=5), 3.0, 1),
+            (9, 5, t0 + timedelta(days=3), 0.0, 2), (9, 6, t0 + timedelta(days=3), 0.0, 3),
+            (1, 7, t0 + timedelta(days=3), 7.0, 4)]
+    df = spark.createDataFrame(rows, "run long, step long, ts timestamp, loss double, _slice int")
+
+    def sums(ts_col):
+        out = J.stream_train_metrics(feed(df, 5, "train"), "run", "step", "loss", 1, ts_col, 60, 600)
+        return {r.step: (r.loss_sum, r.steps) for r in J.run_available_now(out, "train-test").collect()}
+
+    got = sums("ts")
+    assert got[2] == (3.0, 2) and got[3] == (5.0, 1)
+    assert got[4] == (6.0, 3)   # carried from the first micro-batch
+    assert got[7] == (7.0, 1)   # idle for three days: forgotten
+    assert sums(None)[7] == (13.0, 4)
+
+
+def test_closing_event_resumes_from_checkpoint(spark):
+    t0 = datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp, event_type string, value double"
+    events = J.derived_stream(spark.createDataFrame([(i, t0 + timedelta(minutes=i), "view", float(i)) for i in range(20)], schema), "open")
+    closer, append = J.closing_source(spark.createDataFrame([(-1, t0 + timedelta(days=2), None, None)], schema), "open")
+    out = J.stream_request_metrics(events.unionByName(closer), "ts", "event_type", "value", "1 hour", "1 hour")
+    assert J.run_available_now(out, "open-test").count() == 0
+    rows = J.run_available_now(out, "closed-test", closing=[append]).collect()
+    assert [(r["count"], r.p95_latency_ms, r.max_latency_ms) for r in rows] == [(20, 18.0, 19.0)]
