@@ -34,9 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that occur twice."""
+    """Documents without the passages that occur twice, otherwise as they are."""
     prepare(spark)
-    kept = phrase_automata.remove_repeats(docs, keys=("doc_id", "lang", "source"))
+    kept = phrase_automata.remove_repeats(docs, keys=("doc_id", "lang", "source"), layout=True)
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
 
 

@@ -101,8 +101,8 @@ def anchors_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("_p", "_text").mapInArrow(run, "_p int, h long, n long")
 
 
-def packed_words(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, _p and the words joined by one space, compressed."""
+def packed_words(docs: DataFrame, keys: tuple[str, ...], layout: bool = False) -> DataFrame:
+    """keys, _p and the words joined by one space, compressed; layout: the text as it is, null if it is null."""
     schema = T.StructType([docs.schema[k] for k in keys] + [docs.schema["_p"], T.StructField("_z", T.BinaryType())])
 
     def run(batches):
@@ -111,7 +111,8 @@ def packed_words(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
             for b in chunks(whole, "_text"):
-                z = [pack(x) for x in joined_words(Words(column_of(b, "_text")))]
+                texts = column_of(b, "_text").cast(pa.large_binary()).to_pylist() if layout else joined_words(Words(column_of(b, "_text")))
+                z = [None if x is None else pack(x) for x in texts]
                 yield pa.RecordBatch.from_arrays([*(column_of(b, k) for k in keys), column_of(b, "_p"), pa.array(z, pa.binary())], names=schema.names)
 
     return docs.select(*keys, "_p", "_text").mapInArrow(run, schema)
@@ -129,10 +130,37 @@ def texts_of(batch: pa.RecordBatch):
 
     unpack = zstandard.ZstdDecompressor().decompress
     for b in chunks(batch, "_z", 1 << 20):
-        yield b, pa.array([unpack(x) for x in column_of(b, "_z").to_pylist()], pa.large_binary())
-
-
-def windows_seen(anchors: DataFrame, docs: DataFrame, shards: int, size: int) -> DataFrame:
+        yield b, pa.array([None if x is None else unpack(x) for x in column_of(b, "_z").to_pylist()], pa.large_binary())
+
+
+def joined_and_packed(batch: pa.RecordBatch, layout: bool):
+    """Slices of a batch with their words joined by one space, and the texts as they were packed."""
+    for b, packed in texts_of(batch):
+        yield b, pa.array(joined_words(Words(packed)), pa.large_binary()) if layout else packed, packed
+
+
+def cut(texts: pa.Array, gone: np.ndarray) -> list[bytes | None]:
+    """texts without their gone words and what is between two of them; all else stays as it is."""
+    w = Words(texts)
+    out = texts.to_pylist()
+    at = np.flatnonzero(gone)
+    if not len(at):
+        return out
+    first = np.ones(len(at), bool)  # of a run of gone words of one text
+    first[1:] = (np.diff(at) > 1) | (w.doc[at[1:]] != w.doc[at[:-1]])
+    lo, hi = at[first], at[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(at) - 1]])]
+    base = w.at[w.doc[lo]]
+    parts: dict[int, list[bytes]] = {}
+    end: dict[int, int] = {}
+    for d, a, z in zip(w.doc[lo].tolist(), (w.starts[lo] - base).tolist(), (w.ends[hi] - base).tolist(), strict=True):
+        parts.setdefault(d, []).append(out[d][end.get(d, 0):a])
+        end[d] = z
+    for d, x in parts.items():
+        out[d] = b"".join([*x, out[d][end[d]:]])
+    return out
+
+
+def windows_seen(anchors: DataFrame, docs: DataFrame, shards: int, size: int, layout: bool = False) -> DataFrame:
     """_p, h, phrase and windows (hashes; twice: 1 where it starts in two places) of the
     windows with a recurring anchor, by batch of a shard's documents."""
     schema = "_p int, h long, phrase binary, windows binary, twice binary"
@@ -144,7 +172,7 @@ def windows_seen(anchors: DataFrame, docs: DataFrame, shards: int, size: int) ->
             split = int(is_doc.argmax()) if is_doc.any() else len(is_doc)
             if split:
                 known.append(column_of(whole.slice(0, split), "h").to_numpy().view(np.uint64))
-            for b, texts in texts_of(whole.slice(split)) if split < len(is_doc) else ():
+            for b, texts, _ in joined_and_packed(whole.slice(split), layout) if split < len(is_doc) else ():
                 if known:
                     ready, known = np.unique(np.concatenate([ready, *known])), []
                 w = Windows(texts, size)
@@ -212,8 +240,9 @@ def confirmed(seen: DataFrame) -> DataFrame:
     return seen.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "_p int, phrase binary, windows binary")
 
 
-def located(passages: DataFrame, docs: DataFrame, shards: int, size: int, keys: tuple[str, ...]) -> DataFrame:
-    """keys, n_words, n_removed and kept (the words not covered, joined by one space)."""
+def located(passages: DataFrame, docs: DataFrame, shards: int, size: int, keys: tuple[str, ...], layout: bool = False) -> DataFrame:
+    """keys, n_words, n_removed and kept (the words not covered, joined by one space; layout:
+    the text without the stretches covered)."""
     schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")] + [T.StructField("kept", T.StringType())])
 
     def removed(w: Windows, texts: list[bytes], found, windows: np.ndarray) -> np.ndarray:
@@ -244,26 +273,28 @@ def located(passages: DataFrame, docs: DataFrame, shards: int, size: int, keys:
                 found.add_word(x, len(x))
                 phrases = True
             hashes += [np.frombuffer(x, np.uint64) for x in column_of(whole.slice(0, split), "windows").to_pylist()]
-            for b, texts in texts_of(whole.slice(split)) if split < len(is_doc) else ():
+            for b, texts, packed in joined_and_packed(whole.slice(split), layout) if split < len(is_doc) else ():
                 if hashes:
                     windows, hashes = np.unique(np.concatenate(hashes)), []
                     found.make_automaton()
                 w = Windows(texts, size)
                 gone = removed(w, texts.to_pylist(), found, windows) if phrases else np.zeros(len(w.words.starts), bool)
                 n_gone = np.bincount(w.words.doc[gone], minlength=b.num_rows)
-                kept = pa.array(joined_words(w.words, ~gone), pa.binary()).cast(pa.string())
+                kept = pa.array(cut(packed, gone) if layout else joined_words(w.words, ~gone), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*(column_of(b, k) for k in keys), pa.array(w.words.counts), pa.array(n_gone), kept], names=schema.names)
 
     return dealt(passages, docs, shards).select(*keys, "_p", "phrase", "windows", "_z", "_doc").mapInArrow(run, schema)
 
 
-def remove_repeats(df: DataFrame, size: int = 35, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, size: int = 35, keys: tuple[str, ...] = ("doc_id",), text: str = "text", layout: bool = False) -> DataFrame:
     """keys, n_words, n_removed, kept: each row's text without the words of any window of
-    ``size`` words that starts anywhere else too."""
+    ``size`` words that starts anywhere else too.  kept has the other words joined by one
+    space; with ``layout`` it is the text itself without the stretches from the first to the
+    last word covered, so that a text without repeats (or null) stays as it is."""
     shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(*keys, F.col(text).alias("_text"), F.pmod(F.xxhash64(*keys, text), F.lit(shards)).cast("int").alias("_p"))
     counted = anchors_of(docs, size).repartition(F.col("h")).groupBy("h", "_p").agg(F.sum("n").alias("n"))
     often = counted.withColumn("n", F.sum("n").over(Window.partitionBy("h"))).filter("n > 1").select("_p", "h")
-    words = packed_words(docs, keys)
-    passages = confirmed(windows_seen(often, words, shards, size))
-    return located(passages, words, shards, size, keys)
+    words = packed_words(docs, keys, layout)
+    passages = confirmed(windows_seen(often, words, shards, size, layout))
+    return located(passages, words, shards, size, keys, layout)
