@@ -41,9 +41,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each secret replaced by a mark."""
+    """Documents with each secret, private keys from begin to end, replaced by a mark."""
     prepare(spark)
-    found = blob_ledger.with_spans(docs.select(*COLUMNS), blob_ledger.new_ledger(spark))
+    found = blob_ledger.with_spans(docs.select(*COLUMNS), blob_ledger.new_ledger(spark), blob_ledger.REDACTED)
     text = blob_ledger.redacted(F.col("text"), F.col("spans"))
     return found.withColumn("text", text).select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 

@@ -48,6 +48,19 @@ RULES = (
     Rule("bearer", 1, r"[Bb]earer [A-Za-z0-9._~+/=-]{20,}"),
 )
 BASE = 3
+
+#: A private key from its BEGIN line through its END line.  If the next line of dashes is no
+#: END line, through the header and base64 lines after it, long runs of base64 that follow
+#: blanks, and runs after escaped line ends.  No step of it goes back (possessive), so a
+#: header without an end costs one look at what follows it.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:[\x20\t]*+[\r\n])++[\x20\t]*+(?:(?:Proc-Type|DEK-Info):[^\r\n]*+|[A-Za-z0-9+/]++={0,2}+(?=[\x20\t]*+(?:[\r\n]|\z)))"
+    r"|(?:\\[nr])++[A-Za-z0-9+/]++={0,2}+|\s*+[A-Za-z0-9+/]{16,}+={0,2}+)*+)"
+)
+#: The rules whose findings are cut out of texts.  pem@1 marks where a key begins, as the SQL of
+#: op6_secret_scans does; pem@2 covers all of it.
+REDACTED = (*RULES[:3], Rule("pem", 2, PRIVATE_KEY), *RULES[4:])
 LEDGER = "blob string, batch string, rules array<string>, matches array<struct<kind:string,gap:int,size:int,keep:boolean>>"
 
 
