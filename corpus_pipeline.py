@@ -24,13 +24,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each component of linked documents.
-    Documents without an id stay."""
+    """One row, the least by id and then by digest of its text, of each component of linked
+    rows; rows without an id come last.  Rows without words are linked to none and all stay.
+
+    A row is known by its values, so that nothing hangs on which task read it; rows equal in
+    all of them are one text and count once."""
     prepare(spark)
-    found = parity_join.near_duplicates(docs)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", digest.alias("digest"), "lang", "source", "n_chars")
+    rows = docs.filter(worded).select(*COLUMNS, row.alias("_row"))
+    found = parity_join.near_duplicates(rows, "_row")
+    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row")).distinct()
+    kept = rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
+    return kept.unionByName(docs.filter(~worded).select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.phrase_automata import member, runs, signed, texts_of
 from quarry.llm.textbytes import Words, chunks, column_of, joined_words, mix, range_hashes
@@ -111,7 +112,7 @@ def described(docs: DataFrame) -> DataFrame:
                 none = [pa.nulls(len(h), t) for t in (b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*none, h, pa.array(n[often])], names=names)
 
-    schema = docs.select("doc_id").schema
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])  # null in rows of _h
     for c, t in (("n_shingles", "long"), ("_set", "long"), ("_z", "binary"), ("_bits", "binary"), ("_h", "long"), ("_often", "long")):
         schema = schema.add(c, t)
     return docs.select("doc_id", "_text").mapInArrow(run, schema)

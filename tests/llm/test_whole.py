@@ -58,3 +58,12 @@ def test_secrets_stage_removes_whole_keys(spark):
         assert ("after -- it" in got[i]) == ("after -- it" in t), i
     assert got[0] == "a - b\n[redacted]\nafter -- it" and got[10] == "The line [redacted] comes first, after -- it"
     assert got[3] == "[redacted]\nafter -- it has no end" and got[9] == "[redacted]\n[redacted]\nafter -- it"
+
+
+def test_near_duplicates_stage_goes_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " more"), (None, a), (None, c), (None, c), (3, None), (3, None), (None, " \n"), (4, d), (4, d), (5, d), (5, c), (8, d), (9, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCUMENTS).coalesce(1)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert tuple(got.columns) == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (1, b), (5, c), (4, d), (3, None), (3, None), (None, " \n")])
