@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import blob_ledger, bpe, crf_quality, hnsw, packing, parity_join, phrase_automata, prefix_counts, tiled_topk, training_order
+from quarry.llm import blob_ledger, bpe, crf_quality, hnsw, packing, parity_join, phrase_automata, pigeonring, prefix_counts, tiled_topk, training_order
 
 #: Fixed values of the byte-level vocabulary.
 END_OF_TEXT = (("<|endoftext|>", 50256),)
@@ -93,6 +93,11 @@ def order_and_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest
 
 
+def simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 64-bit fingerprints differ in two bits or fewer."""
+    return pigeonring.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_quality_classifier": quality_classifier,
@@ -104,6 +109,7 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe,
     "op9_exact_topk": exact_topk,
     "op10_training_order": order_and_write,
+    "op11_simhash_pigeonring": simhash_pigeonring,
 }
 SQL = {
     "op4_substring_dedup": r"""
