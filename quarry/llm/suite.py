@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import blob_ledger, bpe, crf_quality, hnsw, packing, parity_join, phrase_automata, pigeonring, prefix_counts, tiled_topk, training_order, turn_repair
+from quarry.llm import blob_ledger, bpe, crf_quality, hnsw, packing, parity_join, phrase_automata, pigeonring, prefix_counts, tiled_topk, training_order, turn_repair, whitening
 
 #: Fixed values of the byte-level vocabulary.
 END_OF_TEXT = (("<|endoftext|>", 50256),)
@@ -98,6 +98,11 @@ def simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pigeonring.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 4 whitened components of most variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of all conversations, after damage."""
     rows = turn_repair.damaged(table(spark, sf_dir, "conversations"))
@@ -116,6 +121,7 @@ QUERIES = {
     "op9_exact_topk": exact_topk,
     "op10_training_order": order_and_write,
     "op11_simhash_pigeonring": simhash_pigeonring,
+    "op12_embedding_whitening": embedding_whitening,
     "op13_conversation_repair": conversation_repair,
 }
 SQL = {
