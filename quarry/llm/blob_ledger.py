@@ -127,11 +127,13 @@ def new_ledger(spark: SparkSession) -> str:
 
 
 def with_spans(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with their spans (an empty list where there are none)."""
-    by_blob = spans_by_blob(scan(docs, path, rules, text), rules)
-    joined = docs.withColumn("_blob", blob_of(F.col(text))).join(by_blob.withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
+    """docs with their spans (an empty list where there are none); a column ``spans`` of theirs gives way."""
+    by_blob = spans_by_blob(scan(docs, path, rules, text), rules).select(F.struct("blob", "spans").alias("found"))
+    whole = docs.select(F.struct("*").alias("row"), blob_of(F.col(text)).alias("blob"))
+    joined = whole.join(by_blob, F.col("blob") == F.col("found.blob"), "left")
     none = F.array().cast("array<struct<start:bigint,nth:int,kind:string,end:bigint>>")
-    return joined.withColumn("spans", F.coalesce("spans", none))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "spans"]
+    return joined.select(*kept, F.coalesce("found.spans", none).alias("spans"))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[redacted]") -> Column:

@@ -25,6 +25,8 @@ from quarry.llm.textbytes import chunks, column_of
 
 #: Pieces and pairs that a worker keeps; it starts afresh beyond that.
 MEMO = 1_000_000
+#: Code points of the longest piece that is kept.
+KEPT = 256
 
 
 class Memo(dict):
@@ -37,7 +39,9 @@ class Memo(dict):
     def __missing__(self, key):
         if len(self) >= self.most:
             self.clear()
-        self[key] = value = self.fn(key)
+        value = self.fn(key)
+        if len(key) <= KEPT:
+            self[key] = value
         return value
 
 

@@ -8,8 +8,9 @@ are kept as one flat array with offsets.  Equal vectors are one node.  A search
 descends the levels of each shard and the shards' lists are merged.
 
 Defined results: vectors that are null, zero or hold null or non-finite components
-take no part; vectors of different length are not compared; a vec_id that queries
-repeat is asked once; ties go to the smaller vec_id; an empty table gives an empty
+take no part, nor do rows whose vec_id is null; vectors of different length are not
+compared; a vec_id that queries repeat is asked once for each length (with its least
+vector); ties go to the smaller vec_id; an empty table gives an empty
 table; other columns are not looked at.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.textbytes import mix
-from quarry.llm.tiled_topk import QUERY_ROWS, blocks_for, matrix, merge_lists, usable
+from quarry.llm.tiled_topk import QUERY_ROWS, asked_once, blocks_for, matrix, merge_lists, vectors
 from quarry.session import materialize
 
 SHARD_ROWS = 8192
@@ -176,32 +177,30 @@ class Graph:
 
 
 def index(data: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: its graph as flat arrays.  data: vec_id, _v, _d."""
+    """One row per shard: its graph as flat arrays.  data: vec_id, _v, _d, _at."""
     def shard(key, rows):
         parts = build(rows.column("vec_id").to_numpy(), matrix(rows, "_v"))
         cols = {"_d": pa.array([key[0].as_py()], pa.int32()), "_j": pa.array([key[1].as_py()], pa.int32())}
         return pa.table(cols | {c: pa.array([parts[c].astype(t).tobytes()], pa.binary()) for c, t in KINDS.items()})
 
-    dealt = data.withColumn("_j", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = data.withColumn("_j", F.pmod(F.xxhash64("_at"), F.lit(shards)).cast("int"))
     return dealt.groupBy("_d", "_j").applyInArrow(shard, "_d int, _j int, " + ", ".join(f"{c} binary" for c in KINDS))
 
 
 def nearest(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found."""
-    data = df.select(F.col(id_col).alias("vec_id"), F.col(vector).cast("array<double>").alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q"))
-    data = data.filter(usable(F.col("_v")) & F.exists("_v", lambda x: x != 0)).withColumn("_d", F.size("_v"))
+    data = vectors(df.filter(F.exists(F.col(vector), lambda x: x != 0)), is_query, id_col, vector, "vectors")
     n = data.agg(F.count("*").alias("v"), F.count(F.when(F.col("_q"), 1)).alias("q")).first()
     shards, rows = blocks_for(n.v, SHARD_ROWS), blocks_for(n.q, QUERY_ROWS)
     graphs = materialize(index(data.drop("_q"), shards), "graphs").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    asked = data.filter("_q").drop("_q").withColumn("_i", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int"))
+    asked = asked_once(data).withColumn("_i", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int"))
     asked = asked.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(key, left, right):
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             graph = Graph(key[0].as_py(), {c: np.frombuffer(right.column(c)[0].as_py(), t) for c, t in KINDS.items()})
-            ids, first = np.unique(left.column("vec_id").to_numpy(), return_index=True)
-            for qid, q in zip(ids.tolist(), matrix(left, "_v")[first], strict=True):
+            for qid, q in zip(left.column("vec_id").to_pylist(), matrix(left, "_v"), strict=True):
                 found, far = graph.nearest(qid, q, k)
                 out["query_id"] += [qid] * len(found)
                 out["vec_id"] += found.tolist()

@@ -63,6 +63,8 @@ def pieces(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int
                 at, rows = [], []
                 for row, x in enumerate(column_of(b, text).to_pylist()):
                     found = np.concatenate([encode(x or "", allowed_special="all").astype("<u4"), last])
+                    if ids and found.max() > 0xFFFF:
+                        raise OverflowError(f"id {found.max()} does not fit 16 bits")
                     starts = cut(len(found), capacity)
                     for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(found)], strict=True)):
                         at.append(row)
@@ -121,19 +123,20 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, in
 
 
 def pack(parts: DataFrame, capacity: int) -> DataFrame:
-    """parts (with doc_id, piece, length, ids_crc32; a table that can be read again)
-    with sequence_id and offset."""
+    """parts (with doc_id, piece, length, ids_crc32) with sequence_id and offset.  Rows are
+    dealt to blocks by a number of their own, so that equal rows are not in one."""
     spark = parts.sparkSession
+    parts = materialize(parts.withColumn("_at", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     n = parts.count()
     blocks = max(1, n // BLOCK_ROWS)
-    parts = parts.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    parts = parts.withColumn("_block", F.pmod(F.col("_at"), F.lit(blocks)))
     by_block = parts.groupBy("length", "_block").agg(F.count("*").alias("_n"))
     plan, _ = best_fit_plan({r.length: r.n for r in by_block.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = by_block.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
-    here = Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32")
+    here = Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32", "_at")
     ranked = parts.withColumn("_rank", F.row_number().over(here) - F.lit(1)).join(ahead, ["length", "_block"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_ahead")).drop("_block", "_ahead")
+    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_ahead")).drop("_block", "_ahead", "_at")
     shared = spark.sparkContext.broadcast(plan[np.lexsort((plan[:, 1], plan[:, 0]))])
     kept = [f for f in ranked.schema.fields if f.name != "_rank"]
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -151,6 +154,6 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int], ...], end: int, capacity: int) -> DataFrame:
     """Tokenize, cut and pack; one row per piece."""
-    parts = materialize(pieces(df, path, pattern, special, end, capacity), "pieces")
+    parts = pieces(df, path, pattern, special, end, capacity)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return pack(parts, capacity).select(*cols)

@@ -25,7 +25,8 @@ two parts of one component already are not looked for, as components are the res
 
 Defined results: null text, or text without words, has no shingles and is a
 component of its own; a text with fewer words than a shingle is one shingle; rows
-with equal sets are linked; an empty table gives an empty table; other columns are
+with equal sets are linked; rows with a null doc_id are linked like others, and their
+component is named by the least id that is not null (null if there is none); an empty table gives an empty table; other columns are
 not looked at.
 """
 

@@ -17,6 +17,7 @@ rows; an empty table gives an empty table; other columns are not looked at.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -34,8 +35,20 @@ from quarry.llm.textbytes import chunks, column_of
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Code points of the longest contraction that the vocabulary splits off.
+CONTRACTION = 3
+
+
+def one_of(points: str) -> str:
+    """A character class of code points, in order, as ranges."""
+    at = np.array([ord(c) for c in points], np.int64)
+    cut = np.flatnonzero(np.diff(at) > 1)
+    ends = zip(at[np.concatenate([[0], cut + 1])].tolist(), at[np.concatenate([cut, [-1]])].tolist(), strict=True)
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends) + "]"
+
+
 def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary file."""
+    """The letter that stands for each byte in a byte-level vocabulary file (fixed values)."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = (b for b in range(256) if b not in plain)
     letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -48,6 +61,8 @@ class WordBPE:
     def __init__(self, path: str):
         import ahocorasick
         import regex
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -78,6 +93,22 @@ class WordBPE:
         self.piece = Memo(self.differences)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", BLANK)
         self.pieces = regex.compile(f" ?(?:{split})| ").findall
+        # Code points that are newer than this Python: the splitting above may know more of them than
+        # the vocabulary's library does.  Texts that hold one are normalized by the library, and
+        # split with its letters and numbers.
+        unassigned = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+        newer = "".join(regex.findall(r"\P{Cn}", unassigned))
+        self.newer = re.compile(one_of(newer)).search if newer else lambda text: None
+        classes = dict.fromkeys((r"\p{L}", r"\p{N}"))
+        for name in classes:
+            theirs = Split(Regex(name), "removed", invert=True).pre_tokenize_str(newer)
+            known = {c for piece, _ in theirs for c in piece}
+            odd = "".join(c for c in regex.findall(name, newer) if c not in known)
+            classes[name] = f"[{name}--{one_of(odd)}]" if odd else name
+        for name, own in classes.items():
+            split = split.replace(name, own)
+        self.newer_pieces = regex.compile(f"(?V1) ?(?:{split})| ").findall
+        self.normalized = Tokenizer.from_file(path).normalizer.normalize_str
         self.blanks = regex.compile(f"[{BLANK}]{{2,}}|[{BLANK.replace(' ', '')}]")
         self.parts = regex.compile("(" + "|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) + ")").split
 
@@ -116,7 +147,7 @@ class WordBPE:
         """Tokens that each code point of a piece adds, as 16-bit numbers."""
         if piece[0] == " ":
             return b"\0\0" + (self.differences(piece[1:]) if len(piece) > 1 else b"")
-        if piece[0] == "'" and len(piece) > 1:  # a prefix of a contraction is split otherwise
+        if piece[0] == "'" and 1 < len(piece) <= CONTRACTION:  # its prefixes are split otherwise
             counts = [sum(self.counts(x)[-1] for x in self.pieces(piece[:j])) for j in range(1, len(piece))] + self.counts(piece)[-1:]
         else:
             counts = self.counts(piece)
@@ -128,17 +159,22 @@ class WordBPE:
             text = unicodedata.normalize("NFC", text)
         return self.blanks.sub(" ", text).replace("Σ", "σ").lower()
 
+    def split(self, text: str) -> list[str]:
+        if not text.isascii() and self.newer(text):
+            return self.newer_pieces(self.normalized(text))
+        return self.pieces(self.plain(text))
+
     def of_text(self, text: str) -> bytes:
         parts = self.parts(text)
         out = []
         for k, part in enumerate(parts):
             if k % 2:  # a special string
-                inner = b"".join(map(self.piece.__getitem__, self.pieces(self.plain(part))))
+                inner = b"".join(map(self.piece.__getitem__, self.split(part)))
                 counts = np.cumsum(np.frombuffer(inner, "<i2").astype(np.int64))
                 counts[-1] = 1
                 out.append(np.diff(counts, prepend=0).astype("<i2").tobytes())
             else:
-                out += map(self.piece.__getitem__, self.pieces(self.plain(part)))
+                out += map(self.piece.__getitem__, self.split(part))
         return b"".join(out)
 
 

@@ -1,11 +1,14 @@
 """Encoders, prefix counts, packing and training order against the libraries and round trips."""
 
 import base64
+import time
+import unicodedata
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,3 +131,41 @@ def test_training_order_round_trip(spark, edge, empty):
     part = training_order.read_slots(spark, folder, 64, 50, 40, 60).collect()
     assert {r.slot for r in part} == set(range(40, min(60, len(rows))))
     assert write(empty)[0].count() == 0
+
+
+def test_counts_after_an_apostrophe():
+    """Contractions are split as the library does, and a long run after an apostrophe takes linear time."""
+    bpe = prefix_counts.load(P.path("word_bpe_49k.json"))
+    for text in ["it's 've 'llx 're' 'r ''s '", "'" + "=" * 100_000, "'" * 5000 + "s", "I'\u017f I'\u212a 'LL 'Ve"]:
+        began = time.perf_counter()
+        got = int(np.frombuffer(bpe.of_text(text), "<i2").astype(int).sum())
+        assert time.perf_counter() - began < 1
+        assert got == len(WORDS.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("form", ["%s", "a%sb1", "x %s%s", "ab%scd"])
+def test_counts_of_code_points_newer_than_python(form):
+    """Letters, numbers and cases that this Python doesn't know: those of the library count."""
+    bpe = prefix_counts.load(P.path("word_bpe_49k.json"))
+    points = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn" and (ord(c) % 97 == 0 or c in NEWER)]
+    texts = [form.replace("%s", c) for c in points]
+    for text, enc in zip(texts, WORDS.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert int(np.frombuffer(bpe.of_text(text), "<i2").astype(int).sum()) == len(enc.ids), hex(ord(text[0]))
+
+
+#: Points for which the splitting library, the vocabulary's and Python have differed.
+NEWER = {chr(c) for c in (0xA7CB, 0xA7DC, 0x1C89, 0x10D50, 0x16EA0, 0x32808, 0x3285C, 0x32988, 0x3D808, 0x3D988, 0x3E85C, 0x3F808)}
+
+
+def test_packing_of_one_hot_group(spark):
+    """Rows without an id, and rows of one id, all of one text: each is packed once, without gaps."""
+    df = spark.createDataFrame([(None, "same words")] * 300 + [(1, "same words")] * 200 + [(i, "x " * i) for i in range(40)], "doc_id long, text string")
+    rows = packing.pack_documents(df, suite.ranks(), P.PATTERN, suite.END_OF_TEXT, suite.END, 16).collect()
+    assert Counter(r.doc_id for r in rows if r.piece == 0)[None] == 300
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))]
+        assert sum(n for _, n in places) <= 16

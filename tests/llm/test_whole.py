@@ -6,26 +6,11 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_texts import WORD, mutated
+from tests.llm.test_texts import cut_repeats, mutated
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def cut_repeats(texts, size=35):
-    """Texts without the stretches of words that windows seen twice cover."""
-    words = [[m.span() for m in WORD.finditer(t or "")] for t in texts]
-    grams = [[tuple(t[a:z] for a, z in w[i:i + size]) for i in range(len(w) - size + 1)] for t, w in zip(texts, words, strict=True)]
-    seen = Counter(g for x in grams for g in x)
-    for t, w, x in zip(texts, words, grams, strict=True):
-        gone = [False] * len(w)
-        for i, g in enumerate(x):
-            if seen[g] > 1:
-                gone[i:i + size] = [True] * size
-        for run in reversed(list(re.finditer("x+", "".join("x" if g else "." for g in gone)))):
-            t = t[:w[run.start()][0]] + t[w[run.end() - 1][1]:]
-        yield t
-
-
 def test_repeats_stage_keeps_layout(spark, edge):
     passage = "\n".join(f"p{i}\t é" for i in range(40))
     texts = [None, "", " \n\t ", "  def f(x):\n\t\treturn  x\r\n\n", "token:\npassword1 stays", f"head:\n  {passage}\n\n tail  é\n", f"{passage} \U0001f600\n", f"a {passage}\n{passage}"]
