@@ -26,6 +26,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def valid_text(c) -> Column:
+    """Text as Python decodes it with ``errors="replace"``: each sequence of bytes that is no
+    UTF-8, as far as it could have been the beginning of a character, is one U+FFFD."""
+    return F.make_valid_utf8(col_(c))
+
+
 def py_split(c) -> Column:
     """``s.split()``: split on whitespace runs, empty pieces dropped.
 

@@ -6,25 +6,32 @@ It is cut every ``shard_size`` tokens (documents span shards) and every
 shard is cut into training windows of ``seq_len + 1`` tokens that overlap by
 one token.
 
+Text that is no UTF-8 is repaired as Python does it before it is counted or cut.
+Rows are told apart by a digest of id and text, so that repeated ids are documents
+of their own, equal rows follow each other, and rows without an id come first.
+
 Plan shape (no step gathers a shard or the stream in one place):
   1. token counts per document from byte lengths (narrow scan),
   2. global offsets by a two-phase prefix sum (``plans.layout.running_sum``),
-  3. per shard sizes from shard pieces (tiny table, size-checked broadcast),
-  4. documents joined to their offsets, tokenized once, exploded into the
-     (shard, window) pieces they touch, with their token slices,
-  5. ``groupBy(shard, window)`` gathers at most ``seq_len + 1`` tokens.
+  3. per shard sizes from the total (all but the last are full),
+  4. documents joined to their offsets by digest, tokenized once into two bytes an
+     id (``token_bytes``), and cut with ``substring`` into the (shard, window) pieces
+     they feed, which alone go on,
+  5. ``groupBy(shard, window)`` gathers at most ``seq_len + 1`` tokens; bytes become
+     arrays of ids last.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import col_, is_blank
-from quarry.plans.layout import bounded_broadcast, running_sum
+from quarry.functions.text import col_, is_blank, valid_text
+from quarry.plans.layout import running_sum
 
 # The reference's special tokens, in id order (byte vocabulary
 # places them at 256 + index).
@@ -47,7 +54,6 @@ EOS_ID = BYTE_BASE + SPECIAL_TOKENS.index("<|endoftext|>")     # 256, also pad o
 BOS_ID = BYTE_BASE + SPECIAL_TOKENS.index("<|beginoftext|>")   # 257
 VOCAB_SIZE = BYTE_BASE + len(SPECIAL_TOKENS)
 DEFAULT_SHARD_SIZE = 100_000_000
-SHARD_TABLE_BROADCAST_ROWS = 5_000_000
 
 
 # --------------------------------------------------------------- tokenizers
@@ -58,8 +64,8 @@ def utf8_bytes(text) -> Column:
     Bytes are re-read as ISO-8859-1 so each byte is one character whose code
     point equals the byte value.
     """
-    t = col_(text)
-    latin = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    t = valid_text(text)
+    latin = F.decode(t.cast("binary"), "ISO-8859-1")
     arr = F.transform(F.split(latin, ""), lambda c: F.ascii(c))
     return F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.array().cast("array<int>")).otherwise(arr)
 
@@ -79,11 +85,22 @@ def byte_tokens(text, add_bos: bool = False, add_eos: bool = False, separator: s
 
 def byte_token_count(text, add_bos: bool = False, add_eos: bool = False, separator: str | None = None) -> Column:
     """Length of ``byte_tokens`` without building the array."""
-    n = F.octet_length(col_(text)).cast("bigint")
+    n = F.octet_length(valid_text(text)).cast("bigint")
     extra = int(add_bos) + (1 + len((separator or "").encode("utf-8")) if add_eos else 0)
     return n + F.lit(extra)
 
 
+def token_bytes(text, add_bos: bool = False, add_eos: bool = False, separator: str | None = None) -> Column:
+    """``byte_tokens`` as BINARY, two bytes (little-endian) an id: a text whose characters are
+    the ids, in UTF-16."""
+    parts = [F.decode(valid_text(text).cast("binary"), "ISO-8859-1")]
+    if add_bos:
+        parts.insert(0, F.lit(chr(BOS_ID)))
+    if add_eos:
+        parts.append(F.lit(chr(EOS_ID) + "".join(map(chr, (separator or "").encode("utf-8")))))
+    return F.encode(F.concat(*parts), "UTF-16LE")
+
+
 def _marker_regex() -> str:
     import re
     return "|".join(re.escape(m) for m in SPECIAL_TOKENS)
@@ -96,7 +113,7 @@ def encode_with_specials(text, add_bos: bool = False, add_eos: bool = False) ->
     replaced by its id.  (The reference scans markers in list order; we take
     them in text order, which is what a reader of the text expects.)
     """
-    t = col_(text)
+    t = valid_text(text)
     rx = _marker_regex()
     pieces = F.split(t, rx)
     markers = F.regexp_extract_all(t, F.lit(f"({rx})"), 1)
@@ -168,6 +185,21 @@ def token_estimate(text) -> Column:
 
 # ----------------------------------------------------------------- layout
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """A digest of id and text: rows that differ have different ones."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.sha2(name, 256), F.col(text_col))))
+
+
+def _row_offsets(docs: DataFrame, id_col: str, text_col: str, add_bos: bool, add_eos: bool, separator: str) -> DataFrame:
+    """(_key, id, n_chars, n_tokens, offset) of each row that is not blank, in order of id, then key."""
+    counts = (docs.filter(~is_blank(text_col))
+              .select(id_col, _row_key(id_col, text_col).alias("_key"), F.length(valid_text(text_col)).cast("bigint").alias("n_chars"),
+                      byte_token_count(text_col, add_bos, add_eos, separator).alias("n_tokens")))
+    ends = running_sum(counts, [id_col, "_key"], "n_tokens", "_end")
+    return ends.withColumn("offset", F.col("_end") - F.col("n_tokens")).drop("_end")
+
+
 def token_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   add_bos: bool = True, add_eos: bool = True, separator: str = "\n") -> DataFrame:
     """(id, n_chars, n_tokens, offset): global start of each document's tokens.
@@ -175,11 +207,26 @@ def token_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Blank documents are skipped (they produce no record when read).  Offsets
     come from the two-phase prefix sum, never a single-partition window.
     """
-    counts = (docs.filter(~is_blank(text_col))
-              .select(id_col, F.length(text_col).cast("bigint").alias("n_chars"),
-                      byte_token_count(text_col, add_bos, add_eos, separator).alias("n_tokens")))
-    ends = running_sum(counts, [id_col], "n_tokens", "_end")
-    return ends.select(id_col, "n_chars", "n_tokens", (F.col("_end") - F.col("n_tokens")).alias("offset"))
+    return _row_offsets(docs, id_col, text_col, add_bos, add_eos, separator).select(id_col, "n_chars", "n_tokens", "offset")
+
+
+def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", add_bos: bool = True,
+             add_eos: bool = True, separator: str = "\n") -> tuple[DataFrame, DataFrame]:
+    """(offset, n_tokens, n_chars, ids) of each document, ids as in ``token_bytes``, and the
+    offsets that it was made with.  Equal rows are joined once and follow each other."""
+    offsets = _row_offsets(docs, id_col, text_col, add_bos, add_eos, separator)
+    places = offsets.groupBy("_key").agg(F.min("offset").alias("_at"), F.first("n_tokens").alias("n_tokens"),
+                                         F.first("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("_copies"))
+    texts = (docs.filter(~is_blank(text_col)).select(_row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
+             .groupBy("_key").agg(F.first("_text").alias("_text")))
+    joined = texts.join(places, "_key").withColumn("ids", token_bytes("_text", add_bos, add_eos, separator))
+    each = joined.select("n_tokens", "n_chars", "ids", "_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias("_n"))
+    return each.select((F.col("_at") + F.col("_n") * F.col("n_tokens")).alias("offset"), "n_tokens", "n_chars", "ids"), offsets
+
+
+def cut_ids(ids, start, length) -> Column:
+    """``length`` ids from ``start`` on of ids of two bytes."""
+    return F.substring(col_(ids), (start * 2 + 1).cast("int"), (length * 2).cast("int"))
 
 
 def shard_pieces(offsets: DataFrame, shard_size: int, id_col: str = "doc_id") -> DataFrame:
@@ -200,30 +247,41 @@ def shard_sizes(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("shard_id").agg(F.sum("length").alias("shard_tokens"))
 
 
-def _window_pieces(rows: DataFrame, seq_len: int, shard_size: int, tokens_col: str, id_col: str) -> DataFrame:
-    """Explode each (document, shard) piece into the windows it feeds.
+def ids_in_shards(rows: DataFrame, shard_size: int) -> DataFrame:
+    """(shard_id, start_in_shard, ids, files, characters): the pieces of the documents' ids by
+    shard; a document's first piece counts it and its characters."""
+    S = F.lit(shard_size).cast("bigint")
+    off, n = F.col("offset"), F.col("n_tokens")
+
+    def piece(shard):
+        lo = F.greatest(off, shard * S)
+        hi = F.least(off + n, (shard + 1) * S)
+        first = lo == off
+        return F.struct(shard.alias("shard_id"), (lo - shard * S).alias("start_in_shard"), cut_ids("ids", lo - off, hi - lo).alias("ids"),
+                        first.cast("int").alias("files"), F.when(first, F.col("n_chars")).otherwise(0).alias("characters"))
+
+    shards = F.sequence(F.floor(off / S).cast("bigint"), F.floor((off + n - 1) / S).cast("bigint"))
+    return rows.select(F.explode_outer(F.transform(shards, piece)).alias("p")).filter("p IS NOT NULL").select("p.*")
+
+
+def _window_pieces(rows: DataFrame, seq_len: int, shard_size: int) -> DataFrame:
+    """(shard_id, window, pos, piece): each (document, shard) piece cut into the windows it feeds.
 
     A token at shard position p feeds window p // L, and also window
     p // L - 1 when p is a positive multiple of L (the overlap token).
     """
     L = F.lit(seq_len).cast("bigint")
-    S = F.lit(shard_size).cast("bigint")
-    off, n = F.col("offset"), F.col("n_tokens")
-    shards = rows.select(
-        id_col, "offset", "n_tokens", tokens_col,
-        F.explode(F.sequence(F.floor(off / S).cast("bigint"), F.floor((off + n - 1) / S).cast("bigint"))).alias("shard_id"))
-    la = F.greatest(off, F.col("shard_id") * S) - F.col("shard_id") * S
-    lb = F.least(off + n, (F.col("shard_id") + 1) * S) - F.col("shard_id") * S
-    shards = shards.select("*", la.alias("_la"), lb.alias("_lb"))
-    w_lo = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("_la") - 1) / L).cast("bigint"))
-    w_hi = F.floor((F.col("_lb") - 1) / L).cast("bigint")
-    win = shards.select("*", F.explode(F.sequence(w_lo, w_hi)).alias("window"))
-    ws = F.greatest(F.col("window") * L, F.col("_la"))
-    we = F.least(F.col("window") * L + L + 1, F.col("_lb"))
-    doc_from = ws + F.col("shard_id") * S - off
-    return win.filter(we > ws).select(
-        "shard_id", "window", ws.alias("pos"),
-        F.slice(tokens_col, (doc_from + 1).cast("int"), (we - ws).cast("int")).alias("piece"))
+    la, lb = F.col("start_in_shard"), F.col("start_in_shard") + F.length("ids") / 2
+    w_lo = F.greatest(F.lit(0).cast("bigint"), F.floor((la - 1) / L).cast("bigint"))
+    w_hi = F.floor((lb - 1) / L).cast("bigint")
+
+    def piece(w):
+        ws = F.greatest(w * L, la)
+        we = F.least(w * L + L + 1, lb.cast("bigint"))
+        return F.struct(w.alias("window"), ws.alias("pos"), cut_ids("ids", ws - la, we - ws).alias("piece"))
+
+    cut = rows.select("shard_id", F.explode_outer(F.transform(F.sequence(w_lo, w_hi), piece)).alias("p")).filter("p IS NOT NULL")
+    return cut.select("shard_id", "p.*").filter(F.length("piece") > 0)
 
 
 def pack_sequences(docs: DataFrame, seq_len: int, shard_size: int = DEFAULT_SHARD_SIZE,
@@ -236,30 +294,30 @@ def pack_sequences(docs: DataFrame, seq_len: int, shard_size: int = DEFAULT_SHAR
     labels = w[1:].  ``min_tokens`` drops windows with fewer real tokens
     (2 for the streaming reader).
     """
-    offs = token_offsets(docs, id_col, text_col, add_bos, add_eos, separator)
-    sizes = shard_sizes(shard_pieces(offs, shard_size, id_col))
-    sizes = sizes.select("shard_id", F.greatest(F.lit(1).cast("bigint"),
-                                                F.floor(F.col("shard_tokens") / seq_len).cast("bigint")).alias("_nwin"))
-    sizes = bounded_broadcast(sizes, SHARD_TABLE_BROADCAST_ROWS)
-    rows = (docs.select(id_col, text_col)
-            .join(offs.select(id_col, "offset", "n_tokens"), id_col)
-            .select(id_col, "offset", "n_tokens",
-                    byte_tokens(text_col, add_bos, add_eos, separator).alias("_tok")))
-    pieces = _window_pieces(rows, seq_len, shard_size, "_tok", id_col)
-    pieces = pieces.join(sizes, "shard_id").filter(F.col("window") < F.col("_nwin"))
-    grouped = (pieces.groupBy("shard_id", "window")
+    rows, offsets = laid_out(docs, id_col, text_col, add_bos, add_eos, separator)
+    total = offsets.agg(F.sum("n_tokens")).first()[0] or 0
+    last = total // shard_size  # the only shard that is not full
+    in_last = max(1, (total - last * shard_size) // seq_len)
+    pieces = _window_pieces(ids_in_shards(rows, shard_size), seq_len, shard_size)
+    windows = F.when(F.col("shard_id") == last, in_last).otherwise(max(1, shard_size // seq_len))
+    grouped = (pieces.filter(F.col("window") < windows).groupBy("shard_id", "window")
                .agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("_p")))
-    flat = grouped.select("shard_id", F.col("window").alias("seq_no"),
-                          F.flatten(F.transform("_p", lambda x: x["piece"])).alias("_w"))
-    flat = flat.withColumn("n_tokens", F.size("_w"))
+    whole = F.aggregate("_p", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
+    flat = grouped.select("shard_id", F.col("window").alias("seq_no"), whole.alias("_w"))
     if min_tokens:
-        flat = flat.filter(F.col("n_tokens") >= min_tokens)
-    # ids stay INT (the vocabulary is far below 2^31): half the bytes of BIGINT through
-    # the gather, pad and slices; cast at the consumer if 64-bit ids are required
-    padded = F.concat(F.col("_w"), F.array_repeat(F.lit(0), F.lit(seq_len + 1) - F.size("_w")))
-    return flat.select("shard_id", "seq_no", "n_tokens",
-                       F.slice(padded, 1, seq_len).alias("input_ids"),
-                       F.slice(padded, 2, seq_len).alias("labels"))
+        flat = flat.filter(F.length("_w") >= 2 * min_tokens)
+
+    def to_ids(batches):
+        for b in batches:
+            cells = b.column("_w").to_pylist()
+            ids = np.frombuffer(b"".join(w.ljust(2 * (seq_len + 1), b"\0") for w in cells), "<u2").astype(np.int32).reshape(-1, seq_len + 1)
+            at = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * seq_len)
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(x).reshape(-1))) for x in (ids[:, :-1], ids[:, 1:])]
+            yield pa.RecordBatch.from_arrays([b.column("shard_id"), b.column("seq_no"), pa.array([len(w) // 2 for w in cells], pa.int32()), *lists],
+                                             names=["shard_id", "seq_no", "n_tokens", "input_ids", "labels"])
+
+    # ids stay INT (the vocabulary is far below 2^31); cast at the consumer if 64-bit ids are required
+    return flat.mapInArrow(to_ids, "shard_id long, seq_no long, n_tokens int, input_ids array<int>, labels array<int>")
 
 
 def seeded_key(seed: int, *cols) -> Column:
@@ -290,7 +348,7 @@ def corpus_token_stats(docs: DataFrame, group_cols: list[str], shard_size: int =
     """files, characters, tokens, chars/token, shards, bytes; one pass with GROUPING SETS
     (each group column alone, plus the grand total)."""
     base = docs.filter(~is_blank(text_col)).select(
-        *group_cols, F.length(text_col).cast("bigint").alias("_c"),
+        *group_cols, F.length(valid_text(text_col)).cast("bigint").alias("_c"),
         byte_token_count(text_col, add_bos, add_eos, separator).alias("_t"))
     if group_cols:
         sets = [[F.col(c)] for c in group_cols] + [[]]

@@ -9,8 +9,6 @@ read file content (``binaryFile`` with ``content`` pruned).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -331,29 +329,10 @@ def read_benchmark_items(spark: SparkSession, directory: str, subjects: list[str
 
 def read_token_shards(spark: SparkSession, directory: str, dtype: str = "uint32", block_tokens: int = 1 << 20) -> DataFrame:
     """.bin (flat ``dtype``) and .npy shards in name order -> rows
-    (path, shard_no, block, start, tokens) of at most ``block_tokens`` ids, so
-    a 100 M-token shard never becomes one row."""
-    files = list_files(spark, directory, recursive=False).filter(F.col("ext").isin(TOKEN_EXTENSIONS))
-    from quarry.plans.layout import global_row_number
-    files = global_row_number(files.select("path", "ext"), ["path"], "shard_no")
-    raw = spark.read.format("binaryFile").load(directory).select("path", "content")
-    j = files.join(raw, "path")
-
-    def blocks(it):
-        for pdf in it:
-            rows = []
-            for path, ext, no, content in zip(pdf["path"], pdf["ext"], pdf["shard_no"], pdf["content"]):
-                if ext == ".npy":
-                    import io
-                    arr = np.load(io.BytesIO(bytes(content)))
-                else:
-                    arr = np.frombuffer(bytes(content), dtype=np.dtype(dtype))
-                for b, s in enumerate(range(0, len(arr), block_tokens)):
-                    rows.append((path, int(no) - 1, b, s, arr[s:s + block_tokens].astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["path", "shard_no", "block", "start", "tokens"])
-
-    schema = "path string, shard_no long, block long, start long, tokens array<long>"
-    return j.mapInPandas(blocks, schema)
+    (path, shard_no, block, start, tokens) of at most ``block_tokens`` ids; ranges of
+    bytes of a shard are read by tasks of their own.  No shard at all is an error."""
+    from quarry.sources.shards import registered
+    return (spark.read.format(registered(spark)).option("dtype", dtype).option("block_tokens", block_tokens).load(directory))
 
 
 # ------------------------------------------------------------------ search provider JSON

@@ -1,23 +1,21 @@
 """Sinks: JSONL text, uint32 token shards with meta.json, metric dumps.
 
 Token shards: the packed stream (document order, documents spanning shards)
-is cut into ``shard_size`` pieces with the two-phase offsets; every shard is
-written by exactly one task, from rows hash-partitioned by shard and sorted
-by position, streaming one Arrow batch at a time into a temporary file that
-is renamed when complete (a retried task rewrites its own temporary file).
+is cut into ``shard_size`` pieces with the two-phase offsets; a task for each
+shard gets its pieces by position and streams them to the data source of
+``sources.shards``, whose commit puts the shards and ``meta.json`` in place.
 """
 
 from __future__ import annotations
 
-import json
 import os
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import tokens as TK
+from quarry.sources.shards import registered
 
 
 def write_jsonl(df: DataFrame, text_col: str, path: str) -> dict:
@@ -31,30 +29,11 @@ def write_jsonl(df: DataFrame, text_col: str, path: str) -> dict:
     return obs.get
 
 
-def _shard_writer(out_dir: str, dtype: str):
-    def write(batches):
-        cur, fh, tmp, n = None, None, None, 0
-        done = []
-
-        def close():
-            if fh is not None:
-                fh.close()
-                final = os.path.join(out_dir, f"shard_{cur:04d}.bin")
-                os.replace(tmp, final)
-                done.append((int(cur), int(n), final))
-        for pdf in batches:
-            for sid, toks in zip(pdf["shard_id"].to_numpy(), pdf["piece"]):
-                if sid != cur:
-                    close()
-                    cur, n = sid, 0
-                    tmp = os.path.join(out_dir, f".shard_{sid:04d}.bin.tmp-{os.getpid()}")
-                    fh = open(tmp, "wb")
-                arr = np.asarray(toks, dtype=np.dtype(dtype))
-                fh.write(arr.tobytes())
-                n += len(arr)
-        close()
-        yield pd.DataFrame(done, columns=["shard_id", "n_tokens", "path"])
-    return write
+def _save_shards(rows: DataFrame, path: str, shards: int, shard_size: int, dtype: str) -> None:
+    """Write (shard_id, start_in_shard, ids, files, characters), one task a shard."""
+    dealt = rows.repartitionById(max(1, shards), F.col("shard_id").cast("int")).sortWithinPartitions("shard_id", "start_in_shard")
+    (dealt.write.format(registered(rows.sparkSession)).mode("overwrite").option("dtype", dtype)
+     .option("shard_size", shard_size).option("vocab_size", TK.VOCAB_SIZE).save(path))
 
 
 def write_token_shards(docs: DataFrame, out_dir: str, shard_size: int = TK.DEFAULT_SHARD_SIZE,
@@ -62,39 +41,27 @@ def write_token_shards(docs: DataFrame, out_dir: str, shard_size: int = TK.DEFAU
                        separator: str = "\n", dtype: str = "uint32") -> DataFrame:
     """Write ``shard_%04d.bin`` files and meta.json; returns (shard_id, n_tokens, path).
 
-    ``out_dir`` must be a folder every executor can write (a shared file system)."""
-    os.makedirs(out_dir, exist_ok=True)
-    offs = TK.token_offsets(docs, id_col, text_col, add_bos, add_eos, separator)
-    pieces = TK.shard_pieces(offs, shard_size, id_col)
-    rows = (docs.select(id_col, text_col).join(pieces, id_col)
-            .select("shard_id", "start_in_shard",
-                    F.slice(TK.byte_tokens(text_col, add_bos, add_eos, separator),
-                            (F.col("doc_from") + 1).cast("int"), F.col("length").cast("int")).alias("piece")))
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n_parts, "shard_id").sortWithinPartitions("shard_id", "start_in_shard")
-    schema = "shard_id long, n_tokens long, path string"
-    # one job writes the files; its result is one small row per shard
-    done = ordered.mapInPandas(_shard_writer(out_dir, dtype), schema).collect()
-    stats = offs.agg(F.sum("n_tokens").alias("total_tokens"), F.sum("n_chars").alias("total_characters"),
-                     F.count(F.lit(1)).alias("total_files")).first()
-    meta = {"total_tokens": int(stats.total_tokens or 0), "total_characters": int(stats.total_characters or 0),
-            "total_files": int(stats.total_files or 0), "num_shards": len(done),
-            "shard_size": shard_size, "vocab_size": TK.VOCAB_SIZE, "dtype": dtype,
-            "files_processed": int(stats.total_files or 0)}
-    with open(os.path.join(out_dir, "meta.json"), "w") as f:
-        json.dump(meta, f, indent=2)
-    return docs.sparkSession.createDataFrame(done, schema)
+    ``out_dir`` is in a store that all workers reach; shards that it holds are replaced."""
+    spark = docs.sparkSession
+    rows, offsets = TK.laid_out(docs, id_col, text_col, add_bos, add_eos, separator)
+    total = offsets.agg(F.sum("n_tokens")).first()[0] or 0
+    _save_shards(TK.ids_in_shards(rows, shard_size), out_dir, -(-total // shard_size), shard_size, dtype)
+    from quarry.sources.readers import list_files
+    files = list_files(spark, out_dir, recursive=False, glob="shard_*.bin")
+    return files.select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("shard_id"),
+                        (F.col("length") / np.dtype(dtype).itemsize).cast("long").alias("n_tokens"), "path")
 
 
 def write_token_file(spark: SparkSession, input_file: str, output_file: str, add_bos: bool = True,
                      add_eos: bool = True) -> int:
     """One text file -> one .bin of its tokens; returns the token count."""
-    t = spark.read.option("wholetext", True).text(input_file)
-    toks = t.select(TK.byte_tokens("value", add_bos, add_eos).alias("t")).first()
-    arr = np.asarray(toks.t if toks else [], dtype=np.uint32)
-    os.makedirs(os.path.dirname(os.path.abspath(output_file)), exist_ok=True)
-    arr.tofile(output_file)
-    return int(len(arr))
+    text = spark.read.option("wholetext", True).text(input_file)
+    ids = text.select(F.lit(0).cast("bigint").alias("shard_id"), F.lit(0).cast("bigint").alias("start_in_shard"),
+                      TK.token_bytes("value", add_bos, add_eos).alias("ids"), F.lit(1).alias("files"), F.length("value").cast("bigint").alias("characters"))
+    folder, name = os.path.split(output_file)
+    (ids.write.format(registered(spark)).mode("overwrite").option("shard_size", 1 << 40).option("vocab_size", TK.VOCAB_SIZE)
+     .option("file", name).save(folder or "."))
+    return text.agg(F.sum(TK.byte_token_count("value", add_bos, add_eos))).first()[0] or 0
 
 
 def manifest_check(spark: SparkSession, directory: str, bytes_per_token: int = 4) -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import tokens as TK
+from quarry.sources import readers as RD
+from quarry.sources import sinks as SK
+from quarry.sources.shards import registered
 from quarry.sources.tables import table
+from quarry.streaming.jobs import scratch_path
 from quarry.suite import sqlfrag as Q
 
 SEQ_LEN = 300          # does not divide the shard size: tails and overlaps occur
@@ -13,12 +17,37 @@ SHARD_SIZE = 100_000
 BATCH = 8
 SEED = 1234
 PAD_LEN = 64
+BLOCK = 4096            # does not divide the shard size either
 
 
 def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
 
 
+def _shards(spark, sf):
+    """The documents' shards, written."""
+    path = f"{scratch_path(spark, 'fixtures', 'shards')}/tokens"
+    SK.write_token_shards(_docs(spark, sf), path, SHARD_SIZE)
+    return path
+
+
+def q_write_token_shards(spark, sf):
+    # what the written shards hold, whole shards at a time
+    back = RD.read_token_shards(spark, _shards(spark, sf), block_tokens=SHARD_SIZE)
+    return back.select(F.col("shard_no").alias("shard_id"), F.size("tokens").cast("bigint").alias("n_tokens"), _md5_arr("tokens").alias("ids_md5"))
+
+
+def q_read_token_shards(spark, sf):
+    # small blocks and small byte ranges: a shard is read by many tasks
+    path = _shards(spark, sf)
+    fmt = spark.read.format(registered(spark)).option("block_tokens", BLOCK).option("partition_bytes", 8 * 4 * BLOCK)
+    return fmt.load(path).select("shard_no", "block", "start", F.size("tokens").cast("bigint").alias("n_tokens"), _md5_arr("tokens").alias("ids_md5"))
+
+
+def q_manifest_check(spark, sf):
+    return SK.manifest_check(spark, _shards(spark, sf))
+
+
 def _md5_arr(c):
     return F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
 
@@ -172,7 +201,22 @@ def _md5_list(x):
 _SPECIAL_IDS = "MAP {" + ", ".join(f"'{m}': {TK.BYTE_BASE + i}" for i, m in enumerate(TK.SPECIAL_TOKENS)) + "}"
 _MARK_RX = TK._marker_regex()
 
+def _blocks_sql(size):
+    return f"""
+bp AS (SELECT "offset" + i AS p, tok FROM (SELECT "offset", unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM o)),
+bl AS (SELECT p // {SHARD_SIZE} AS s, p % {SHARD_SIZE} AS lp, tok FROM bp),
+bk AS (SELECT s, lp // {size} AS b, list(tok ORDER BY lp) AS toks FROM bl GROUP BY ALL)"""
+
+
 SQL = {
+    "write_token_shards": f"""WITH {_TOK}, {_blocks_sql(SHARD_SIZE)}
+SELECT CAST(s AS BIGINT) AS shard_id, CAST(len(toks) AS BIGINT) AS n_tokens, md5(array_to_string(toks, ',')) AS ids_md5 FROM bk""",
+    "read_token_shards": f"""WITH {_TOK}, {_blocks_sql(BLOCK)}
+SELECT CAST(s AS BIGINT) AS shard_no, CAST(b AS BIGINT) AS block, CAST(b * {BLOCK} AS BIGINT) AS start, CAST(len(toks) AS BIGINT) AS n_tokens,
+       md5(array_to_string(toks, ',')) AS ids_md5 FROM bk""",
+    "manifest_check": f"""WITH {_TOK}, t AS (SELECT CAST(sum(n_tokens) AS BIGINT) AS n FROM o)
+SELECT n AS tokens_on_disk, CAST(ceil(n / {SHARD_SIZE}) AS BIGINT) AS files_on_disk, n AS total_tokens,
+       CAST(ceil(n / {SHARD_SIZE}) AS BIGINT) AS num_shards, true AS consistent FROM t""",
     "byte_tokenize": f"""WITH h AS (SELECT doc_id, hex(encode(text)) AS hx FROM documents),
 t AS (SELECT doc_id, [257] || {_bytes_sql('hx')} || [256] AS t FROM h)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, {_md5_list('t')} AS tokens_md5 FROM t""",
@@ -227,6 +271,9 @@ SELECT doc_id, {_md5_list(f'w[1:{SEQ_LEN}]')} AS ids_md5, {_md5_list(f'w[2:{SEQ_
 }
 
 QUERIES = {
+    "write_token_shards": q_write_token_shards,
+    "read_token_shards": q_read_token_shards,
+    "manifest_check": q_manifest_check,
     "byte_tokenize": q_byte_tokenize,
     "special_split": q_special_split,
     "detokenize": q_detokenize,
