@@ -18,6 +18,7 @@ from quarry.functions.text import col_, py_strip
 from quarry.operators.tokens import byte_tokens, token_estimate
 from quarry.operators.safety import python_regex_to_portable
 from quarry.plans.layout import running_sum
+from quarry.sources.jsonfiles import strict_json
 
 # The reference's chat templates.
 NATIVE_TEMPLATE = {
@@ -176,12 +177,12 @@ def prompt_from_memory(system_prompt: DataFrame | None, messages: DataFrame, con
              .otherwise(F.lit("")))
     j = _ordered_join(messages, conv_col, turn_col, piece)
     if system_prompt is not None:
-        j = j.join(system_prompt, conv_col, "left")
+        j = j.join(system_prompt, conv_col, "full")  # a conversation may have a system prompt alone
         sys = F.when(F.coalesce(F.col("system_prompt"), F.lit("")) != "",
                      F.concat(F.lit("<|system|>\n"), F.col("system_prompt"), F.lit("\n"))).otherwise(F.lit(""))
     else:
         sys = F.lit("")
-    return j.select(conv_col, F.concat(sys, "_joined", F.lit("<|assistant|>\n")).alias("prompt"))
+    return j.select(conv_col, F.concat(sys, F.coalesce("_joined", F.lit("")), F.lit("<|assistant|>\n")).alias("prompt"))
 
 
 def prompt_from_request(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -206,13 +207,13 @@ def parse_tool_calls(df: DataFrame, key_cols: list[str], text_col: str = "text")
     t = F.col(text_col)
     js = F.arrays_zip(F.regexp_extract_all(t, F.lit(jrx), 1).alias("name"),
                       F.regexp_extract_all(t, F.lit(jrx), 2).alias("args"))
-    js = F.filter(js, lambda c: F.try_parse_json(c["args"]).isNotNull())
+    js = F.filter(js, lambda c: strict_json(c["args"]).isNotNull())
     js = F.transform(js, lambda c: F.struct(c["name"].alias("name"), c["args"].alias("arguments"),
                                             F.lit(True).alias("args_is_json"), F.lit("json").alias("style")))
     xs = F.arrays_zip(F.regexp_extract_all(t, F.lit(xrx), 1).alias("name"),
                       F.regexp_extract_all(t, F.lit(xrx), 2).alias("args"))
     xs = F.transform(xs, lambda c: F.struct(py_strip(c["name"]).alias("name"), py_strip(c["args"]).alias("arguments"),
-                                            F.try_parse_json(py_strip(c["args"])).isNotNull().alias("args_is_json"),
+                                            strict_json(py_strip(c["args"])).isNotNull().alias("args_is_json"),
                                             F.lit("xml").alias("style")))
     calls = F.concat(js, xs)
     out = df.select(*key_cols, F.posexplode_outer(calls).alias("call_index", "c")).filter(F.col("call_index").isNotNull())
@@ -335,28 +336,37 @@ def agent_trace_summary(steps: DataFrame, trace_col: str, order_col: str, action
 def conversation_json(conv: DataFrame, system_prompt: DataFrame | None, max_tokens: int,
                       conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                       text_col: str = "text") -> DataFrame:
-    """Serialise {system_prompt, max_tokens, messages:[{role, content}]} per conversation."""
-    g = conv.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(turn_col).alias("o"), F.col(role_col).alias("role"), F.col(text_col).alias("content")))).alias("_x"))
-    g = g.select(conv_col, F.transform("_x", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    """Serialise {system_prompt, max_tokens, messages} per conversation.  A message has role and
+    content and, where ``conv`` has columns of these names and they are set, tool_calls (JSON
+    text), tool_call_id and name.  A conversation may have a system prompt alone."""
+    only_set = {"ignoreNullFields": "true"}
+    said = F.to_json(F.struct(F.col(role_col).alias("role"), F.col(text_col).alias("content")), only_set)
+    calls = F.lit("")
+    if "tool_calls" in conv.columns:  # JSON text goes in as it is
+        calls = F.when(strict_json("tool_calls").isNotNull(), F.concat(F.lit(',"tool_calls":'), "tool_calls")).otherwise("")
+    more = [F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("tool_call_id", "name") if c in conv.columns]
+    rest = F.regexp_replace(F.to_json(F.struct(*more), only_set), r"^\{(.)", r",$1") if more else F.lit("}")
+    message = F.concat(F.regexp_replace(said, r"\}$", ""), calls, F.when(rest == ",}", "}").otherwise(rest))
+    g = conv.select(conv_col, F.struct(F.col(turn_col).alias("o"), message.alias("m")).alias("_x"))
+    g = g.groupBy(conv_col).agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    g = g.select(conv_col, F.array_join(F.transform("_x", lambda x: x["m"]), ",").alias("_messages"))
     if system_prompt is not None:
-        g = g.join(system_prompt, conv_col, "left")
+        g = g.join(system_prompt, conv_col, "full")
     else:
         g = g.withColumn("system_prompt", F.lit(None).cast("string"))
-    # top-level keys always present (system_prompt may be null); message dicts carry only set fields
-    js = F.to_json(F.struct(F.col("system_prompt"), F.lit(max_tokens).alias("max_tokens"), F.col("messages")),
-                   {"ignoreNullFields": "false"})
-    return g.select(conv_col, js.alias("json"))
+    # top-level keys are always present (system_prompt may be null)
+    head = F.to_json(F.struct("system_prompt", F.lit(max_tokens).alias("max_tokens")), {"ignoreNullFields": "false"})
+    return g.select(conv_col, F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"messages":['), F.coalesce("_messages", F.lit("")), F.lit("]}")).alias("json"))
 
 
-MEMORY_SCHEMA = "struct<system_prompt:string,max_tokens:int,messages:array<struct<role:string,content:string,tool_call_id:string,name:string>>>"
+MEMORY_SCHEMA = "struct<system_prompt:string,max_tokens:int,messages:array<struct<role:string,content:string,tool_calls:string,tool_call_id:string,name:string>>>"
 
 
 def conversation_from_json(df: DataFrame, json_col: str = "json") -> DataFrame:
-    """Restore messages (role default user, content default '') without trimming."""
+    """Restore messages (role default user, content default ''; tool_calls as JSON text) without trimming."""
     p = df.select("*", F.from_json(F.col(json_col), MEMORY_SCHEMA).alias("_m"))
     e = p.select("*", F.posexplode(F.coalesce(F.col("_m.messages"), F.array())).alias("turn", "_msg"))
     return e.select(*[c for c in df.columns if c != json_col], F.col("_m.system_prompt").alias("system_prompt"),
                     F.coalesce(F.col("_m.max_tokens"), F.lit(7000)).alias("max_tokens"), "turn",
                     F.coalesce(F.col("_msg.role"), F.lit("user")).alias("role"),
-                    F.coalesce(F.col("_msg.content"), F.lit("")).alias("text"))
+                    F.coalesce(F.col("_msg.content"), F.lit("")).alias("text"), "_msg.tool_calls", "_msg.tool_call_id", "_msg.name")

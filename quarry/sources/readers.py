@@ -9,11 +9,14 @@ read file content (``binaryFile`` with ``content`` pruned).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import col_, is_blank
+from quarry.functions.text import col_, is_blank, valid_text
+from quarry.sources.jsonfiles import elements, strict_json
 
 # Extensions and field priority lists of the reference readers.
 TEXT_EXTENSIONS = [".txt", ".jsonl", ".json", ".md", ".csv", ".tsv", ".rst"]
@@ -125,53 +128,69 @@ def _jsonl_records(lines: DataFrame) -> DataFrame:
     return recs.select("path", F.explode_outer("_r").alias("text")).filter(F.col("text").isNotNull())
 
 
-def read_jsonl_text(spark: SparkSession, paths) -> DataFrame:
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+def read_jsonl_text(spark: SparkSession, paths, **options) -> DataFrame:
+    lines = spark.read.options(**options).text(paths).select(F.col("_metadata.file_path").alias("path"), valid_text("value").alias("value"))
     return _jsonl_records(lines)
 
 
-def read_json_text(spark: SparkSession, paths) -> DataFrame:
-    """Whole-file JSON: array -> each string item or first string of
-    text/content/body/input; object -> first of text/content/body."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"),
-                                                          F.try_parse_json("value").alias("v"))
-    arr = F.try_variant_get(F.col("v"), "$", "array<variant>")
-    items = F.transform(arr, lambda it: F.when(vtype(it) == "STRING", F.variant_get(it, "$", "string"))
-                        .otherwise(first_string(it, JSON_ARRAY_TEXT_FIELDS)))
-    obj = first_string("v", JSON_OBJECT_TEXT_FIELDS)
-    recs = F.when(arr.isNotNull(), F.filter(items, lambda x: x.isNotNull())) \
-            .otherwise(F.filter(F.array(obj), lambda x: x.isNotNull()))
-    return files.select("path", F.explode_outer(recs).alias("text")).filter(F.col("text").isNotNull())
+def read_json_text(spark: SparkSession, paths, **options) -> DataFrame:
+    """JSON files: array -> each string item or first string of text/content/body/input;
+    object -> first of text/content/body.  An array is read by many tasks (``jsonfiles``);
+    a file that is not one JSON value gives nothing."""
+    v = elements(spark, paths, **options).select("path", "is_array", strict_json("text").alias("v"))
+    item = F.when(vtype("v") == "STRING", F.variant_get("v", "$", "string")).otherwise(first_string("v", JSON_ARRAY_TEXT_FIELDS))
+    text = F.when(F.col("is_array"), item).otherwise(first_string("v", JSON_OBJECT_TEXT_FIELDS))
+    return v.select("path", text.alias("text")).filter(F.col("text").isNotNull())
+
+
+def read_plain_text(spark: SparkSession, paths, **options) -> DataFrame:
+    """One record per file: bad bytes replaced, line ends as ``\\n``, blank files left out."""
+    whole = spark.read.options(**options).text(paths, wholetext=True)
+    text = F.regexp_replace(valid_text("value"), "\r\n?", "\n")
+    return whole.select(F.col("_metadata.file_path").alias("path"), text.alias("text")).filter(~is_blank("text"))
+
+
+def _any_case(extensions) -> str:
+    """Glob of files with one of the extensions, in either case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in extensions) + "}"
+
+
+def qualified(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it names it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(hadoop)
+
+
+def in_folder(path_col: Column, folder: str) -> Column:
+    """Whether a file lies directly in a folder (a qualified name)."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^(\\w+):/+", "$1:/"), "/+$", "")
+    return plain(F.regexp_extract(path_col, "^(.*/)[^/]+$", 1)) == plain(F.lit(folder))
 
 
 def read_text_corpus(spark: SparkSession, input_dir: str | None = None, files: list[str] | None = None,
                      recursive: bool = True) -> DataFrame:
-    """(path, text): directory scans keep supported extensions, explicit files
-    are taken as given; .jsonl/.json parsed, everything else (CSV included) is
-    one record per file; blank text dropped; bad bytes replaced."""
-    paths = []
-    if input_dir:
-        lf = list_files(spark, input_dir, recursive=recursive).filter(F.lower("ext").isin(TEXT_EXTENSIONS))
-        paths += [r.path for r in lf.select("path").collect()]  # a listing of file names, not data
-    paths += list(files or [])
-    if not paths:
-        return spark.createDataFrame([], "path string, text string")
-    by_ext = {}
-    for p in paths:
-        e = "." + p.rsplit(".", 1)[-1].lower() if "." in p.rsplit("/", 1)[-1] else ""
-        by_ext.setdefault(".jsonl" if e == ".jsonl" else ".json" if e == ".json" else "text", []).append(p)
+    """(path, text): folder scans keep supported extensions, explicit files are taken as given
+    if they are there; .jsonl/.json parsed, everything else (CSV included) is one record
+    per file, dropped when blank; bad bytes replaced.
+
+    A folder is scanned by one read for each kind of file, so that its listing stays Spark's own."""
+    kinds = {".jsonl": read_jsonl_text, ".json": read_json_text, "": read_plain_text}
     parts = []
-    if by_ext.get(".jsonl"):
-        parts.append(read_jsonl_text(spark, by_ext[".jsonl"]))
-    if by_ext.get(".json"):
-        parts.append(read_json_text(spark, by_ext[".json"]))
-    if by_ext.get("text"):
-        t = spark.read.option("wholetext", True).text(by_ext["text"])
-        # plain files: one record each, dropped when blank (JSON records are kept as parsed)
-        parts.append(t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-                     .filter(~is_blank("text")))
-    out = parts[0]
-    for p in parts[1:]:
+    if input_dir:
+        fs, folder = qualified(spark, input_dir)
+        if fs.exists(folder) and fs.getFileStatus(folder).isDirectory():
+            for kind, read in kinds.items():
+                own = [kind] if kind else [e for e in TEXT_EXTENSIONS if e not in kinds]
+                found = read(spark, input_dir, recursiveFileLookup=True, pathGlobFilter=_any_case(own))
+                parts.append(found if recursive else found.filter(in_folder(F.col("path"), folder.toString())))
+    there = [f for f in files or [] for fs, p in [qualified(spark, f)] if fs.exists(p) and fs.getFileStatus(p).isFile()]
+    for kind, read in kinds.items():
+        own = [f for f in there if (os.path.splitext(f)[1].lower() if os.path.splitext(f)[1].lower() in kinds else "") == kind]
+        if own:
+            parts.append(read(spark, own))
+    out = spark.createDataFrame([], "path string, text string")
+    for p in parts:
         out = out.unionByName(p)
     return out
 
@@ -188,7 +207,7 @@ def flatten_sample(v, text_field: str = "text") -> Column:
     has_ir = instr.isNotNull() & resp.isNotNull()
     instr_s = F.variant_get(instr, "$", "string")
     resp_s = F.variant_get(resp, "$", "string")
-    inner = F.try_parse_json(instr_s)
+    inner = strict_json(instr_s)
     msgs = F.try_variant_get(inner, "$.messages", "array<variant>")
 
     def role_lines(arr, role_paths, content_paths):
@@ -226,19 +245,12 @@ def limit_samples(samples: DataFrame, order_cols: list[str], n: int | None, befo
 
 # ------------------------------------------------------------------ chat formats
 
-OPENAI_SCHEMA = ("messages array<struct<role:string, content:string, tool_call_id:string, "
-                 "tool_calls:array<map<string,string>>>>, metadata map<string,string>")
+OPENAI_SCHEMA = "messages array<struct<role:string, content:string, tool_calls:string, tool_call_id:string, name:string>>"
+# Speakers of the format and their roles.
 SHAREGPT_ROLES = {"human": "user", "gpt": "assistant", "system": "system",
                   "observation": "tool", "function_call": "assistant"}
 
 
-def strict_json(text) -> Column:
-    """VARIANT of a text that is one JSON value and nothing else; NULL otherwise.  (The parser
-    stops after the first value; inside brackets what follows it is an error.)"""
-    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), col_(text), F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(items) == 1, items[0])
-
-
 def _line_key() -> Column:
     """Key of a line of a text scan: equal lines of one file have different ones."""
     return F.md5(F.concat_ws(":", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")))
@@ -249,7 +261,8 @@ def _json_records(spark: SparkSession, paths) -> DataFrame:
     files (an array, an object, or lines); records that are not JSON are left out."""
     lines = spark.read.option("pathGlobFilter", "*.jsonl").text(paths)
     lines = lines.select(_line_key().alias("conv_key"), strict_json("value").alias("v"))
-    whole = spark.read.option("pathGlobFilter", "*[!l]").text(paths, wholetext=True)
+    other = ",".join([f"*[!{c}]{'jsonl'[i:]}" for i, c in enumerate(".jsonl")] + ["jsonl"[i:] for i in range(5)])
+    whole = spark.read.option("pathGlobFilter", "{" + other + "}").text(paths, wholetext=True)
     whole = whole.select(F.col("_metadata.file_path").alias("path"), "value", strict_json("value").alias("v"))
     items = F.coalesce(F.try_variant_get(F.col("v"), "$", "array<variant>"), F.when(F.col("v").isNotNull(), F.array("v")),
                        F.transform(F.split("value", "\n"), strict_json))
@@ -260,13 +273,14 @@ def _json_records(spark: SparkSession, paths) -> DataFrame:
 
 def read_openai_chat(spark: SparkSession, paths) -> DataFrame:
     """JSONL {"messages": [...], "metadata": {...}} -> long form
-    (conv_key, turn, role, content, tool_call_id); role defaults to user,
-    content to ''; conversations without messages dropped."""
-    lines = spark.read.text(paths).select(_line_key().alias("conv_key"), F.btrim("value").alias("line"))
-    p = lines.filter(F.col("line") != "").select("conv_key", F.from_json("line", OPENAI_SCHEMA).alias("o"))
+    (conv_key, turn, role, content, tool_calls, tool_call_id, name); role defaults to
+    user, content to ''; tool calls are JSON text as it stands; lines that are not JSON
+    and conversations without messages are left out."""
+    lines = spark.read.text(paths).select(_line_key().alias("conv_key"), F.btrim(valid_text("value")).alias("line"))
+    p = lines.filter(strict_json("line").isNotNull()).select("conv_key", F.from_json("line", OPENAI_SCHEMA).alias("o"))
     e = p.select("conv_key", F.posexplode(F.col("o.messages")).alias("turn", "m"))
     return e.select("conv_key", "turn", F.coalesce("m.role", F.lit("user")).alias("role"),
-                    F.coalesce("m.content", F.lit("")).alias("content"), F.col("m.tool_call_id").alias("tool_call_id"))
+                    F.coalesce("m.content", F.lit("")).alias("content"), "m.tool_calls", "m.tool_call_id", "m.name")
 
 
 def sharegpt_role(speaker) -> Column:
@@ -363,8 +377,7 @@ def discover_sources(spark: SparkSession, base_dir: str, weight: float = 1.0) ->
     folder name), sorted by name, with a default weight and its shard count."""
     files = list_files(spark, base_dir, recursive=True).filter(F.col("ext") == ".bin")
     d = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir"))
-    base = base_dir.rstrip("/")
-    d = d.filter(F.regexp_extract("dir", r"^(.*)/[^/]+$", 1).endswith(base.rsplit("/", 1)[-1]))
+    d = d.filter(in_folder(F.col("dir"), qualified(spark, base_dir)[1].toString()))
     return (d.groupBy("dir").agg(F.count(F.lit(1)).alias("shards"))
             .select(F.regexp_extract("dir", r"([^/]+)$", 1).alias("name"), "dir", F.lit(weight).alias("weight"), "shards")
             .orderBy("name"))
@@ -380,11 +393,11 @@ def union_sources(spark: SparkSession, sources: list[tuple[str, str]], cap: int
             df = read_jsonl_text(spark, path)
             df.schema  # resolves the path now
             if cap:
-                df = df.limit(cap)
+                df = df.orderBy("path", "text").limit(cap)
             parts.append(df.select(F.lit(name).alias("source"), "path", "text"))
             status.append((name, True, None))
         except Exception as e:  # noqa: BLE001 - a failing source is reported, not fatal
-            status.append((name, False, str(e).splitlines()[0][:300]))
+            status.append((name, False, str(e).splitlines()[0]))
     empty = spark.createDataFrame([], "source string, path string, text string")
     out = empty
     for p in parts:

@@ -90,10 +90,15 @@ def q_memory_window(spark, sf):
     return C.memory_window(_conv(spark, sf), MAX_MEMORY_TOKENS).select("conv_id", "turn", "window_tokens")
 
 
+def _system_prompts(c):
+    """All system turns of a conversation, in order."""
+    turns = c.filter(F.col("role") == "system").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("system_prompt"))
+
+
 def q_prompt_from_memory(spark, sf):
     c = _conv(spark, sf)
-    system = (c.filter(F.col("role") == "system").groupBy("conv_id")
-              .agg(F.min_by("text", "turn").alias("system_prompt")))
+    system = _system_prompts(c)
     window = C.memory_window(c.filter(F.col("role") != "system"), MAX_MEMORY_TOKENS)
     p = C.prompt_from_memory(system, window)
     return p.select("conv_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("prompt_len"))
@@ -128,14 +133,18 @@ def q_plan_steps(spark, sf):
 
 
 def q_conversation_json(spark, sf):
-    c = _conv(spark, sf)
-    system = (c.filter(F.col("role") == "system").groupBy("conv_id")
-              .agg(F.min_by("text", "turn").alias("system_prompt")))
-    j = C.conversation_json(c.filter(F.col("role") != "system"), system, MAX_MEMORY_TOKENS)
+    n = F.col("conv_id") + F.col("turn")
+    c = _conv(spark, sf).withColumns({
+        "tool_calls": F.when(n % 4 == 1, F.concat(F.lit('[{"id":"c'), F.col("turn").cast("string"), F.lit('","args":{"q":[1,"x"]}}]'))),
+        "tool_call_id": F.when(n % 3 == 0, F.concat(F.lit("call-"), n.cast("string"))).when(n % 3 == 1, F.lit("")),
+        "name": F.when(n % 5 == 0, F.concat(F.lit('tool "'), F.col("role"), F.lit('"')))})
+    j = C.conversation_json(c.filter(F.col("role") != "system"), _system_prompts(c), MAX_MEMORY_TOKENS)
     back = C.conversation_from_json(j)
-    agg = back.groupBy("conv_id").agg(F.count(F.lit(1)).cast("bigint").alias("restored_messages"),
-                                      F.sum(F.length("text")).cast("bigint").alias("restored_chars"))
-    return j.select("conv_id", F.length("json").cast("bigint").alias("json_len")).join(agg, "conv_id")
+    said = F.concat_ws("|", "role", "text", F.coalesce("tool_calls", F.lit("-")), F.coalesce("tool_call_id", F.lit("-")), F.coalesce("name", F.lit("-")))
+    agg = back.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("m"))
+    agg = agg.select("conv_id", F.size("m").cast("bigint").alias("restored_messages"), F.md5(F.array_join(F.transform("m", lambda x: x["said"]), "\n")).alias("restored_md5"))
+    found = j.select("conv_id", F.md5("json").alias("json_md5")).join(agg, "conv_id", "left")
+    return found.select("conv_id", "json_md5", F.coalesce("restored_messages", F.lit(0)).alias("restored_messages"), F.coalesce("restored_md5", F.md5(F.lit(""))).alias("restored_md5"))
 
 
 # ------------------------------------------------------------------ SQL oracle
@@ -209,7 +218,7 @@ FROM conversations GROUP BY ROLLUP (role)""",
 s AS (SELECT conv_id, turn, sum(tk) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS suf,
         max(turn) OVER (PARTITION BY conv_id) AS last FROM b)
 SELECT conv_id, turn, CAST(suf AS BIGINT) AS window_tokens FROM s WHERE suf <= {MAX_MEMORY_TOKENS} OR turn = last""",
-    "prompt_from_memory": f"""WITH sys AS (SELECT conv_id, arg_min(text, turn) AS sp FROM conversations WHERE role = 'system' GROUP BY conv_id),
+    "prompt_from_memory": f"""WITH sys AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS sp FROM conversations WHERE role = 'system' GROUP BY conv_id),
 b AS (SELECT conv_id, turn, role, text, greatest(1, length(text) // 4) AS tk FROM conversations WHERE role <> 'system'),
 s AS (SELECT *, sum(tk) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS suf,
         max(turn) OVER (PARTITION BY conv_id) AS last FROM b),
@@ -217,8 +226,8 @@ w AS (SELECT * FROM s WHERE suf <= {MAX_MEMORY_TOKENS} OR turn = last),
 j AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '<|user|>' || chr(10) || text || chr(10)
         WHEN role = 'assistant' THEN '<|assistant|>' || chr(10) || text || chr(10)
         WHEN role = 'tool' THEN '<|tool|>' || chr(10) || text || chr(10) ELSE '' END, '' ORDER BY turn) AS body FROM w GROUP BY conv_id),
-p AS (SELECT j.conv_id, CASE WHEN coalesce(sys.sp, '') <> '' THEN '<|system|>' || chr(10) || sys.sp || chr(10) ELSE '' END
-        || body || '<|assistant|>' || chr(10) AS prompt FROM j LEFT JOIN sys USING (conv_id))
+p AS (SELECT conv_id, CASE WHEN coalesce(sys.sp, '') <> '' THEN '<|system|>' || chr(10) || sys.sp || chr(10) ELSE '' END
+        || coalesce(body, '') || '<|assistant|>' || chr(10) AS prompt FROM j FULL JOIN sys USING (conv_id))
 SELECT conv_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS prompt_len FROM p""",
     "prompt_from_request": """WITH p AS (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn)
   || '<|assistant|>' || chr(10) AS prompt FROM conversations GROUP BY conv_id)
@@ -233,12 +242,15 @@ FROM cf LEFT JOIN reg ON cf.name = reg.name""",
 s AS (SELECT conv_id, turn, regexp_extract_all(text, '(?m){C.python_regex_to_portable(C.PLAN_LINE_PATTERN)}', 1) AS st FROM a),
 s2 AS (SELECT conv_id, turn, CASE WHEN len(st) = 0 THEN ['task ' || conv_id] ELSE st END AS st FROM s)
 SELECT conv_id, turn, CAST(unnest(range(len(st))) AS BIGINT) AS step_no, unnest(st) AS step FROM s2""",
-    "conversation_json": """WITH sys AS (SELECT conv_id, arg_min(text, turn) AS sp FROM conversations WHERE role = 'system' GROUP BY conv_id),
-m AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS msgs, count(*) AS n, sum(length(text)) AS ch
-      FROM conversations WHERE role <> 'system' GROUP BY conv_id),
-j AS (SELECT m.conv_id, to_json({'system_prompt': sys.sp, 'max_tokens': 300, 'messages': msgs})::VARCHAR AS js, n, ch
-      FROM m LEFT JOIN sys USING (conv_id))
-SELECT conv_id, CAST(length(js) AS BIGINT) AS json_len, CAST(n AS BIGINT) AS restored_messages, CAST(ch AS BIGINT) AS restored_chars FROM j""",
+    "conversation_json": """WITH sys AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS sp FROM conversations WHERE role = 'system' GROUP BY conv_id),
+t AS (SELECT conv_id, turn, role, text, CASE WHEN (conv_id + turn) % 4 = 1 THEN '[{"id":"c' || turn || '","args":{"q":[1,"x"]}}]' END AS tc,
+      CASE WHEN (conv_id + turn) % 3 = 0 THEN 'call-' || (conv_id + turn) END AS ti, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'tool "' || role || '"' END AS nm
+      FROM conversations WHERE role <> 'system'),
+m AS (SELECT conv_id, count(*) AS n, string_agg('{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(text)::VARCHAR || coalesce(',"tool_calls":' || tc, '')
+        || coalesce(',"tool_call_id":' || to_json(ti)::VARCHAR, '') || coalesce(',"name":' || to_json(nm)::VARCHAR, '') || '}', ',' ORDER BY turn) AS msgs,
+      md5(string_agg(role || '|' || text || '|' || coalesce(tc, '-') || '|' || coalesce(ti, '-') || '|' || coalesce(nm, '-'), chr(10) ORDER BY turn)) AS r FROM t GROUP BY conv_id)
+SELECT conv_id, md5('{"system_prompt":' || coalesce(to_json(sp)::VARCHAR, 'null') || ',"max_tokens":300,"messages":[' || coalesce(msgs, '') || ']}') AS json_md5,
+       CAST(coalesce(n, 0) AS BIGINT) AS restored_messages, coalesce(r, md5('')) AS restored_md5 FROM m FULL JOIN sys USING (conv_id)""",
 }
 
 QUERIES = {

@@ -66,6 +66,10 @@ def test_chat_readers(spark, tmp):
        + json.dumps({"messages": []}) + "\n")
     o = RD.read_openai_chat(spark, f"{tmp}/o.jsonl").orderBy("turn").collect()
     assert [(r.role, r.content) for r in o] == [("user", "Hi"), ("user", "Hello")]
+    call = '[{"id":"c1","type":"function","function":{"name":"f","arguments":"{\\"a\\": 1}"}}]'
+    _w(f"{tmp}/t.jsonl", '{"messages": [{"role": "assistant", "tool_calls": ' + call + '}, {"role": "tool", "tool_call_id": "c1", "name": "f", "content": "r"}]}\n{"messages": []} tail\n')
+    t = RD.read_openai_chat(spark, f"{tmp}/t.jsonl").orderBy("turn").collect()
+    assert [(r.role, r.content, r.tool_calls, r.tool_call_id, r.name) for r in t] == [("assistant", "", call, None, None), ("tool", "r", None, "c1", "f")]
     _w(f"{tmp}/s.json", json.dumps([{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"},
                                                        {"from": "alien", "value": "z"}]}]))
     s = RD.read_sharegpt_chat(spark, f"{tmp}/s.json").orderBy("turn").collect()
@@ -77,6 +81,13 @@ def test_chat_readers(spark, tmp):
     assert pairs == [("assistant", "Done"), ("user", "Do"), ("user", "X\n\nctx")]
 
 
+def test_files_of_any_name_are_read(spark, tmp):
+    """A file is read as lines if it is named .jsonl, and as a whole otherwise, whatever its last letters."""
+    for name in ("a.json", "b.jsonl", "html", "l", "x.onl", "fjsonl", "jsonl", "c.txtl"):
+        _w(f"{tmp}/mixed/{name}", json.dumps({"conversations": [{"from": "human", "value": name}]}) + "\n")
+    assert sorted(r.content for r in RD.read_sharegpt_chat(spark, f"{tmp}/mixed").collect()) == sorted(os.listdir(f"{tmp}/mixed"))
+
+
 def test_preferences_and_benchmarks(spark, tmp):
     _w(f"{tmp}/p.jsonl", '{"prompt": "p", "chosen": "c"}\n{"prompt": "q", "chosen": "d", "rejected": "r"}\n')
     rows = RD.read_preferences(spark, f"{tmp}/p.jsonl").collect()
