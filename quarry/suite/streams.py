@@ -21,6 +21,7 @@ WATERMARK_S = 3600
 MEMORY_MAX = 300
 TRAIN_EVERY = 10
 QUEUE_TIMEOUT = "2 hours"
+TICK_S, DEPTH_TIMEOUT_S = 7200, 21600
 
 
 def _events(spark, sf):
@@ -78,6 +79,19 @@ def q_stream_queue_expiry(spark, sf):
     return r.filter(F.col("event_id") >= 0).select("event_id", "expired")
 
 
+def q_stream_queue_depth(spark, sf):
+    # the events of each kind queue up: depth and oldest age every two hours
+    s, close = _closed_events(spark, sf, "depth")
+    waits = F.expr("INTERVAL 1 SECOND") * F.floor(F.coalesce("value", F.lit(0.0)) * 60).cast("int")
+    went = (F.col("event_id") % 7 != 0) & (F.col("event_id") >= 0)
+    both = F.when(went, F.array(F.struct(F.lit(J.ENTERED).alias("kind"), F.col("ts").alias("at")), F.struct(F.lit(J.LEFT).alias("kind"), (F.col("ts") + waits).alias("at"))))
+    both = both.otherwise(F.array(F.struct(F.lit(J.ENTERED).alias("kind"), F.col("ts").alias("at"))))
+    events = s.select("event_type", "event_id", F.explode(both).alias("e")).select("event_type", "event_id", "e.kind", "e.at")
+    out = J.stream_queue_depth(events, "event_type", "event_id", "kind", "at", TICK_S, DEPTH_TIMEOUT_S, "1 hour", shares=1)
+    r = J.queue_depth(J.run_available_now(out, "queue_depth", closing=[close], conf=J.ROCKSDB))
+    return r.filter(F.col("queue").isNotNull()).select("queue", F.date_format("tick", "yyyy-MM-dd HH:mm:ss").alias("tick"), "queue_depth", F.round("oldest_age_s", 6).alias("oldest_age_s"))
+
+
 def q_stream_memory(spark, sf):
     c = J.table_stream(spark, f"{sf}/conversations.parquet")
     s = c.select("conv_id", "turn", token_estimate("text").cast("bigint").alias("tokens"))
@@ -127,6 +141,11 @@ FROM s GROUP BY user_id, sid""",
     "stream_queue_expiry": """WITH d AS (SELECT event_id AS id, ts + INTERVAL 1 SECOND * CAST(floor(value * 60) AS INTEGER) AS deq_ts FROM events WHERE event_id % 7 <> 0)
 SELECT e.event_id, d.id IS NULL AS expired FROM events e LEFT JOIN d ON d.id = e.event_id
   AND d.deq_ts >= e.ts AND d.deq_ts <= e.ts + INTERVAL 2 HOUR""",
+    "stream_queue_depth": f"""WITH e AS (SELECT event_id, event_type AS queue, epoch_us(ts) AS came, CASE WHEN event_id % 7 <> 0
+      THEN epoch_us(ts + INTERVAL 1 SECOND * CAST(floor(coalesce(value, 0) * 60) AS INTEGER)) END AS went FROM events),
+t AS (SELECT queue, came, went, unnest(generate_series(CAST(ceil(came / {TICK_S}e6) AS BIGINT), (came + {DEPTH_TIMEOUT_S}000000) // {TICK_S}000000)) * {TICK_S}000000 AS tick FROM e)
+SELECT queue, strftime(make_timestamp(tick), '%Y-%m-%d %H:%M:%S') AS tick, CAST(count(*) AS BIGINT) AS queue_depth, round((tick - min(came)) / 1e6, 6) AS oldest_age_s
+FROM t WHERE went IS NULL OR went > t.tick GROUP BY queue, t.tick""",
     "stream_memory": f"""WITH c AS (SELECT conv_id, turn, greatest(1, length(text) // 4) AS tk FROM conversations),
 p AS (SELECT a.conv_id, a.turn, b.turn AS s, sum(c2.tk) AS suf FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn <= a.turn
       JOIN c c2 ON c2.conv_id = a.conv_id AND c2.turn >= b.turn AND c2.turn <= a.turn GROUP BY a.conv_id, a.turn, b.turn),
@@ -150,6 +169,7 @@ QUERIES = {
     "stream_request_metrics": q_stream_request_metrics,
     "stream_sessions": q_stream_sessions,
     "stream_queue_expiry": q_stream_queue_expiry,
+    "stream_queue_depth": q_stream_queue_depth,
     "stream_memory": q_stream_memory,
     "stream_audit_verify": q_stream_audit_verify,
     "stream_safety": q_stream_safety,

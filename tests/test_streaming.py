@@ -66,3 +66,67 @@ def test_closing_event_resumes_from_checkpoint(spark):
     assert J.run_available_now(out, "open-test").count() == 0
     rows = J.run_available_now(out, "closed-test", closing=[append]).collect()
     assert [(r["count"], r.p95_latency_ms, r.max_latency_ms) for r in rows] == [(20, 18.0, 19.0)]
+
+
+def test_queue_depth_by_ticks(spark):
+    """Depth and oldest age at each tick: over several micro-batches, a departure that arrives
+    before its arrival, one after the timeout, a late event, and a queue without departures."""
+    t0 = datetime(2024, 1, 1)
+    at = lambda m: t0 + timedelta(minutes=m)
+    rows = [("a", 1, "enqueue", at(1), 0), ("a", 2, "enqueue", at(2), 0), ("b", 3, "enqueue", at(5), 0), ("a", 4, "dequeue", at(25), 0),
+            ("a", 1, "dequeue", at(12), 1), ("a", 4, "enqueue", at(11), 1), ("a", 2, "dequeue", at(90), 1), ("a", 5, "enqueue", at(20), 1),
+            ("c", 9, "enqueue", at(600), 2), ("c", 10, "enqueue", at(601), 3),
+            ("a", 6, "enqueue", at(30), 4),  # ten hours behind the watermark
+            ("c", 11, "enqueue", at(3000), 5), (None, 12, "enqueue", at(3001), 5), ("c", None, "enqueue", at(3001), 5)]
+    df = spark.createDataFrame(rows, "queue string, id long, kind string, ts timestamp, _slice int")
+    metrics = {}
+    out = J.stream_queue_depth(feed(df, 6, "depth"), "queue", "id", "kind", "ts", 600, 3000, "5 minutes", shares=3)
+    sink = J.run_available_now(out, "depth-test", metrics=metrics, conf=J.ROCKSDB)
+    got = {(r.queue, int((r.tick - t0).total_seconds()) // 60): (r.queue_depth, r.oldest_age_s) for r in J.queue_depth(sink).collect()}
+    want = {}
+    stays = {("a", 1): (1, 12), ("a", 2): (2, 90), ("b", 3): (5, None), ("a", 4): (11, 25), ("a", 5): (20, None), ("c", 9): (600, None), ("c", 10): (601, None)}
+    for tick in range(0, 700, 10):
+        for q in "abc":
+            ages = [tick - came for (name, _), (came, went) in stays.items() if name == q and came <= tick <= came + 50 and (went is None or went > tick)]
+            if ages:
+                want[q, tick] = (len(ages), 60.0 * max(ages))
+    assert got == want
+    assert metrics["late_rows_dropped"] >= 1
+
+
+def test_latency_sketch_is_bounded_and_close(spark):
+    """A window's state does not grow with the latencies it has seen, and the ranks stay close."""
+    t0 = datetime(2024, 1, 1)
+
+    def held(n):
+        rows = spark.range(n).select(F.lit(t0).alias("ts"), F.lit("view").alias("event_type"), ((F.col("id") * 7919) % 1000003 / 1000).alias("value"))
+        m = {}
+        closer, append = J.closing_source(rows.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 DAYS")), "sketch")
+        stream = J.derived_stream(rows, "sketch").unionByName(closer)
+        out = J.stream_request_metrics(stream, "ts", "event_type", "value", "1 hour", "1 hour", sketch_size=200)
+        got = J.run_available_now(out, "sketch-test", metrics=m, closing=[append]).first()
+        exact = sorted((i * 7919) % 1000003 / 1000 for i in range(n))
+        rank = sum(x <= got.p95_latency_ms for x in exact) / n
+        assert got["count"] == n and abs(rank - 0.95) < 0.03
+        assert got.max_latency_ms == exact[-1]
+        return m["state_bytes"], len(got.latency_sketch)
+
+    (few_state, few), (many_state, many) = held(2000), held(200_000)
+    assert many < 2 * few and many_state < 2 * few_state + 10_000
+
+
+def test_sliding_windows_and_merged_sketches(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(t0 + timedelta(minutes=i), "view", float(i)) for i in range(60)] + [(t0 + timedelta(minutes=3), "idle", None)], "ts timestamp, event_type string, value double")
+    closer, append = J.closing_source(rows.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 DAYS")), "slide")
+    out = J.stream_request_metrics(J.derived_stream(rows, "slide").unionByName(closer), "ts", "event_type", "value", "30 minutes", "1 hour", slide="10 minutes")
+    got = J.run_available_now(out, "slide-test", closing=[append])
+    view = {int((r.window_start - t0).total_seconds()) // 60: (r["count"], r.p95_latency_ms) for r in got.filter("event_type = 'view'").collect()}
+    for start, (n, p95) in view.items():
+        inside = [i for i in range(60) if start <= i < start + 30]
+        assert n == len(inside) and p95 == inside[-(-95 * len(inside) // 100) - 1]
+    assert set(view) == set(range(-20, 60, 10))
+    assert all(r.p95_latency_ms is None for r in got.filter("event_type = 'idle'").collect())
+    halves = got.filter("event_type = 'view' AND minute(window_start) IN (0, 30) AND hour(window_start) = 0")
+    whole = halves.agg(F.kll_merge_agg_double("latency_sketch").alias("s")).select(J.sketched_p95("s")).first()
+    assert whole.p95_latency_ms == 56.0
