@@ -3,8 +3,9 @@
 Sequential per-key semantics (rate limiter, TTL cache, hash chain) are
 replayed by streaming each hash partition, sorted by (key, time), as Arrow
 batches through a fold that keeps only the current key's state.  A key's history is
-never collected into one array, one pandas frame or the driver; a hot key is
-processed sequentially because its answer is sequential by definition.
+never collected into one array, one pandas frame or the driver.  The limiter and the
+cache forget after an idle gap, so a hot key's segments between gaps are replayed in
+parallel; a hash chain is sequential by definition.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import col_
-from quarry.plans.layout import running_sum, sorted_fold
+from quarry.plans.layout import running_sum, segmented_fold, sorted_fold
 
 GENESIS = "GENESIS"
 
@@ -72,7 +73,7 @@ def rate_limit_replay(events: DataFrame, key_cols: list[str], ts_col: str, id_co
     schema = T.StructType([events.schema[id_col]] + [events.schema[k] for k in key_cols] +
                           [T.StructField("allowed", T.BooleanType()),
                            T.StructField("admitted_in_window", T.LongType())])
-    return sorted_fold(prepared, key_cols, ["_t", id_col], fold, schema)
+    return segmented_fold(prepared, key_cols, ["_t", id_col], "_t", win_us, fold, schema)
 
 
 def ttl_cache_replay(events: DataFrame, key_cols: list[str], ts_col: str, ttl_seconds: float,
@@ -101,7 +102,7 @@ def ttl_cache_replay(events: DataFrame, key_cols: list[str], ts_col: str, ttl_se
 
     schema = T.StructType([events.schema[id_col]] + [events.schema[k] for k in key_cols] +
                           [T.StructField("hit", T.BooleanType())])
-    return sorted_fold(prepared, key_cols, ["_t", id_col], fold, schema)
+    return segmented_fold(prepared, key_cols, ["_t", id_col], "_t", ttl_us, fold, schema)
 
 
 # ------------------------------------------------------------- audit chain

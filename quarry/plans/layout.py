@@ -9,6 +9,8 @@
 * ``bounded_broadcast``: broadcast only after measuring the side.
 * ``sorted_fold``: an ordered per-key fold that streams sorted Arrow batches,
   carrying only the fold state (never a whole group).
+* ``segmented_fold``: the same for folds that forget: a hot key is cut at idle
+  gaps and its segments are folded in parallel.
 
 Convention: expensive arrays are exploded with ``explode_outer`` /
 ``posexplode_outer`` plus a not-null filter on the generated column.  A plain
@@ -26,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.session import cut_lineage
 
@@ -118,6 +121,100 @@ def sorted_fold(df: DataFrame, key_cols: list[str], order_cols: list[str],
     return prepared.mapInArrow(lambda batches: fold(key_starts(batches, key_cols)), schema)
 
 
+def segmented_fold(df: DataFrame, key_cols: list[str], order_cols: list[str], time_col: str, idle: int,
+                   fold: Callable[[Iterable], Iterator], schema) -> DataFrame:
+    """``sorted_fold`` for a fold that knows nothing any more after a gap of ``idle`` or more
+    between two rows of a key: a key is cut at such gaps, and its segments are folded apart.
+
+    Rows are dealt by range of (key, order), so that a hot key is in many blocks, and
+    each block folds the segments that it holds whole.  The few that go on in the next
+    block (one a border at most) are known from the blocks' first and last rows; they
+    alone are shuffled, and each is folded in order by one task.  ``order_cols`` begin
+    with ``time_col``; a row without a time is a segment of its own.
+    """
+    names = df.columns
+    ranged = df.repartitionByRange(_default_parts(df), *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
+    ranged = cut_lineage(ranged.withColumn(BLOCK_COL, F.spark_partition_id()))
+    edge_cols = [*key_cols, time_col]
+    edges = [T.StructField(f"{side}{i}", ranged.schema[c].dataType) for side in ("first", "last") for i, c in enumerate(edge_cols)]
+    edge_schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("cuts", T.LongType()), *edges])
+
+    def block_of(b):
+        return b.column(b.schema.get_field_index(BLOCK_COL))[0].as_py()
+
+    def ends(batches):
+        first, last, cuts = None, None, 0
+        for b, cut in segment_starts(batches, key_cols, time_col, idle):
+            row = b.select(edge_cols)
+            first = row.slice(0, 1) if first is None else first
+            last, cuts, block = row.slice(b.num_rows - 1, 1), cuts + int(cut.sum()), block_of(b)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cuts], pa.int64()), *first.columns, *last.columns], names=edge_schema.names)
+
+    owner, shared = _touching(ranged.mapInArrow(ends, edge_schema).collect(), len(key_cols) + 1, idle)  # a row a block
+
+    def segments(batches):
+        """(batch, cut, segment of each row, whether it goes over a border)."""
+        n = 0
+        for b, cut in segment_starts(batches, key_cols, time_col, idle):
+            local = n + np.cumsum(cut)
+            n = int(local[-1])
+            block = block_of(b)
+            ids = np.where(local == 0, owner[block], (block << 32) + local)
+            yield b, cut, ids, np.isin(ids, shared)
+
+    def here(batches):
+        def whole():
+            last = None
+            for b, _, ids, over in segments(batches):
+                kept = ids[~over]
+                if len(kept):
+                    yield b.filter(pa.array(~over)).select(names), np.diff(kept, prepend=-1 if last is None else last) != 0
+                    last = kept[-1]
+        return fold(whole())
+
+    def there(batches):
+        for b, _, ids, over in segments(batches):
+            if over.any():
+                yield b.filter(pa.array(over)).select(names).append_column("_segment", pa.array(ids[over]))
+
+    with_segment = T.StructType([*(ranged.schema[c] for c in names), T.StructField("_segment", T.LongType())])
+    rest = ranged.mapInArrow(there, with_segment)
+    return ranged.mapInArrow(here, schema).unionByName(sorted_fold(rest, ["_segment"], order_cols, fold, schema))
+
+
+def _touching(blocks: list, width: int, idle: int) -> tuple[dict[int, int], np.ndarray]:
+    """Of each block the segment that its first rows are of, and the segments that are in two
+    blocks or more.  blocks: (block, cuts in it, its first row's key and time, its last row's)."""
+    owner, shared, before, segment = {}, [], None, 0
+    for block, cuts, *edges in sorted(map(tuple, blocks)):
+        first, last = edges[:width], edges[width:]
+        goes_on = before is not None and before[:-1] == first[:-1] and None not in (before[-1], first[-1]) and first[-1] - before[-1] < idle
+        if goes_on:
+            shared.append(segment)
+        else:
+            segment = block << 32
+        owner[block] = segment
+        segment = (block << 32) + cuts if cuts else segment
+        before = last
+    return owner, np.array(shared, np.int64)
+
+
+def segment_starts(batches: Iterable, key_cols: list[str], time_col: str, idle: int) -> Iterator:
+    """Each batch of rows sorted by key and time, with a mask of the rows that begin a segment:
+    another key than the row before, no time in one of the two, or a gap of ``idle``; the very
+    first row is not marked."""
+    before, first = pa.nulls(1, pa.int64()), True
+    for b, new in key_starts(batches, key_cols):
+        t = b.column(b.schema.get_field_index(time_col)).cast(pa.int64())
+        gap = pc.subtract(t, pa.concat_arrays([before, t.slice(0, len(t) - 1)]))
+        cut = new | pc.fill_null(pc.greater_equal(gap, idle), True).to_numpy(zero_copy_only=False)
+        if first:
+            cut[0], first = False, False
+        before = t.slice(len(t) - 1, 1)
+        yield b, cut
+
+
 def key_starts(batches: Iterable, key_cols: list[str]) -> Iterator:
     """Each batch of rows sorted by key, with a mask of the rows whose key is not that of
     the row before (NULL equals NULL)."""
