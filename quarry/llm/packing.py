@@ -48,12 +48,9 @@ def cut(n: int, capacity: int) -> list[int]:
     return [0, *range(n % capacity or capacity, n, capacity)]
 
 
-def pieces(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int], ...], end: int, capacity: int, text: str = "text", key: str = "doc_id", ids: str | None = None) -> DataFrame:
-    """key, piece, start, length, ids_crc32 of each document's pieces; with ``ids``, also
-    a binary column of that name (little-endian unsigned 16-bit ids)."""
+def pieces(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int], ...], end: int, capacity: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, piece, start, length, ids_crc32 of each document's pieces."""
     schema = T.StructType([df.schema[key], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
-    if ids:
-        schema = schema.add(ids, T.BinaryType())
 
     def run(batches):
         encode = rank_encoder(path, pattern, special).encode_to_numpy
@@ -63,14 +60,12 @@ def pieces(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int
                 at, rows = [], []
                 for row, x in enumerate(column_of(b, text).to_pylist()):
                     found = np.concatenate([encode(x or "", allowed_special="all").astype("<u4"), last])
-                    if ids and found.max() > 0xFFFF:
-                        raise OverflowError(f"id {found.max()} does not fit 16 bits")
                     starts = cut(len(found), capacity)
                     for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(found)], strict=True)):
                         at.append(row)
                         part = found[lo:hi]
-                        rows.append((k, lo, hi - lo, crc32(part.tobytes()), *([part.astype("<u2").tobytes()] if ids else [])))
-                cols = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), [pa.field("", x) for x in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], strict=False)]
+                        rows.append((k, lo, hi - lo, crc32(part.tobytes())))
+                cols = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), [pa.field("", x) for x in (pa.int32(), pa.int64(), pa.int64(), pa.int64())], strict=True)]
                 yield pa.RecordBatch.from_arrays([column_of(b, key).take(pa.array(at)), *cols], names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)

@@ -1,7 +1,9 @@
 """Training order: every sequence gets a slot by a keyed permutation and is written there.
 
-Sequences are numbered 0 to N - 1 (rank in the task that made them, after the
-counts of the tasks before).  A Feistel network over the next power of four is a
+Documents' ids, each document's with the end id after them, are cut into sequences of
+``capacity`` ids as they follow each other in a task, so that only a task's last sequence
+is filled up.  Sequences are numbered 0 to N - 1 (rank in the task that made them, after
+the counts of the tasks before).  A Feistel network over the next power of four is a
 permutation; a value beyond N - 1 is put through it again until it is one of the N
 (cycle walking), so that slots are a permutation of the numbers and any slot is
 known without a shuffle of all of them.  Slots are dealt by range into shards of a
@@ -11,15 +13,17 @@ order or after a break.
 
 A record is ``capacity`` unsigned 16-bit little-endian ids, filled up with the
 end id, and one newline: Spark's text writer makes the files, with its commit.
+Ids travel compressed; a few shards are one task's, however many there are.
 
 Defined results: null or empty text is the end id alone; repeated rows are
-sequences of their own; an empty table writes nothing; other columns are not
-looked at.
+pieces of their own; an empty table writes nothing; other columns are not
+looked at; an id beyond 16 bits raises an error.
 """
 
 from __future__ import annotations
 
 import uuid
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.packing import pieces
-from quarry.llm.textbytes import column_of, mix
+from quarry.llm.packing import rank_encoder
+from quarry.llm.textbytes import chunks, column_of, mix
 from quarry.session import ensure_checkpoint_dir
 
 ROUNDS = 6
+#: Shards that one task writes.
+SHARDS = 2
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -50,29 +56,67 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with _task and _pos, the row's place in the task that makes it."""
-    schema = T.StructType([*df.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_pos", T.LongType())])
+def sequences(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int], ...], end: int, capacity: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """A row for each part of a document in a sequence: key, piece, length, ids_crc32, offset (place
+    in the sequence), _task and _pos (the sequence: its place in the task that makes it) and,
+    for a sequence's first part, ids (all of the sequence, compressed)."""
+    longs = ("length", "ids_crc32", "offset")
+    schema = T.StructType([df.schema[key], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("_task", T.IntegerType()), T.StructField("_pos", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
+        import zstandard
         from pyspark import TaskContext
 
-        task, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task, np.int32)), pa.array(np.arange(n, n + b.num_rows))], names=schema.names)
-            n += b.num_rows
-
-    return df.mapInArrow(run, schema)
+        encode, pack = rank_encoder(path, pattern, special).encode_to_numpy, zstandard.ZstdCompressor(level=3).compress
+        task, last = TaskContext.get().partitionId(), np.array([end], "<u4")
+        keys, rows, parts, room, pos = [], [], [], capacity, 0  # of the sequences that are not given yet
+
+        def out(full):
+            """The rows of the sequences before ``pos``; full: those of which ids are known."""
+            n = sum(r[5] < pos for r in rows)
+            cols = list(zip(*rows[:n], strict=True))
+            ids = [full[r[5]] if r[3] == 0 else None for r in rows[:n]]
+            made = pa.RecordBatch.from_arrays([pa.concat_arrays(keys[:n]), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)), pa.array(ids, pa.binary())], names=schema.names)
+            del keys[:n], rows[:n]
+            return made
+
+        for whole in batches:
+            for b in chunks(whole, text):
+                full = {}
+                names = column_of(b, key)
+                for i, x in enumerate(column_of(b, text).to_pylist()):
+                    found = np.concatenate([encode(x or "", allowed_special="all").astype("<u4"), last])
+                    if found.max() > 0xFFFF:
+                        raise OverflowError(f"id {found.max()} does not fit 16 bits")
+                    lo = piece = 0
+                    while lo < len(found):
+                        part = found[lo:lo + room]
+                        keys.append(names.slice(i, 1))
+                        rows.append((piece, len(part), crc32(part.tobytes()), capacity - room, task, pos))
+                        parts.append(part.astype("<u2"))
+                        room -= len(part)
+                        lo, piece = lo + len(part), piece + 1
+                        if not room:
+                            full[pos] = pack(np.concatenate(parts).tobytes())
+                            parts, room, pos = [], capacity, pos + 1
+                if full:
+                    yield out(full)
+        if parts:
+            full = {pos: pack(np.concatenate([*parts, np.full(room, end, "<u2")]).tobytes())}
+            pos += 1
+            yield out(full)
+
+    return df.select(key, text).mapInArrow(run, schema)
 
 
 def with_slots(table: DataFrame, key: int, shard_rows: int) -> DataFrame:
-    """A written table of numbered rows, with slot, shard and row (place in the shard)."""
+    """A written table of ``sequences``, with slot, shard and row (place in the shard)."""
     spark = table.sparkSession
-    tasks = table.groupBy("_task").agg(F.count("*").alias("_n"))  # one row per task of the scan
+    tasks = table.groupBy("_task").agg((F.max("_pos") + 1).alias("_n"))  # one row per task of the scan
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = tasks.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     total = tasks.agg(F.sum("_n")).first()[0] or 0
-    counted = table.join(F.broadcast(tasks.drop("_n")), "_task").withColumn("_at", F.col("_ahead") + F.col("_pos")).drop("_task", "_pos", "_ahead")
+    counted = table.join(F.broadcast(tasks.select("_task", "_ahead")), "_task").withColumn("_at", F.col("_ahead") + F.col("_pos")).drop("_task", "_pos", "_ahead")
     kept = [f for f in counted.schema.fields if f.name != "_at"]
     schema = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("slot", "shard", "row"))])
 
@@ -89,26 +133,33 @@ def stride(capacity: int) -> int:
 
 
 def write_order(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int], ...], end: int, capacity: int, shard_rows: int, key: int) -> tuple[DataFrame, str]:
-    """Tokenize, number, permute and write; the manifest (doc_id, piece, length, ids_crc32,
+    """Tokenize, cut, permute and write; the manifest (doc_id, piece, length, ids_crc32, offset,
     slot, shard, row) and the folder of the shards (``shard=<number>/part-...``)."""
     spark = df.sparkSession
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/order-{uuid.uuid4().hex[:12]}"
-    numbered(pieces(df, path, pattern, special, end, capacity, ids="ids").drop("start")).write.option("compression", "zstd").parquet(f"{root}/sequences")
+    sequences(df, path, pattern, special, end, capacity).write.option("compression", "zstd").parquet(f"{root}/sequences")
     table = spark.read.parquet(f"{root}/sequences")
-    slots = with_slots(table, key, shard_rows)
-    filler = F.lit(np.full(capacity, end, "<u2").tobytes())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slots.select("shard", "slot", "ids").repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-    record = F.substring(F.concat("ids", filler), 1, 2 * capacity)
-    dealt.select("shard", record.cast("string").alias("value")).write.partitionBy("shard").text(f"{root}/shards")
+    slots = with_slots(table.filter("offset = 0").select("_task", "_pos", "ids"), key, shard_rows)
+    total = table.filter("offset = 0").count()
+    task = F.floor(F.col("shard") / SHARDS).cast("int")
+    dealt = slots.select("shard", "slot", "ids").repartitionById(max(1, -(-total // (shard_rows * SHARDS))), task).sortWithinPartitions("shard", "slot")
+
+    def unpacked(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([column_of(b, "shard"), pa.array([unpack(x) for x in column_of(b, "ids").to_pylist()], pa.binary())], names=["shard", "record"])
+
+    records = dealt.mapInArrow(unpacked, "shard long, record binary")
+    records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(f"{root}/shards")
     return with_slots(table.drop("ids"), key, shard_rows), f"{root}/shards"
 
 
 def read_slots(spark: SparkSession, folder: str, capacity: int, shard_rows: int, lo: int, hi: int) -> DataFrame:
     """slot and ids (binary) of the slots lo to hi - 1, from the shards that hold them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = files.withColumn("shard", F.regexp_extract("path", r"shard=(\d+)/", 1).cast("long"))
-    files = files.filter(F.col("shard").between(lo // shard_rows, (hi - 1) // shard_rows))
+    shards = spark.read.format("binaryFile").load(folder)  # the shard is a partition: others are not read
+    files = shards.filter(F.col("shard").between(lo // shard_rows, (hi - 1) // shard_rows)).withColumn("shard", F.col("shard").cast("long"))
     rows = files.select("shard", "content", F.explode(F.sequence(F.lit(0), (F.length("content") / stride(capacity)).cast("int") - 1)).alias("row"))
     slot = F.col("shard") * shard_rows + F.col("row")
     return rows.select(slot.alias("slot"), F.substring(F.col("content"), F.col("row") * stride(capacity) + 1, F.lit(2 * capacity)).alias("ids")).filter((F.col("slot") >= lo) & (F.col("slot") < hi))

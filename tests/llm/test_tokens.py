@@ -119,20 +119,78 @@ def test_slots_are_a_permutation(n, key):
 
 def test_training_order_round_trip(spark, edge, empty):
     write = lambda df: training_order.write_order(df, suite.ranks(), P.PATTERN, suite.END_OF_TEXT, suite.END, 64, 50, 7)
-    manifest, folder = write(edge)
-    rows = {r.slot: r for r in manifest.collect()}
-    assert sorted(rows) == list(range(len(rows)))
-    back = training_order.read_slots(spark, folder, 64, 50, 0, len(rows)).collect()
-    assert len(back) == len(rows)
-    for r in back:
-        ids = np.frombuffer(r.ids, "<u2").astype("<u4")
-        m = rows[r.slot]
-        assert crc32(ids[:m.length].tobytes()) == m.ids_crc32 and (ids[m.length:] == suite.END).all()
-    part = training_order.read_slots(spark, folder, 64, 50, 40, 60).collect()
-    assert {r.slot for r in part} == set(range(40, min(60, len(rows))))
+    manifest, folder = write(edge.unionByName(edge).repartition(3))
+    rows = manifest.collect()
+    slots = {r.slot for r in rows}
+    assert sorted(slots) == list(range(len(slots)))
+    assert all(r.shard == r.slot // 50 and r.row == r.slot % 50 for r in rows)
+    back = {r.slot: np.frombuffer(r.ids, "<u2").astype("<u4") for r in training_order.read_slots(spark, folder, 64, 50, 0, len(slots)).collect()}
+    assert set(back) == slots and all(len(x) == 64 for x in back.values())
+    by = {}
+    for r in rows:  # every part is where the manifest says
+        assert crc32(back[r.slot][r.offset:r.offset + r.length].tobytes()) == r.ids_crc32
+        by.setdefault(r.slot, []).append((r.offset, r.length))
+    unfilled = 0
+    for slot, places in by.items():  # without gaps, and only the last of a task filled up
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))]
+        end = sum(places[-1])
+        unfilled += end < 64
+        assert (back[slot][end:] == suite.END).all()
+    assert unfilled <= 3
+    want = Counter()
+    for r in edge.collect():
+        want[r.doc_id] += 2 * len(ids_of(r.text))
+    got = Counter()
+    for r in rows:
+        got[r.doc_id] += r.length
+    assert got == want
+    part = training_order.read_slots(spark, folder, 64, 50, 40, 60)
+    assert {r.slot for r in part.collect()} == set(range(40, min(60, len(slots))))
     assert write(empty)[0].count() == 0
 
 
+def test_slots_against_a_plain_permutation(spark, edge):
+    """Each document's ids, read back in the order of the slots' numbers, are its tokens."""
+    df = edge.filter("text IS NOT NULL").coalesce(1)
+    manifest, folder = training_order.write_order(df, suite.ranks(), P.PATTERN, suite.END_OF_TEXT, suite.END, 64, 50, 7)
+    rows = manifest.collect()
+    n = len({r.slot for r in rows})
+    stream = [i for r in df.collect() for i in ids_of(r.text)]
+    back = {r.slot: np.frombuffer(r.ids, "<u2").tolist() for r in training_order.read_slots(spark, folder, 64, 50, 0, n).collect()}
+    slots = [plain_slot(i, n, 7) for i in range(n)]
+    assert sorted(slots) == list(range(n))
+    assert [x for s in slots for x in back[s]][:len(stream)] == stream
+
+
+def plain_slot(x, n, key):
+    """The permutation on Python's whole numbers, one at a time."""
+    word = (1 << 64) - 1
+
+    def mixed(v):
+        v = (v ^ (v >> 30)) * 0xBF58476D1CE4E5B9 & word
+        v = (v ^ (v >> 27)) * 0x94D049BB133111EB & word
+        return v ^ (v >> 31)
+
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(training_order.ROUNDS):
+            left, right = right, left ^ (mixed(right + mixed(((r + 1) * 0x9E3779B97F4A7C15 & word) ^ key) & word) & mask)
+        x = (left << half) | right
+        if x < n:
+            return x
+
+
+def test_reading_some_slots_reads_their_shards_only(spark):
+    df = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id, ' of some words') AS text")
+    manifest, folder = training_order.write_order(df, suite.ranks(), P.PATTERN, suite.END_OF_TEXT, suite.END, 16, 20, 3)
+    assert manifest.agg({"shard": "max"}).first()[0] > 5
+    plan = training_order.read_slots(spark, folder, 16, 20, 25, 35)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan
+
+
 def test_counts_after_an_apostrophe():
     """Contractions are split as the library does, and a long run after an apostrophe takes linear time."""
     bpe = prefix_counts.load(P.path("word_bpe_49k.json"))
