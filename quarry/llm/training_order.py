@@ -13,7 +13,8 @@ order or after a break.
 
 A record is ``capacity`` unsigned 16-bit little-endian ids, filled up with the
 end id, and one newline: Spark's text writer makes the files, with its commit.
-Ids travel compressed; a few shards are one task's, however many there are.
+Ids are stored and travel compressed, many sequences together: a task sends the records of
+each task that writes as one block.  A few shards are one task's, however many there are.
 
 Defined results: null or empty text is the end id alone; repeated rows are
 pieces of their own; an empty table writes nothing; other columns are not
@@ -38,6 +39,8 @@ from quarry.session import ensure_checkpoint_dir
 ROUNDS = 6
 #: Shards that one task writes.
 SHARDS = 2
+#: Bytes of records that a task holds before it sends them, and how hard they are compressed.
+HELD, LEVEL = 32 << 20, 9
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -59,15 +62,14 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
 def sequences(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str, int], ...], end: int, capacity: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each part of a document in a sequence: key, piece, length, ids_crc32, offset (place
     in the sequence), _task and _pos (the sequence: its place in the task that makes it) and,
-    for a sequence's first part, ids (all of the sequence, compressed)."""
+    for a sequence's first part, ids (all of the sequence)."""
     longs = ("length", "ids_crc32", "offset")
     schema = T.StructType([df.schema[key], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("_task", T.IntegerType()), T.StructField("_pos", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
-        import zstandard
         from pyspark import TaskContext
 
-        encode, pack = rank_encoder(path, pattern, special).encode_to_numpy, zstandard.ZstdCompressor(level=3).compress
+        encode = rank_encoder(path, pattern, special).encode_to_numpy
         task, last = TaskContext.get().partitionId(), np.array([end], "<u4")
         keys, rows, parts, room, pos = [], [], [], capacity, 0  # of the sequences that are not given yet
 
@@ -97,12 +99,12 @@ def sequences(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str,
                         room -= len(part)
                         lo, piece = lo + len(part), piece + 1
                         if not room:
-                            full[pos] = pack(np.concatenate(parts).tobytes())
+                            full[pos] = np.concatenate(parts).tobytes()
                             parts, room, pos = [], capacity, pos + 1
                 if full:
                     yield out(full)
         if parts:
-            full = {pos: pack(np.concatenate([*parts, np.full(room, end, "<u2")]).tobytes())}
+            full = {pos: np.concatenate([*parts, np.full(room, end, "<u2")]).tobytes()}
             pos += 1
             yield out(full)
 
@@ -137,21 +139,47 @@ def write_order(df: DataFrame, path: str, pattern: str, special: tuple[tuple[str
     slot, shard, row) and the folder of the shards (``shard=<number>/part-...``)."""
     spark = df.sparkSession
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/order-{uuid.uuid4().hex[:12]}"
-    sequences(df, path, pattern, special, end, capacity).write.option("compression", "zstd").parquet(f"{root}/sequences")
+    sequences(df, path, pattern, special, end, capacity).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(f"{root}/sequences")
     table = spark.read.parquet(f"{root}/sequences")
     slots = with_slots(table.filter("offset = 0").select("_task", "_pos", "ids"), key, shard_rows)
     total = table.filter("offset = 0").count()
-    task = F.floor(F.col("shard") / SHARDS).cast("int")
-    dealt = slots.select("shard", "slot", "ids").repartitionById(max(1, -(-total // (shard_rows * SHARDS))), task).sortWithinPartitions("shard", "slot")
+    task_rows, size = shard_rows * SHARDS, 2 * capacity
+
+    def blocks(batches):
+        """(task, its slots, their records): the records that a task sends to each of those that write."""
+        import zstandard
+
+        pack, held, n = zstandard.ZstdCompressor(level=LEVEL).compress, [], 0
+
+        def out():
+            slot = np.concatenate([s for s, _ in held])
+            records = np.frombuffer(b"".join(x for _, x in held), np.uint8).reshape(-1, size)
+            order = np.argsort(slot)
+            slot, records = slot[order], records[order]
+            cut = np.flatnonzero(np.diff(slot // task_rows, prepend=-1, append=-1))
+            parts = [(int(slot[lo]) // task_rows, slot[lo:hi].tobytes(), pack(records[lo:hi].tobytes())) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["_to", "slots", "records"])
+
+        for b in batches:
+            held.append((column_of(b, "slot").to_numpy(), b"".join(column_of(b, "ids").to_pylist())))
+            n += len(held[-1][1])
+            if n >= HELD:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
 
     def unpacked(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([column_of(b, "shard"), pa.array([unpack(x) for x in column_of(b, "ids").to_pylist()], pa.binary())], names=["shard", "record"])
+            for slots, records in zip(column_of(b, "slots").to_pylist(), column_of(b, "records").to_pylist(), strict=True):
+                slot, whole = np.frombuffer(slots, np.int64), unpack(records)
+                yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), pa.array([whole[i:i + size] for i in range(0, len(whole), size)], pa.binary())], names=["shard", "slot", "record"])
 
-    records = dealt.mapInArrow(unpacked, "shard long, record binary")
+    dealt = slots.select("slot", "ids").mapInArrow(blocks, "_to int, slots binary, records binary").repartitionById(max(1, -(-total // task_rows)), F.col("_to"))
+    records = dealt.mapInArrow(unpacked, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
     records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(f"{root}/shards")
     return with_slots(table.drop("ids"), key, shard_rows), f"{root}/shards"
 
