@@ -246,11 +246,17 @@ def sifted(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return texts.select("_set", "_z", F.pmod(F.xxhash64("_set"), F.lit(1 << SIEVE)).alias("_place")).mapInArrow(run, "_set long, _z binary")
 
 
+def grown(side: DataFrame) -> DataFrame:
+    """The side of a join with buckets, sketches or texts, to be merged and never broadcast: both
+    sides grow with the input, so that the plan is the same at every size."""
+    return side.hint("merge")
+
+
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b: of the pairs (a, b) of sets, those with similarity 3/4 or more."""
     wanted = pairs.select("a", F.col("b").alias("_set")).unionByName(pairs.select("a", F.col("a").alias("_set")).distinct())
     texts = sifted(texts, sieve(wanted.select("_set")))
-    rows = wanted.join(texts, "_set").withColumn("_own", F.col("a") == F.col("_set"))
+    rows = grown(wanted).join(texts, "_set").withColumn("_own", F.col("a") == F.col("_set"))
     rows = rows.repartition(F.col("a")).sortWithinPartitions("a", F.col("_own").desc())
 
     def run(batches):
@@ -383,9 +389,9 @@ def bucket_pairs(rows: DataFrame, stars: bool) -> DataFrame:
 
 def unlinked(found: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets whose sets are in different components so far, with _root."""
-    rows = found.join(labels, "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
+    rows = found.join(grown(labels), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
     apart = rows.groupBy("_b").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).filter("lo < hi").select("_b")
-    return rows.join(apart, "_b")
+    return rows.join(grown(apart), "_b")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -396,7 +402,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     sets, texts = table.filter("_h is null").select("doc_id", "n_shingles", "_set"), table.filter("_z is not null")
     common = common_shingles(table, sets.count())
     found = materialize(buckets(sketched(texts, common, parts), parts), "buckets")
-    bits = texts.select("_set", "n_shingles", "_bits").join(found.select("_set").distinct(), "_set", "left_semi").dropDuplicates(["_set"])
+    bits = texts.select("_set", "n_shingles", "_bits").join(grown(found.select("_set").distinct()), "_set", "left_semi").dropDuplicates(["_set"])
     bits = materialize(bits, "bits")
     stars = bucket_pairs(found.join(bits, "_set").withColumn("_root", F.col("_set")), True)
     links = materialize(linked(stars.select("a", F.explode("bs").alias("b")).distinct(), texts), "stars")
