@@ -9,7 +9,7 @@ import __spark_entry__ as E
 # Keys whose nested-loop join has a fixed-size build side: the 21-row dataset
 # catalog, curriculum stages, mix-source weights (one row per source) or a
 # one-row total attached to every row.
-BOUNDED_NESTED_LOOP = {"catalog_list", "catalog_lookup", "curriculum_at_step", "curriculum_lr", "curriculum_table",
+BOUNDED_NESTED_LOOP = {"manifest_check", "tokenize_corpus", "catalog_list", "catalog_lookup", "curriculum_at_step", "curriculum_lr", "curriculum_table",
                        "curriculum_token_plan", "gram_matrix", "mix_fetch", "mix_report", "mix_sample",
                        "mix_weights", "stage_range_join"}
 STREAMING = {k for k in E.queries() if k.startswith("stream_") and k != "stream_sequences"}
