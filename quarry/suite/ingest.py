@@ -182,11 +182,11 @@ def q_parse_search_json(spark, sf):
 
 def _serp_html(spark, sf):
     p = _pages(spark, sf)
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")),
-                              F.lit("<"), F.lit("&lt;"))
-    item = F.concat(F.lit('<div class="result"><a class="result__a" href="'), esc(F.col("url")), F.lit('">'),
-                    esc(F.col("title")), F.lit('</a><a class="result__snippet" href="#">'), esc(F.col("snippet")),
-                    F.lit("</a></div>"))
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")),
+                                        F.lit("<"), F.lit("&lt;")), F.lit("'"), F.lit("&#39;"))
+    q = F.when(F.col("page_id") % 2 == 0, '"').otherwise("'")
+    item = F.concat(F.lit("<div class='result'><a title='class=result__snippet > x' class="), q, F.lit("result__a"), q, F.lit(" href="), q, esc(F.col("url")), q, F.lit(">"),
+                    esc(F.col("title")), F.lit("</a><a href='result__a' class="), q, F.lit("result__snippet"), q, F.lit(">"), esc(F.col("snippet")), F.lit("</a></div>"))
     g = p.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("h")))).alias("r"))
     return g.select("grp", F.concat(F.lit("<html><body>"), F.array_join(F.transform("r", lambda x: x["h"]), "\n"),
                                     F.lit("</body></html>")).alias("html"))
@@ -208,9 +208,13 @@ def q_format_citations(spark, sf):
     return c.select("grp", F.md5("citations").alias("citations_md5"), F.md5("context").alias("context_md5"))
 
 
+#: Quoted values that hold tags' ends, references of all kinds, and a sign that begins no tag.
+HTML_PROBE = """<p title='a > b' data-x="c > d">caf&eacute;&#8217;s &mdash; &#x1F600; 1 < 2</p>"""
+
+
 def q_html_to_text(spark, sf):
     p = table(spark, sf, "pages")
-    t = p.select("page_id", R.html_to_text("html").alias("text"))
+    t = p.select("page_id", R.html_to_text(F.concat("html", F.lit(HTML_PROBE))).alias("text"))
     return t.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -340,10 +344,14 @@ s AS (SELECT conv_id, CAST(0 AS BIGINT) AS part, CASE conv_id % 6 WHEN 0 THEN he
 _FILES = f"""f AS (SELECT doc_id // {DOCS_A_FILE} AS file, regexp_replace(string_agg(coalesce(text, '') || chr(65533) || chr(65533) || '!' || chr(13) || chr(10) || chr(13) || 'end',
    chr(10) ORDER BY doc_id) || chr(10), '\r\n?', chr(10), 'g') AS text FROM documents GROUP BY ALL)"""
 
+# The oracle's own list: the references that pages and probes hold, the ampersand last.
+_REFERENCES = [("&#8217;", "’"), ("&mdash;", "—"), ("&eacute;", "é"), ("&#x1F600;", "😀"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "\'"), ("&apos;", "\'"),
+               ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 _unescaped = "x"
-for _reference, _char in R.REFERENCES:
+for _reference, _char in _REFERENCES:
     _unescaped = f"replace({_unescaped}, {_lit(_reference)}, {_lit(_char)})"
 _html_strip = Q.strip(_unescaped)
+_QUOTED_TAG = """<[a-zA-Z]([^>=]|=\\s*"[^"]*"|=\\s*''[^'']*''|=)*>|<[/!?][^>]*>"""
 _PG = f"""p AS (SELECT page_id, url, page_id // {PAGES_PER_QUERY} AS grp, 'Result ' || page_id AS title,
    'page ' || page_id || ' at ' || url AS snippet, row_number() OVER (PARTITION BY page_id // {PAGES_PER_QUERY} ORDER BY page_id) AS position FROM pages)"""
 
@@ -383,7 +391,10 @@ SELECT * FROM (SELECT 'after_filter' AS mode, conv_id, part, md5(text) AS text_m
 UNION ALL SELECT * FROM (SELECT 'before_filter', conv_id, part, md5(text) FROM (SELECT * FROM k ORDER BY conv_id, part LIMIT {LIMIT_N}) WHERE NOT empty)""",
     "parse_search_json": f"""WITH {_PG} SELECT grp, CAST(position AS BIGINT) AS position, title, url, snippet, 1.0 / position AS score
 FROM p WHERE position <= {MAX_RESULTS}""",
-    "html_to_text": f"""WITH b AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(html, '{R.COMMENT_RX}', '<>', 'g'), '{R.SKIP_RX}', '<>', 'g'), '{R.TAG_RX}') AS parts FROM pages),
+    "html_to_text": f"""WITH h AS (SELECT page_id, html || {_lit(HTML_PROBE)} AS html FROM pages),
+c AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?--!?>', '<!>', 'gs'),
+   '<script\\b[^>]*>.*?</script[^>]*>|<style\\b[^>]*>.*?</style[^>]*>|<(nav|footer)\\b[^>]*>.*?</(script|style|nav|footer)\\b[^>]*>', '<!>', 'gis') AS html FROM h),
+b AS (SELECT page_id, string_split_regex(regexp_replace(html, '<([^a-zA-Z/!?])', '<!>&lt;<!>\\1', 'g'), '{_QUOTED_TAG}') AS parts FROM c),
 t AS (SELECT page_id, array_to_string(list_filter(list_transform(parts, lambda x: {_html_strip}), lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, length(text) AS n_chars, md5(text) AS text_md5 FROM t""",
     "serp_html_parse": f"""WITH {_PG} SELECT grp, CAST(position AS BIGINT) AS position, title, url, snippet, 1.0 / position AS score
