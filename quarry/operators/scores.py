@@ -166,11 +166,13 @@ def logit_confidence(logits, k: int = 5) -> Column:
     return F.struct(conf.alias("confidence"), topk.alias("top_k_mass"), h.alias("entropy"))
 
 
-def entropy_budget(steps: DataFrame, gen_col: str, step_col: str, entropy_col: str, budget: float) -> DataFrame:
+def entropy_budget(steps: DataFrame, gen_col: str, step_col: str, entropy_col: str, budget: float, id_col: str | None = None) -> DataFrame:
     """Running entropy per generation; a step is permitted while the used
-    budget (including the step) is below ``budget``; remaining and fraction used."""
+    budget (including the step) is below ``budget``; remaining and fraction used.
+    Steps of one place in the order come in order of ``id_col``, which together must be unique."""
     from quarry.plans.layout import running_sum
-    r = running_sum(steps, [gen_col, step_col], entropy_col, "used_entropy", partition_cols=[gen_col])
+    order = [gen_col, step_col, *([id_col] if id_col else [])]
+    r = running_sum(steps, order, entropy_col, "used_entropy", partition_cols=[gen_col])
     return (r.withColumn("permitted", F.col("used_entropy") < F.lit(budget))
              .withColumn("remaining", F.greatest(F.lit(0.0), F.lit(budget) - F.col("used_entropy")))
              .withColumn("fraction_used", F.least(F.lit(1.0), F.col("used_entropy") / F.lit(budget))))

@@ -177,7 +177,7 @@ def q_logit_confidence(spark, sf):
 def q_entropy_budget(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", epoch_us("ts").alias("t"),
                                           (F.col("value") / 100).alias("step_entropy"))
-    b = SC.entropy_budget(e, "user_id", "t", "step_entropy", BUDGET)
+    b = SC.entropy_budget(e, "user_id", "t", "step_entropy", BUDGET, "event_id")
     return b.select("event_id", "permitted", F.round("remaining", 6).alias("remaining"),
                     F.round("fraction_used", 6).alias("fraction_used"))
 

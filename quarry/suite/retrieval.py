@@ -34,6 +34,20 @@ def q_chunk_documents(spark, sf):
                                     F.length("content").cast("bigint").alias("n_chars"))
 
 
+def _colliding(spark, sf):
+    # every third document begins a family: the next two begin with its first characters
+    d = _docs(spark, sf)
+    head = d.filter(F.col("doc_id") % 3 == 0).select(F.col("doc_id").alias("_head"), F.rpad(F.substring("text", 1, R.INDEX_KEY_CHARS), R.INDEX_KEY_CHARS, ".").alias("_start"))
+    both = d.join(head, F.col("doc_id") - F.col("doc_id") % 3 == F.col("_head"))
+    return both.select("doc_id", F.concat("_start", F.lit(" "), "text").alias("text"), "source")
+
+
+def q_index_documents(spark, sf):
+    documents, chunks = R.index_documents(_colliding(spark, sf), "doc_id")
+    n = chunks.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("chunked_versions"))
+    return documents.join(n, "doc_key").select("doc_key", "versions", "doc_id", "source", F.md5("text").alias("text_md5"), "n_chunks", "chunked_versions")
+
+
 def q_index_stats(spark, sf):
     return R.index_stats(chunks(spark, sf))
 
@@ -86,6 +100,12 @@ res AS (SELECT r.q_id, CAST(r.rank AS BIGINT) AS rank, r.doc_id, r.chunk_index,
 """
 
 SQL = {
+    "index_documents": f"""WITH h AS (SELECT doc_id AS head, rpad(substr(text, 1, {R.INDEX_KEY_CHARS}), {R.INDEX_KEY_CHARS}, '.') AS start FROM documents WHERE doc_id % 3 = 0),
+cd AS (SELECT d.doc_id, start || ' ' || d.text AS text, d.source, substr(md5(start), 1, 12) AS doc_key FROM documents d JOIN h ON d.doc_id - d.doc_id % 3 = h.head),
+{Q.chunk_ctes("cd", "doc_id, doc_key", SIZE, OVERLAP)},
+n AS (SELECT doc_key, count(*) AS n_chunks, count(DISTINCT doc_id) AS chunked_versions FROM chunks GROUP BY doc_key)
+SELECT doc_key, CAST(count(*) AS BIGINT) AS versions, max(cd.doc_id) AS doc_id, arg_max(cd.source, cd.doc_id) AS source, md5(arg_max(cd.text, cd.doc_id)) AS text_md5,
+       CAST(any_value(n_chunks) AS BIGINT) AS n_chunks, CAST(any_value(chunked_versions) AS BIGINT) AS chunked_versions FROM cd JOIN n USING (doc_key) GROUP BY doc_key""",
     "doc_id": "SELECT doc_id, substr(md5(text), 1, 12) AS doc_key FROM documents",
     "chunk_documents": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, content, "
                        f"CAST(length(content) AS BIGINT) AS n_chars FROM chunks",
@@ -110,6 +130,7 @@ FROM q LEFT JOIN a USING (q_id)""",
 }
 
 QUERIES = {
+    "index_documents": q_index_documents,
     "doc_id": q_doc_id,
     "chunk_documents": q_chunk_documents,
     "index_stats": q_index_stats,
