@@ -23,6 +23,8 @@ Plan shape (no step gathers a shard or the stream in one place):
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import col_, is_blank, valid_text
-from quarry.plans.layout import running_sum
+from quarry.plans.layout import running_sum, segmented_fold
 
 # The reference's special tokens, in id order (byte vocabulary
 # places them at 256 + index).
@@ -423,5 +425,95 @@ def length_batch_plan(requests: DataFrame, group_col: str, id_col: str, length_c
         .withColumn("padding_waste", F.col("max_len") * F.col("batch_size") - F.col("sum_len")))
 
 
+def batch_size_for(depth: int, max_batch_size: int) -> int:
+    """``queue_batch_size`` of a number."""
+    most = next((size for upto, size in ((1, 1), (4, 4), (16, 8), (64, 16)) if depth <= upto), max_batch_size)
+    return min(max(depth, 1), most)
+
+
+def queue_replay(requests: DataFrame, queue_col: str, id_col: str, ts_col: str, length_col: str, slot_seconds: int,
+                 timeout_seconds: int, max_batch_size: int) -> DataFrame:
+    """Replay a queue whose batch size depends on how many requests wait when it is looked at.
+
+    At the end of each slot the requests that came until then and are not older than the
+    timeout wait; of those as many as ``queue_batch_size`` of their number says are one
+    batch: all, in order of arrival, or else the shortest.  What is left waits for the
+    next slot.  Returns (id, queue, slot, depth, batch_size, place, length) of each
+    request; slot to place are NULL for one that no batch took.
+
+    What waits is a queue's state; it knows nothing any more after a gap of the timeout
+    and a slot, so that a busy queue is cut at such gaps and replayed by many tasks."""
+    from heapq import heappop, heappush
+
+    slot, timeout = slot_seconds * 1_000_000, timeout_seconds * 1_000_000
+    rows = requests.select(id_col, queue_col, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_t"), F.coalesce(F.col(length_col), F.lit(0)).cast("bigint").alias("length"))
+
+    def fold(batches):
+        came, waits, alive, done, now = deque(), [], {}, [], 0  # by arrival; by length; id and queue by number; results; the next slot
+
+        def give(n, at=None, depth=None, size=None, place=None):
+            name, queue, length = alive.pop(n)
+            done.append((name, queue, at, depth, size, place, length))
+
+        def look(until):
+            """All slots that end before ``until`` (None: until nothing waits)."""
+            nonlocal now
+            while alive and (until is None or now < until):
+                while came and (came[0][1] not in alive or now - came[0][0] > timeout):
+                    t, n = came.popleft()
+                    if n in alive:
+                        give(n)
+                depth = len(alive)
+                size = batch_size_for(depth, max_batch_size)
+                if depth <= size:
+                    for place, n in enumerate(sorted(alive)):
+                        give(n, now, depth, size, place)
+                    waits.clear()
+                else:
+                    place = 0
+                    while place < size:
+                        n = heappop(waits)[1]
+                        if n in alive:
+                            give(n, now, depth, size, place)
+                            place += 1
+                now += slot
+
+        def out(kinds):
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds, strict=True)], names=schema.names)
+            done.clear()
+            return made
+
+        n, kinds = 0, None
+        for b, new in batches:
+            ids, queues, times, lengths = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (id_col, queue_col, "_t", "length"))
+            kinds = [b.schema.field(id_col).type, b.schema.field(queue_col).type, *[pa.int64()] * 5]
+            for name, queue, t, length, starts in zip(ids, queues, times, lengths, new.tolist(), strict=True):
+                if starts:
+                    look(None)
+                    came.clear()
+                    waits.clear()
+                if t is None:
+                    done.append((name, queue, None, None, None, None, length))
+                    continue
+                if alive:
+                    look(t)
+                if not alive:
+                    now = -(-t // slot) * slot
+                alive[n] = (name, queue, length)
+                came.append((t, n))
+                heappush(waits, (length, n))
+                n += 1
+            if done:
+                yield out(kinds)
+        look(None)
+        if done:
+            yield out(kinds)
+
+    longs = ("slot", "depth", "batch_size", "place", "length")
+    schema = T.StructType([rows.schema[id_col], rows.schema[queue_col], *(T.StructField(c, T.LongType()) for c in longs)])
+    found = segmented_fold(rows, [queue_col], ["_t", id_col], "_t", timeout + slot, fold, schema)
+    return found.withColumn("slot", F.timestamp_micros("slot"))
+
+
 def truncate(seq, max_len: int) -> Column:
     return F.slice(col_(seq), 1, max_len)

@@ -17,6 +17,7 @@ SHARD_SIZE = 100_000
 BATCH = 8
 SEED = 1234
 PAD_LEN = 64
+SLOT_S, SLOT_TIMEOUT_S, MAX_BATCH = 21600, 50000, 32
 BLOCK = 4096            # does not divide the shard size either
 
 
@@ -138,6 +139,12 @@ def q_length_batch_plan(spark, sf):
     return TK.length_batch_plan(e, "event_type", "event_id", "prompt_len", BATCH)
 
 
+def q_queue_replay(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", "ts", F.floor(F.col("value") * 10).cast("bigint").alias("prompt_len"))
+    r = TK.queue_replay(e, "event_type", "event_id", "ts", "prompt_len", SLOT_S, SLOT_TIMEOUT_S, MAX_BATCH)
+    return r.select("event_id", "event_type", F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("slot"), "depth", "batch_size", "place", "length")
+
+
 def q_bos_eos_truncate(spark, sf):
     c = table(spark, sf, "conversations")
     t = TK.truncate(TK.byte_tokens("text", True, True), 128)
@@ -270,7 +277,25 @@ SELECT conv_id, turn, CAST(len(t) AS BIGINT) AS n_tokens, {_md5_list('t')} AS to
 SELECT doc_id, {_md5_list(f'w[1:{SEQ_LEN}]')} AS ids_md5, {_md5_list(f'w[2:{SEQ_LEN + 1}]')} AS labels_md5 FROM s""",
 }
 
+SQL["queue_replay"] = f"""WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) AS t, coalesce(CAST(floor(value * 10) AS BIGINT), 0) AS len,
+   CAST(ceil(epoch_us(ts) / {SLOT_S}e6) AS BIGINT) AS s FROM events),
+a AS (SELECT event_type, s, list({{'len': len, 't': t, 'id': event_id}}) AS arr FROM e GROUP BY ALL),
+lim AS (SELECT event_type, min(s) AS lo, max(s) + {SLOT_TIMEOUT_S // SLOT_S + 1} AS hi FROM e GROUP BY ALL),
+r AS (SELECT event_type, lo - 1 AS s, hi, CAST([] AS STRUCT(len BIGINT, t BIGINT, id BIGINT)[]) AS rest, CAST([] AS STRUCT(len BIGINT, t BIGINT, id BIGINT)[]) AS batch, CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS size FROM lim
+  UNION ALL
+  SELECT event_type, s, hi, list_filter(w, lambda x: NOT list_contains(chosen, x)), chosen, d, b FROM (
+    SELECT *, CASE WHEN d <= b THEN w ELSE list_sort(w)[1:b] END AS chosen FROM (
+      SELECT *, CASE WHEN d <= 1 THEN 1 WHEN d <= 4 THEN least(d, 4) WHEN d <= 16 THEN least(d, 8) WHEN d <= 64 THEN least(d, 16) ELSE least(d, {MAX_BATCH}) END AS b FROM (
+        SELECT *, CAST(len(w) AS BIGINT) AS d FROM (
+          SELECT r.event_type, r.s + 1 AS s, r.hi, list_filter(list_concat(r.rest, coalesce(a.arr, [])), lambda x: (r.s + 1) * {SLOT_S}000000 - x.t <= {SLOT_TIMEOUT_S}000000) AS w
+          FROM r LEFT JOIN a ON a.event_type = r.event_type AND a.s = r.s + 1 WHERE r.s < r.hi))))),
+b AS (SELECT event_type, s, depth, size, unnest(batch) AS x FROM r WHERE depth > 0),
+p AS (SELECT x.id AS event_id, strftime(make_timestamp(s * {SLOT_S}000000), '%Y-%m-%d %H:%M:%S') AS slot, depth, size,
+   row_number() OVER (PARTITION BY event_type, s ORDER BY CASE WHEN depth <= size THEN 0 ELSE x.len END, x.t, x.id) - 1 AS place FROM b)
+SELECT e.event_id, e.event_type, slot, CAST(depth AS BIGINT) AS depth, CAST(size AS BIGINT) AS batch_size, CAST(place AS BIGINT) AS place, len AS length FROM e LEFT JOIN p USING (event_id)"""
+
 QUERIES = {
+    "queue_replay": q_queue_replay,
     "write_token_shards": q_write_token_shards,
     "read_token_shards": q_read_token_shards,
     "manifest_check": q_manifest_check,

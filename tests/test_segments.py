@@ -87,3 +87,43 @@ def test_touching_segments():
     owner, shared = layout._touching(blocks, 2, 10)
     assert owner == {0: 0, 1: 2, 2: 2, 4: 4 << 32, 5: 5 << 32, 6: 6 << 32, 7: 6 << 32}
     assert sorted(set(shared.tolist())) == [2, 6 << 32]
+
+
+def replayed(rows, slot, timeout, most):
+    """(slot, depth, size, place) by id, looking at every slot of every queue."""
+    from quarry.operators.tokens import batch_size_for
+    out = {}
+    for queue in {r[1] for r in rows}:
+        waits = sorted((t, i, n) for i, q, t, n in rows if q == queue and t is not None)
+        out |= {i: (None,) * 4 for _, i, _ in waits}
+        at = 0
+        while waits:
+            at += slot
+            here = [w for w in waits if w[0] <= at and at - w[0] <= timeout]
+            size = batch_size_for(len(here), most)
+            batch = here if len(here) <= size else sorted(here, key=lambda w: (w[2], w[0], w[1]))[:size]
+            out |= {w[1]: (at, len(here), size, place) for place, w in enumerate(batch)}
+            waits = [w for w in waits if w not in batch and at - w[0] <= timeout]
+        out |= {i: (None,) * 4 for i, q, t, _ in rows if q == queue and t is None}
+    return out
+
+
+@pytest.mark.parametrize("per_slot,timeout", [(3, 40), (30, 40), (200, 25), (200, 1000)])
+def test_queue_replay_is_that_of_every_slot(spark, per_slot, timeout):
+    from quarry.operators import tokens as TK
+    rng = random.Random(per_slot + timeout)
+    rows, t = [], 5
+    for i in range(1500):
+        t += rng.choice([0, 10 / per_slot, 20 / per_slot]) if rng.random() < 0.99 else timeout * rng.choice([0.9, 1.3, 3])
+        rows.append((i, rng.choice(["a", "a", "b", None]), t, rng.randint(0, 9)))
+    rows = [(i, q, None if i % 211 == 7 else int(t * 1_000_000), n) for i, q, t, n in rows]
+    df = spark.createDataFrame(rows, "id long, q string, us long, n long").select("id", "q", F.timestamp_micros("us").alias("ts"), "n")
+    got = TK.queue_replay(df, "q", "id", "ts", "n", 10, timeout, 20).select("id", "q", F.unix_micros("slot").alias("slot"), "depth", "batch_size", "place", "length").collect()
+    assert len(got) == len(rows) and all(r.length == rows[r.id][3] and r.q == rows[r.id][1] for r in got)
+    assert {r.id: (r.slot, r.depth, r.batch_size, r.place) for r in got} == replayed(rows, 10_000_000, timeout * 1_000_000, 20)
+
+
+def test_batch_sizes(spark):
+    from quarry.operators import tokens as TK
+    df = spark.range(0, 200).select("id", TK.queue_batch_size("id", 50).alias("n"))
+    assert {r.id: r.n for r in df.collect()} == {i: TK.batch_size_for(i, 50) for i in range(200)}
