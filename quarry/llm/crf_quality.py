@@ -180,12 +180,15 @@ def fit(own: np.ndarray, sizes: np.ndarray, first: np.ndarray, label: np.ndarray
     return Model(center, scale, theta[:-4], step, (float(a), float(b)))
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Model from at most SAMPLE_DOCS of the labelled documents that ``allowed`` (a
-    condition on the key) admits, the first by a hash of the key."""
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "quality", most_docs: int = SAMPLE_DOCS, most_lines: int = SAMPLE_LINES) -> Model:
+    """Model from at most ``most_docs`` of the labelled documents that ``allowed`` (a
+    condition on the key) admits, the first by a hash of the key, and a stretch of at most
+    ``most_lines`` lines of each.  A key that documents repeat gives one text, the least, so
+    that the driver gets most_docs * most_lines rows of features at most."""
     rows = labels.filter(allowed & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("_label"))
-    rows = rows.orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS)
-    texts = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(rows), key).select(F.xxhash64(key, "_text").alias("_h"), "_text", "_label")
+    rows = rows.orderBy(F.xxhash64(key), key).limit(most_docs)
+    texts = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(rows), key)
+    texts = texts.groupBy(key).agg(F.min("_text").alias("_text"), F.first("_label").alias("_label")).select(F.xxhash64(key, "_text").alias("_h"), "_text", "_label")
 
     def run(batches):
         for whole in batches:
@@ -195,9 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
                 parts, lens = [], []
                 for i, h in enumerate(cols["_h"].to_pylist()):
                     lo, hi = int(first[i]), int(first[i + 1])
-                    if hi - lo > SAMPLE_LINES:
-                        lo += h % (hi - lo - SAMPLE_LINES + 1)
-                        hi = lo + SAMPLE_LINES
+                    if hi - lo > most_lines:
+                        lo += h % (hi - lo - most_lines + 1)
+                        hi = lo + most_lines
                     parts.append(own[lo:hi].tobytes())
                     lens.append(sizes[lo:hi].tobytes())
                 yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(parts, pa.binary()), pa.array(lens, pa.binary())], names=["_h", "_label", "own", "sizes"])

@@ -206,3 +206,15 @@ def test_pipeline_on_an_empty_table(spark, empty):
         docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), "empty")
         assert docs.count() == 0
     assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_training_takes_one_text_of_a_key(spark):
+    """A labelled id that many rows repeat counts once, whichever rows there are more of."""
+    rows = [(i, ("Good words here.\n" if i % 2 else "###### !!!! 0000\n") * 5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one = crf_quality.train(docs, labels, F.lit(True))
+    hot = crf_quality.train(docs.unionByName(spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(rows[1][1]).alias("text"))), labels, F.lit(True))
+    assert np.allclose(one.weights, hot.weights) and one.curve == pytest.approx(hot.curve)
+    few = crf_quality.train(docs, labels, F.lit(True), most_docs=10, most_lines=2)
+    assert {round(r.score) == r.doc_id % 2 for r in crf_quality.scored(docs, few).collect()} == {True}
