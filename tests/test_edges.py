@@ -93,3 +93,20 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_chunks_word_for_word(spark):
+    """Literal chunks: sentences gathered, a tail carried over, a long sentence cut, no overlap (the whole is carried)."""
+    from quarry.operators import retrieval as R
+    three = "Aaaa bbbb. Cccc dddd. Eeee ffff."
+    cases = [
+        (three, 20, 5, ["Aaaa bbbb. Cccc dddd.", "dddd. Eeee ffff."]),
+        ("abcdefghijklmnopqrstuvwxyz0123", 20, 5, ["abcdefghijklmnopqrst", "pqrstuvwxyz0123"]),
+        ("  short ", 20, 5, ["  short "]),
+        (three, 20, 0, ["Aaaa bbbb. Cccc dddd.", "Aaaa bbbb. Cccc dddd. Eeee ffff."]),
+        ("One!  Two?\n\nThree. Four.", 10, 3, ["One! Two?", "wo? Three.", "ee. Four."]),
+    ]
+    for text, size, overlap, want in cases:
+        df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+        got = R.chunk_documents(df, size, overlap).orderBy("chunk_index").collect()
+        assert [r.content for r in got] == want, text
