@@ -28,6 +28,8 @@ from quarry.llm.textbytes import buffers, chunks, column_of, mix, range_hashes
 #: The sample: documents, and lines of each (a stretch at a place drawn from its hash).
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 48
 STEPS, RATE, DECAY = 150, 0.05, 1e-3
+#: Bytes of texts whose lines are looked at together (a byte takes some 50 while that lasts).
+AT_ONCE = 1 << 20
 
 #: Classes of bytes: letters, digits, blanks, bytes beyond ASCII, every punctuation mark, others.
 _CLASS = np.full(256, 5, np.int64)
@@ -192,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
 
     def run(batches):
         for whole in batches:
-            for b in chunks(whole, "_text"):
+            for b in chunks(whole, "_text", AT_ONCE):
                 own, sizes, first = line_features(column_of(b, "_text"))
                 cols = {"_h": column_of(b, "_h"), "_label": column_of(b, "_label")}
                 parts, lens = [], []
@@ -221,7 +223,7 @@ def scored(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",), t
 
     def run(batches):
         for whole in batches:
-            for b in chunks(whole, "_text"):
+            for b in chunks(whole, "_text", AT_ONCE):
                 own, sizes, first = line_features(column_of(b, "_text"))
                 good, score = shared.value.lines(own, sizes, first)
                 lines = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(good, pa.float32()))
