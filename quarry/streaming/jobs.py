@@ -206,52 +206,89 @@ _MICROS = 1_000_000
 class QueueDepth(StatefulProcessor):
     """Requests that wait in a share of a queue, and a timer at each tick that may see one.
 
-    State: when each request came and went (0: not known).  An event-time timer goes off
-    at a tick once the watermark has passed it, so that all that happened until then is
-    known; the tick's depth is then given, and requests that no later tick can see are
-    forgotten.  Shares bound the state of a queue that grows."""
+    State: when each request came and went (0: not known), as bytes of 64-bit integers; for each
+    tick to come that sees some, how many, and since when the oldest waits; the last tick that
+    went off, and the last that a request may see.  A micro-batch joins its events to the requests
+    once and corrects the ticks that it changes.  An event-time timer goes off at a tick once
+    the watermark has passed it, so that all that happened until then is known; it reads that
+    tick alone.  Requests that no later tick can see are forgotten when the next events come, or at
+    the last tick.  Shares bound the state of a queue that grows."""
+
+    COLUMNS = ("id", "came", "went")
 
     def __init__(self, tick_s: int, timeout_s: int):
         self.tick, self.timeout = tick_s * _MICROS, timeout_s * _MICROS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "ids array<long>, came array<long>, went array<long>")
+        self.waiting = handle.getValueState("waiting", "ids binary, came binary, went binary")
+        self.ticks = handle.getMapState("ticks", "tick long", "depth long, oldest long")
+        self.clock = handle.getValueState("clock", "fired long, final long")
 
-    def known(self) -> pd.DataFrame:
-        held = self.waiting.get() or ([], [], [])
-        return pd.DataFrame({c: np.array(x, np.int64) for c, x in zip(("id", "came", "went"), held, strict=True)})
+    def known(self, now: int) -> pd.DataFrame:
+        """The requests, less those that no tick after ``now`` can see."""
+        held = self.waiting.get() or (b"", b"", b"")
+        rows = pd.DataFrame({c: np.frombuffer(bytes(x), np.int64) for c, x in zip(self.COLUMNS, held, strict=True)})
+        gone = ((rows["went"] > 0) & (rows["went"] <= now)) | ((rows["came"] > 0) & (now - rows["came"] > self.timeout))
+        return rows[~gone]
 
     def keep(self, rows: pd.DataFrame) -> None:
         if len(rows):
-            self.waiting.update(tuple(rows[c].tolist() for c in ("id", "came", "went")))
+            self.waiting.update(tuple(rows[c].to_numpy(np.int64).tobytes() for c in self.COLUMNS))
         else:
             self.waiting.clear()
 
+    def seen(self, rows: pd.DataFrame, now: int) -> dict[int, tuple[int, int]]:
+        """Depth and arrival of the oldest at each tick after ``now`` that sees some of the requests."""
+        came, went = rows["came"].to_numpy(), rows["went"].to_numpy()
+        came, went = came[came > 0], went[came > 0]
+        first, last = -(-came // self.tick), (came + self.timeout) // self.tick
+        parts = []
+        for step in range(int((last - first).max(initial=-1)) + 1):
+            at = (first + step) * self.tick
+            waits = (first + step <= last) & (at > now) & ((went == 0) | (went > at))
+            parts.append(pd.DataFrame({"tick": at[waits], "came": came[waits]}).groupby("tick")["came"].agg(["size", "min"]))
+        if not parts:
+            return {}
+        both = pd.concat(parts).groupby(level=0).agg({"size": "sum", "min": "min"})
+        return dict(zip(both.index.tolist(), zip(both["size"].tolist(), both["min"].tolist(), strict=True), strict=True))
+
     def handleInputRows(self, key, rows, timerValues):
-        parts = [self.known()]
+        fired, final = self.clock.get() or (0, 0)
+        held = self.known(fired)
+        parts = []
         for pdf in rows:
             at, enters = pdf["micros"].to_numpy(np.int64), (pdf["kind"] == ENTERED).to_numpy()
             parts.append(pd.DataFrame({"id": pdf["id"].to_numpy(np.int64), "came": np.where(enters, at, 0), "went": np.where(enters, 0, at)}))
-        came = np.concatenate([p["came"].to_numpy() for p in parts[1:]])
-        first = -(-came[came > 0] // self.tick)
-        last = (came[came > 0] + self.timeout) // self.tick
+        came = np.concatenate([p["came"].to_numpy() for p in parts])
+        came = came[came > 0]
+        first, last = -(-came // self.tick), (came + self.timeout) // self.tick
+        timers: set[int] = set()
         for step in range(int((last - first).max(initial=-1)) + 1):
-            for at in np.unique((first + step)[first + step <= last]).tolist():
-                self.handle.registerTimer(at * self.tick // 1000)
-        self.keep(pd.concat(parts).groupby("id", as_index=False).max())
+            timers.update(np.unique((first + step)[first + step <= last]).tolist())
+        for at in timers:
+            self.handle.registerTimer(at * self.tick // 1000)
+        both = pd.concat([held, *parts]).groupby("id", as_index=False).max()
+        before, after = self.seen(held, fired), self.seen(both, fired)
+        for at, now in after.items():
+            if before.get(at) != now:
+                self.ticks.updateValue((at,), now)
+        for at in before.keys() - after.keys():
+            self.ticks.removeKey((at,))
+        self.keep(both)
+        self.clock.update((fired, max(final, max(timers, default=0) * self.tick)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = self.known()
-        came, went = held["came"].to_numpy(), held["went"].to_numpy()
-        gone = ((went > 0) & (went <= now)) | ((came > 0) & (now - came > self.timeout))
-        waits = ~gone & (came > 0) & (came <= now)
-        if gone.any():
-            self.keep(held[~gone])
-        if waits.any():
-            yield pd.DataFrame({"queue": [key[0]], "share": [key[1]], "tick": [now], "depth": [int(waits.sum())], "oldest": [int(came[waits].min())]})
+        fired, final = self.clock.get()
+        self.clock.update((max(fired, now), final))
+        if now >= final:  # without later events, the last chance to forget
+            self.keep(self.known(now))
+        found = self.ticks.getValue((now,))
+        if found is not None:
+            self.ticks.removeKey((now,))
+            yield pd.DataFrame({"queue": [key[0]], "share": [key[1]], "tick": [now], "depth": [int(found[0])], "oldest": [int(found[1])]})
 
     def close(self) -> None:
         pass

@@ -87,7 +87,7 @@ def q_stream_queue_depth(spark, sf):
     both = F.when(went, F.array(F.struct(F.lit(J.ENTERED).alias("kind"), F.col("ts").alias("at")), F.struct(F.lit(J.LEFT).alias("kind"), (F.col("ts") + waits).alias("at"))))
     both = both.otherwise(F.array(F.struct(F.lit(J.ENTERED).alias("kind"), F.col("ts").alias("at"))))
     events = s.select("event_type", "event_id", F.explode(both).alias("e")).select("event_type", "event_id", "e.kind", "e.at")
-    out = J.stream_queue_depth(events, "event_type", "event_id", "kind", "at", TICK_S, DEPTH_TIMEOUT_S, "1 hour", shares=1)
+    out = J.stream_queue_depth(events, "event_type", "event_id", "kind", "at", TICK_S, DEPTH_TIMEOUT_S, "1 hour")
     r = J.queue_depth(J.run_available_now(out, "queue_depth", closing=[close], conf=J.ROCKSDB))
     return r.filter(F.col("queue").isNotNull()).select("queue", F.date_format("tick", "yyyy-MM-dd HH:mm:ss").alias("tick"), "queue_depth", F.round("oldest_age_s", 6).alias("oldest_age_s"))
 

@@ -4,6 +4,7 @@ the watermark and counted."""
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.streaming import jobs as J
@@ -94,6 +95,76 @@ def test_queue_depth_by_ticks(spark):
     assert metrics["late_rows_dropped"] >= 1
 
 
+class _Held:
+    """A state of a processor, and how often it was read."""
+
+    def __init__(self):
+        self.value, self.map, self.reads = None, {}, 0
+
+    def get(self):
+        self.reads += 1
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.map.pop(key, None)
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Held())
+
+    def getMapState(self, name, *schemas):
+        return self.states.setdefault(name, _Held())
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class _Expired:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def test_queue_depth_reads_a_tick_alone(spark):
+    """A timer does not read all requests that wait: they are read when events come, and at the last tick."""
+    handle, job = _Handle(), J.QueueDepth(600, 3000)
+    job.init(handle)
+    n, minute = 2000, 60_000_000
+    came = pd.DataFrame({"id": range(n), "kind": J.ENTERED, "micros": [(i + 1) * minute for i in range(n)]})
+    left = came[came["id"] % 2 == 0].assign(kind=J.LEFT, micros=lambda d: d["micros"] + 25 * minute)
+    for part in (came, left):
+        list(job.handleInputRows(("q", 0), iter([part]), None))
+    got = {}
+    for ms in sorted(handle.timers):
+        for out in job.handleExpiredTimer(("q", 0), None, _Expired(ms)):
+            got[ms // 60_000] = (int(out["depth"][0]), int(out["oldest"][0]) // minute)
+    want = {}
+    for tick in range(0, n + 51, 10):
+        stay = [m for m in range(max(1, tick - 50), min(n, tick) + 1) if m % 2 == 0 or tick < m + 25]  # id is minute - 1
+        if stay:
+            want[tick] = (len(stay), min(stay))
+    assert got == want
+    assert handle.states["waiting"].reads <= 3 and not handle.states["ticks"].map
+
+
 def test_latency_sketch_is_bounded_and_close(spark):
     """A window's state does not grow with the latencies it has seen, and the ranks stay close."""
     t0 = datetime(2024, 1, 1)
