@@ -20,6 +20,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -372,38 +373,66 @@ def stream_rate_limit(stream: DataFrame, key_col: str, ts_col: str, id_col: str,
 
 
 def stream_query_cache(stream: DataFrame, key_cols: list[str], ts_col: str, id_col: str, ttl_seconds: float,
-                       watermark_seconds: int) -> DataFrame:
-    """TTL cache with value state (last miss time of the key); state expires
-    after ttl + watermark delay of event time."""
+                       watermark_seconds: int, shares: int = 256) -> DataFrame:
+    """TTL cache: an event of a key hits if the key's last miss is less than the ttl ago.
+
+    Keys (of atomic types) are dealt to shares, so that the calls to Python don't grow with the
+    keys.  State of a share: its keys' last misses (Arrow), each kept until the watermark is the ttl past it."""
     ttl = int(ttl_seconds * 1_000_000)
-    src = stream.withColumn("_t", F.unix_micros(F.col(ts_col).cast("timestamp"))) \
-                .withWatermark(ts_col, f"{int(watermark_seconds)} seconds")
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    names = [f"_k{i}" for i in range(len(key_cols))]
+    keys = [F.col(k) + F.lit(0.0).cast(types[k]) if types[k] in ("float", "double") else F.col(k) for k in key_cols]  # one zero
+    micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    src = stream.withWatermark(ts_col, f"{int(watermark_seconds)} seconds").select(
+        F.pmod(F.xxhash64(*keys), F.lit(shares)).cast("int").alias("_share"), F.col(ts_col), *[k.cast("string").alias(n) for k, n in zip(keys, names)],
+        # numbers without nulls stay integers in pandas
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_no_id"),
+        F.coalesce(micros, F.lit(-(1 << 63))).alias("_t"), micros.isNull().alias("_no_t"))
+    held_schema = pa.schema([*[(n, pa.string()) for n in names], ("_t", pa.int64())])
+
+    def held(state) -> pd.DataFrame:
+        if not state.exists:
+            return held_schema.empty_table().to_pandas()
+        rows = pa.ipc.open_stream(bytes(state.get[0])).read_all().to_pandas()
+        return rows[rows["_t"] + ttl > state.getCurrentWatermarkMs() * 1000]
+
+    def keep(state, rows: pd.DataFrame) -> None:
+        if rows.empty:
+            if state.exists:
+                state.remove()
+            return
+        table, out = pa.Table.from_pandas(rows, held_schema, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, held_schema) as w:
+            w.write_table(table)
+        state.update((out.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int((ttl_seconds + watermark_seconds) * 1000) + 1)
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:
-            state.remove()
+            keep(state, held(state))
             return
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", id_col], kind="mergesort")
-        hits = []
-        for t in _micros(pdf["_t"]):
-            t = int(t)
-            if last is not None and t - last < ttl:
-                hits.append(True)
-            else:
-                hits.append(False)
+        known = held(state).assign(_id=0, _no_id=False, _no_t=False, _new=False)
+        rows = pd.concat([known, *[p.assign(_new=True) for p in pdfs]], ignore_index=True)
+        code = rows.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((rows["_id"], rows["_no_id"], rows["_t"], rows["_no_t"], rows["_new"], code))
+        rows, code = rows.iloc[order], code[order]
+        starts = np.append(True, code[1:] != code[:-1])
+        hits, misses, last = [], [], None
+        for begins, new, t in zip(starts.tolist(), rows["_new"].tolist(), rows["_t"].tolist()):
+            if begins:
+                last = None
+            hit = new and last is not None and t - last < ttl
+            if not hit:
                 last = t
-        state.update((last,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int((ttl_seconds + watermark_seconds) * 1000) + 1)
-        res = pd.DataFrame({id_col: pdf[id_col].to_numpy(), "hit": hits})
-        for i, k in enumerate(key_cols):
-            res[k] = key[i]
-        yield res[[id_col, *key_cols, "hit"]]
-
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out = ", ".join([f"{id_col} long"] + [f"{k} {types[k]}" for k in key_cols] + ["hit boolean"])
-    return src.groupBy(*key_cols).applyInPandasWithState(fn, out, "last_miss long", "append",
-                                                         GroupStateTimeout.EventTimeTimeout)
+            hits.append(hit)
+            misses.append(last)
+        ends = np.append(starts[1:], True)
+        keep(state, rows.assign(_t=misses)[ends][[*names, "_t"]])
+        yield rows.assign(hit=hits)[rows["_new"].to_numpy(bool)][["_id", "_no_id", *names, "hit"]]
+
+    schema = ", ".join(["_id long, _no_id boolean", *[f"{n} string" for n in names], "hit boolean"])
+    found = src.groupBy("_share").applyInPandasWithState(fn, schema, "cached binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.when(~F.col("_no_id"), F.col("_id")).alias(id_col), *[F.col(n).cast(types[k]).alias(k) for k, n in zip(key_cols, names)], "hit")
 
 
 def stream_memory(stream: DataFrame, conv_col: str, turn_col: str, tokens_col: str, max_tokens: int, ts_col: str | None = None,

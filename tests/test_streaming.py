@@ -165,6 +165,20 @@ def test_queue_depth_reads_a_tick_alone(spark):
     assert handle.states["waiting"].reads <= 3 and not handle.states["ticks"].map
 
 
+def test_query_cache_in_shares(spark):
+    """Many keys in few shares, over micro-batches: a miss is known until the ttl is over, of missing
+    keys and ids too, and keys are told apart."""
+    t0 = datetime(2024, 1, 1)
+    at = lambda m: t0 + timedelta(minutes=m)
+    rows = [("a", 1, 1, at(0), 0, False), ("a", None, 2, at(0), 0, False), ("b", 1, 3, at(1), 1, False), (None, 1, 4, at(1), 1, False),
+            ("a", 1, 5, at(4), 2, True), ("a", None, 6, at(4), 2, True), ("a", 2, 7, at(4), 2, False), (None, 1, None, at(5), 2, True),
+            ("a", 1, 8, at(5), 3, False), ("a", 1, 9, at(9), 3, True), ("b", 1, (1 << 60) + 1, at(300), 4, False), ("a", 1, 10, at(301), 5, False)]
+    df = spark.createDataFrame(rows, "kind string, user long, id long, ts timestamp, _slice int, want boolean")
+    out = J.stream_query_cache(feed(df.drop("want"), 6, "cache"), ["kind", "user"], "ts", "id", 300, 3600, shares=2)
+    got = [tuple(r) for r in J.run_available_now(out, "cache-test").select("id", "kind", "user", "hit").collect()]
+    assert sorted(got, key=str) == sorted([(i, k, u, hit) for k, u, i, _, _, hit in rows], key=str)
+
+
 def test_latency_sketch_is_bounded_and_close(spark):
     """A window's state does not grow with the latencies it has seen, and the ranks stay close."""
     t0 = datetime(2024, 1, 1)
