@@ -2,7 +2,7 @@
 
 Token shards: the packed stream (document order, documents spanning shards)
 is cut into ``shard_size`` pieces with the two-phase offsets; a task for each
-shard gets its pieces by position and streams them to the data source of
+shard, or for a run of small ones, gets its pieces by position and streams them to the data source of
 ``sources.shards``, whose commit puts the shards and ``meta.json`` in place.
 """
 
@@ -29,10 +29,22 @@ def write_jsonl(df: DataFrame, text_col: str, path: str) -> dict:
     return obs.get
 
 
+#: Ids that a task writes, about: smaller shards that follow each other share a task.
+TASK_TOKENS = 1 << 25
+
+
+def _dealt(rows: DataFrame, shards: int, shard_size: int) -> DataFrame:
+    """The rows by shard and place, each shard in one task.  Small shards share tasks once all
+    cores have one: the tasks grow with the ids, not with the shards."""
+    shards = max(1, shards)
+    tasks = min(shards, max(rows.sparkSession.sparkContext.defaultParallelism, -(-shards * shard_size // TASK_TOKENS)))
+    each = -(-shards // tasks)
+    return rows.repartitionById(-(-shards // each), F.expr(f"CAST(shard_id DIV {each} AS INT)")).sortWithinPartitions("shard_id", "start_in_shard")
+
+
 def _save_shards(rows: DataFrame, path: str, shards: int, shard_size: int, dtype: str) -> None:
-    """Write (shard_id, start_in_shard, ids, files, characters), one task a shard."""
-    dealt = rows.repartitionById(max(1, shards), F.col("shard_id").cast("int")).sortWithinPartitions("shard_id", "start_in_shard")
-    (dealt.write.format(registered(rows.sparkSession)).mode("overwrite").option("dtype", dtype)
+    """Write (shard_id, start_in_shard, ids, files, characters)."""
+    (_dealt(rows, shards, shard_size).write.format(registered(rows.sparkSession)).mode("overwrite").option("dtype", dtype)
      .option("shard_size", shard_size).option("vocab_size", TK.VOCAB_SIZE).save(path))
 
 
