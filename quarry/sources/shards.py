@@ -1,8 +1,8 @@
 """Token shards as a data source: read by byte range, written with a commit.
 
 Reading: a shard (``.bin``, flat ids; ``.npy``, one array) is cut into ranges of whole
-blocks, an input partition each, so that neither a shard nor a share of one is ever a
-row.  Writing: each task streams its shards into files of its own attempt; the commit
+blocks, so that neither a shard nor a share of one is ever a row.  A range is an input
+partition; beyond ``partitions`` of them, small ranges that follow each other share one.  Writing: each task streams its shards into files of its own attempt; the commit
 moves those of the attempts that count to ``shard_%04d.bin`` and writes ``meta.json``
 last, so that a reader who sees it sees all shards, and a failed or killed attempt
 leaves nothing behind.
@@ -31,6 +31,10 @@ META = "meta.json"
 SHARD = re.compile(r"shard_\d{4,}\.bin")
 #: Ids of a row, and bytes of an input partition, unless options say otherwise.
 BLOCK_TOKENS, PARTITION_BYTES = 1 << 20, 64 << 20
+#: Input partitions, unless an option says otherwise, before small ranges share one.
+PARTITIONS = 128
+#: Ids of a batch of rows, if blocks are smaller.
+BATCH_TOKENS = 1 << 18
 READ_SCHEMA = "path string, shard_no long, block long, start long, tokens array<long>"
 WRITE_COLUMNS = ("shard_id", "start_in_shard", "ids", "files", "characters")
 
@@ -51,7 +55,7 @@ def shard_name(n: int) -> str:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Whole blocks of a shard: bytes from ``at``, which is id ``start`` of the shard."""
 
     path: str
@@ -62,12 +66,20 @@ class Range(InputPartition):
     ids: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that follow each other."""
+
+    ranges: list[Range]
+
+
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.dtype = np.dtype(options.get("dtype", "uint32")).str
         self.block = int(options.get("block_tokens", BLOCK_TOKENS))
         self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.few = max(1, int(options.get("partitions", PARTITIONS)))
 
     def layout(self, files, info) -> tuple[str, int, int]:
         """Type of a shard's ids, its first byte of ids, and how many there are."""
@@ -94,21 +106,29 @@ class ShardReader(DataSourceReader):
             step = max(1, self.bytes // (size * self.block)) * self.block
             name = self.path.rstrip("/") + "/" + info.base_name
             out += [Range(name, no, dtype, at + size * lo, lo, min(step, n - lo)) for lo in range(0, n, step)]
-        return out
+        held = sum(r.ids * np.dtype(r.dtype).itemsize for r in out)
+        each = max(1, -(-len(out) // max(self.few, -(-held // PARTITION_BYTES))))
+        return [Ranges(out[i:i + each]) for i in range(0, len(out), each)]
+
+    def read(self, part: Ranges):
+        for r in part.ranges:
+            yield from self.rows(r)
 
-    def read(self, part: Range):
+    def rows(self, part: Range):
         files, path = store(part.path)
         size = np.dtype(part.dtype).itemsize
+        some = max(1, BATCH_TOKENS // self.block) * self.block
         with files.open_input_file(path) as f:
-            for lo in range(0, part.ids, self.block):
-                n = min(self.block, part.ids - lo)
-                f.seek(part.at + size * lo)
+            f.seek(part.at)
+            for lo in range(0, part.ids, some):
+                n = min(some, part.ids - lo)
                 ids = np.frombuffer(f.read(size * n), part.dtype).astype(np.int64)
                 if len(ids) < n:
                     raise OSError(f"{part.path} ended before id {part.start + lo + n}")
-                start = part.start + lo
-                row = {"path": pa.array([part.path]), "shard_no": pa.array([part.shard_no], pa.int64()), "block": pa.array([start // self.block], pa.int64()), "start": pa.array([start], pa.int64())}
-                yield pa.RecordBatch.from_arrays([*row.values(), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(ids))], names=[*row, "tokens"])
+                at = np.arange(0, n, self.block)
+                start = part.start + lo + at
+                row = {"path": pa.array([part.path] * len(at)), "shard_no": pa.array([part.shard_no] * len(at), pa.int64()), "block": pa.array(start // self.block), "start": pa.array(start)}
+                yield pa.RecordBatch.from_arrays([*row.values(), pa.ListArray.from_arrays(pa.array(np.append(at, n), pa.int32()), pa.array(ids))], names=[*row, "tokens"])
 
 
 @dataclass
@@ -137,7 +157,7 @@ class ShardWriter(DataSourceArrowWriter):
                 cols = [b.column(b.schema.get_field_index(c)) for c in WRITE_COLUMNS]
                 done.files += sum(cols[3].to_pylist())
                 done.characters += sum(cols[4].to_pylist())
-                for shard, start, ids in zip(*(c.to_pylist() for c in cols[:3]), strict=True):
+                for shard, start, ids in zip(cols[0].to_pylist(), cols[1].to_pylist(), cols[2], strict=True):
                     if held is None or shard != held[0]:
                         if out is not None:
                             out.close()
@@ -146,7 +166,7 @@ class ShardWriter(DataSourceArrowWriter):
                         out = files.open_output_stream(store(held[1])[1])
                     if start != held[2]:
                         raise ValueError(f"shard {shard}: ids from {start} follow {held[2]} ids")
-                    ids = np.frombuffer(ids, "<u2")
+                    ids = np.frombuffer(ids.as_buffer(), "<u2")
                     out.write(ids.astype(self.dtype).tobytes())
                     held[2] += len(ids)
             if out is not None:

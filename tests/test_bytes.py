@@ -89,6 +89,20 @@ def test_shards_hold_every_row_and_are_read_by_range(spark, tmp, dtype):
     assert [t for r in rows for t in r.tokens] == stream + extra
 
 
+def test_small_shards_share_tasks(spark, tmp):
+    """Many small shards are written and read by few tasks, block by block; large ones have tasks of their own."""
+    rows = spark.range(400).select(F.col("id").alias("shard_id"), F.lit(0).cast("bigint").alias("start_in_shard"),
+                                   F.encode(F.concat(F.char(F.col("id") % 50 + 65), F.lit("b")), "UTF-16LE").alias("ids"),
+                                   F.lit(1).alias("files"), F.lit(2).cast("bigint").alias("characters"))
+    assert SK._dealt(rows, 400, 2).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert SK._dealt(rows, 20, SK.TASK_TOKENS).rdd.getNumPartitions() == 20
+    SK._save_shards(rows, f"{tmp}/tokens", 400, 2, "uint32")
+    back = spark.read.format(SH.registered(spark)).option("block_tokens", 1).option("partition_bytes", 4).load(f"{tmp}/tokens")
+    assert back.rdd.getNumPartitions() <= SH.PARTITIONS
+    got = [(r.shard_no, r.block, r.start, r.tokens) for r in back.orderBy("shard_no", "block").collect()]
+    assert got == [(i, b, b, [i % 50 + 65 if b == 0 else 98]) for i in range(400) for b in range(2)]
+
+
 def test_a_failed_write_leaves_what_was_there(spark, tmp):
     path = f"{tmp}/tokens"
     SK.write_token_shards(as_text(spark, ROWS), path, shard_size=16)
