@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import col_, is_blank, valid_text
-from quarry.plans.layout import running_sum, segmented_fold
+from quarry.plans.layout import default_parts, running_sum, segmented_fold
 
 # The reference's special tokens, in id order (byte vocabulary
 # places them at 256 + index).
@@ -302,7 +302,8 @@ def pack_sequences(docs: DataFrame, seq_len: int, shard_size: int = DEFAULT_SHAR
     in_last = max(1, (total - last * shard_size) // seq_len)
     pieces = _window_pieces(ids_in_shards(rows, shard_size), seq_len, shard_size)
     windows = F.when(F.col("shard_id") == last, in_last).otherwise(max(1, shard_size // seq_len))
-    grouped = (pieces.filter(F.col("window") < windows).groupBy("shard_id", "window")
+    n = max(default_parts(docs), -(-total // IDS_A_TASK))
+    grouped = (pieces.filter(F.col("window") < windows).repartition(n, "shard_id", "window").groupBy("shard_id", "window")
                .agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("_p")))
     whole = F.aggregate("_p", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
     flat = grouped.select("shard_id", F.col("window").alias("seq_no"), whole.alias("_w"))
@@ -327,13 +328,24 @@ def seeded_key(seed: int, *cols) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+#: Windows that a task holds, about, while they are put in order; ids of pieces that a task gathers.
+WINDOWS_A_TASK, IDS_A_TASK = 20_000, 1 << 25
+
+
 def stream_order(windows: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
     """Seeded shard order, then seeded window order inside each shard, as a
-    global position computed block-wise (``stream_pos``, 1-based)."""
+    global position computed block-wise (``stream_pos``, 1-based).
+
+    Windows are written once; their keys alone are put in order, and meet them again in as many tasks
+    as the windows ask for."""
     from quarry.plans.layout import global_row_number
-    keyed = windows.withColumn("_a", seeded_key(seed * 1000 + epoch, "shard_id")) \
-                   .withColumn("_b", seeded_key(seed * 1000 + epoch, "shard_id", "seq_no"))
-    return global_row_number(keyed, ["_a", "_b", "shard_id", "seq_no"], "stream_pos").drop("_a", "_b")
+    from quarry.session import materialize
+    held = materialize(windows.withColumn("_row", F.monotonically_increasing_id()), "windows")
+    n = max(default_parts(held), -(-held.count() // WINDOWS_A_TASK))
+    keyed = held.select("_row", "shard_id", "seq_no", seeded_key(seed * 1000 + epoch, "shard_id").alias("_a"),
+                        seeded_key(seed * 1000 + epoch, "shard_id", "seq_no").alias("_b"))
+    places = global_row_number(keyed, ["_a", "_b", "shard_id", "seq_no"], "stream_pos").select("_row", "stream_pos")
+    return held.repartition(n, "_row").join(places, "_row").drop("_row")
 
 
 def estimate_sequences(shard_tokens: DataFrame, seq_len: int) -> DataFrame:

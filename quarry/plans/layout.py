@@ -35,7 +35,7 @@ from quarry.session import cut_lineage
 BLOCK_COL = "_blk"
 
 
-def _default_parts(df: DataFrame) -> int:
+def default_parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
@@ -54,7 +54,7 @@ def running_sum(df: DataFrame, order_cols: list[str], value_col: str | list[str]
     parts = list(partition_cols or [])
     values = [value_col] if isinstance(value_col, str) else list(value_col)
     outs = [out_col] if isinstance(out_col, str) else list(out_col)
-    n = num_blocks or _default_parts(df)
+    n = num_blocks or default_parts(df)
     ranged = df.repartitionByRange(n, *order_cols).withColumn(BLOCK_COL, F.spark_partition_id())
     if checkpoint:
         # Pins the block labels (AQE may re-plan a re-read) and cuts lineage.
@@ -116,7 +116,7 @@ def sorted_fold(df: DataFrame, key_cols: list[str], order_cols: list[str],
     one Arrow batch plus the fold state, whatever the size of a key's history (a hot
     key is sequential, but never materialised as one array or one frame).
     """
-    n = num_partitions or _default_parts(df)
+    n = num_partitions or default_parts(df)
     prepared = df.repartition(n, *key_cols).sortWithinPartitions(*key_cols, *order_cols)
     return prepared.mapInArrow(lambda batches: fold(key_starts(batches, key_cols)), schema)
 
@@ -133,7 +133,7 @@ def segmented_fold(df: DataFrame, key_cols: list[str], order_cols: list[str], ti
     with ``time_col``; a row without a time is a segment of its own.
     """
     names = df.columns
-    ranged = df.repartitionByRange(_default_parts(df), *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
+    ranged = df.repartitionByRange(default_parts(df), *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
     ranged = cut_lineage(ranged.withColumn(BLOCK_COL, F.spark_partition_id()))
     edge_cols = [*key_cols, time_col]
     edges = [T.StructField(f"{side}{i}", ranged.schema[c].dataType) for side in ("first", "last") for i, c in enumerate(edge_cols)]

@@ -340,3 +340,17 @@ def test_running_sum_with_hot_group_matches_window(spark):
     rn = global_row_number(df, ["k"], "rn", num_blocks=16)
     assert sorted(r.rn for r in rn.collect()) == list(range(1, 3001))
     assert all(r.rn == r.k + 1 for r in rn.collect())
+
+
+def test_stream_order_grows_its_tasks(spark, monkeypatch):
+    """Windows are put in order in as many tasks as they ask for, with all their columns."""
+    import hashlib
+
+    monkeypatch.setattr(TK, "WINDOWS_A_TASK", 10)
+    rows = [(s, i, [s, i]) for s in range(5) for i in range(100)]
+    got = TK.stream_order(spark.createDataFrame(rows, "shard_id long, seq_no long, input_ids array<int>"), 7)
+    assert re.search(rf"hashpartitioning\(_row#\d+L, {len(rows) // 10}\)", got._jdf.queryExecution().executedPlan().toString())
+    key = lambda *v: hashlib.md5(":".join(map(str, v)).encode()).hexdigest()
+    want = sorted(rows, key=lambda r: (key(7000, r[0]), key(7000, r[0], r[1])))
+    assert [(r.shard_id, r.seq_no, r.input_ids) for r in got.orderBy("stream_pos").collect()] == want
+    assert sorted(r.stream_pos for r in got.collect()) == [*range(1, len(rows) + 1)]
