@@ -10,6 +10,7 @@ read file content (``binaryFile`` with ``content`` pruned).
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,13 +55,30 @@ def _ext(path_col: Column) -> Column:
 
 # ------------------------------------------------------------------ listings
 
+#: Conf: tasks that list folders, at most; otherwise each of up to 10,000 folders is a task of its own.
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def shared_listing(spark: SparkSession):
+    """Folders read in this block share listing tasks, four for each core: starting a task takes
+    longer than listing a folder."""
+    before, cores = spark.conf.get(LISTING_TASKS), spark.sparkContext.defaultParallelism
+    spark.conf.set(LISTING_TASKS, min(int(before), 4 * cores))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING_TASKS, before)
+
+
 def list_files(spark: SparkSession, base: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """(path, name, ext, length, modificationTime) without reading content."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)
     try:
-        df = r.load(base)
+        with shared_listing(spark):
+            df = r.load(base)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -146,8 +164,8 @@ def read_json_text(spark: SparkSession, paths, **options) -> DataFrame:
 def read_plain_text(spark: SparkSession, paths, **options) -> DataFrame:
     """One record per file: bad bytes replaced, line ends as ``\\n``, blank files left out."""
     whole = spark.read.options(**options).text(paths, wholetext=True)
-    text = F.regexp_replace(valid_text("value"), "\r\n?", "\n")
-    return whole.select(F.col("_metadata.file_path").alias("path"), text.alias("text")).filter(~is_blank("text"))
+    some = whole.select(F.col("_metadata.file_path").alias("path"), valid_text("value").alias("value")).filter(~is_blank("value"))
+    return some.select("path", F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
 def _any_case(extensions) -> str:
@@ -182,7 +200,8 @@ def read_text_corpus(spark: SparkSession, input_dir: str | None = None, files: l
         if fs.exists(folder) and fs.getFileStatus(folder).isDirectory():
             for kind, read in kinds.items():
                 own = [kind] if kind else [e for e in TEXT_EXTENSIONS if e not in kinds]
-                found = read(spark, input_dir, recursiveFileLookup=True, pathGlobFilter=_any_case(own))
+                with shared_listing(spark):
+                    found = read(spark, input_dir, recursiveFileLookup=True, pathGlobFilter=_any_case(own))
                 parts.append(found if recursive else found.filter(in_folder(F.col("path"), folder.toString())))
     there = [f for f in files or [] for fs, p in [qualified(spark, f)] if fs.exists(p) and fs.getFileStatus(p).isFile()]
     for kind, read in kinds.items():

@@ -9,13 +9,16 @@ shard, or for a run of small ones, gets its pieces by position and streams them
 from __future__ import annotations
 
 import os
+import posixpath
+import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import tokens as TK
-from quarry.sources.shards import registered
+from quarry.sources.shards import registered, store
 
 
 def write_jsonl(df: DataFrame, text_col: str, path: str) -> dict:
@@ -29,6 +32,43 @@ def write_jsonl(df: DataFrame, text_col: str, path: str) -> dict:
     return obs.get
 
 
+def write_text_files(lines: DataFrame, path: str, file_col: str, value_col: str, order_cols: list[str]) -> int:
+    """The lines (bytes) of each file, in order, as ``path/{file_col}={file}/lines.txt``; returns how
+    many files.  ``path`` is in a store that all workers reach.  A task streams its files one
+    after the other under names that no reader sees, and renames each when it is whole."""
+    def run(batches):
+        name, out, held, n = None, None, None, 0
+
+        def close():
+            out.close()
+            files.move(held, posixpath.join(folder, "lines.txt"))
+
+        try:
+            for b in batches:
+                for of, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if out is None or of != name:
+                        if out is not None:
+                            close()
+                        name, n = of, n + 1
+                        files, folder = store(posixpath.join(path, f"{file_col}={of}"))
+                        files.create_dir(folder, recursive=True)
+                        held = posixpath.join(folder, f"_{uuid.uuid4().hex}")
+                        out = files.open_output_stream(held)
+                    out.write((line or b"") + b"\n")
+            if out is not None:
+                close()
+        finally:
+            if out is not None and not out.closed:
+                out.close()
+                files.delete_file(held)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    name = F.coalesce(F.col(file_col).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("_file")
+    rows = lines.select(name, F.col(value_col).cast("binary").alias("_value"), *order_cols)
+    dealt = rows.repartition("_file").sortWithinPartitions("_file", *order_cols).select("_file", "_value")
+    return dealt.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 #: Ids that a task writes, about: smaller shards that follow each other share a task.
 TASK_TOKENS = 1 << 25
 

@@ -106,8 +106,8 @@ def _corpus(spark, sf):
     path = scratch_path(spark, "fixtures", "corpus")
     docs = _documents(spark, sf)
     broken = F.concat(F.col("text").cast("binary"), F.lit(BAD), F.lit(b"!\r\n\rend"))
-    files = docs.select("doc_id", F.expr(f"doc_id div {DOCS_A_FILE}").alias("file"), broken.cast("string").alias("value"))
-    files.repartition("file").sortWithinPartitions("file", "doc_id").select("value", "file").write.partitionBy("file").text(path)
+    files = docs.select("doc_id", F.expr(f"doc_id div {DOCS_A_FILE}").alias("file"), broken.alias("value"))
+    SK.write_text_files(files, path, "file", "value", ["doc_id"])
     return RD.read_text_corpus(spark, path, [f"{path}/is-not-there.txt"])
 
 

@@ -8,6 +8,7 @@ import tempfile
 import pytest
 
 from quarry.sources import readers as RD
+from quarry.sources import sinks as SK
 from quarry.sources.jsonfiles import elements
 
 
@@ -104,3 +105,32 @@ def test_text_files_and_folders(spark, tmp):
 def test_jsonl_with_bad_bytes(spark, tmp):
     put(f"{tmp}/x.jsonl", b'{"text": "a\xff"}\r\n{"text": "b"} tail\n\n{"message": "c"}\r{"prompt": "d"}')
     assert sorted(r.text for r in RD.read_text_corpus(spark, files=[f"{tmp}/x.jsonl"]).collect()) == ["a�", "c", "d"]
+
+
+def test_folders_share_listing_tasks(spark, tmp):
+    """300 folders are not 300 tasks of each listing."""
+    for i in range(300):
+        put(f"{tmp}/in/d{i}/x.txt", str(i))
+    sc, before = spark.sparkContext, spark.conf.get(RD.LISTING_TASKS)
+    sc.setJobGroup("listing", "")
+    try:
+        found = RD.read_text_corpus(spark, f"{tmp}/in")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    jobs = [status.getJobInfo(j) for j in status.getJobIdsForGroup("listing")]
+    tasks = [status.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if status.getStageInfo(s)]
+    assert tasks and max(tasks) <= 4 * sc.defaultParallelism
+    assert spark.conf.get(RD.LISTING_TASKS) == before
+    assert sorted(r.text for r in found.collect()) == sorted(map(str, range(300)))
+
+
+def test_lines_of_files_are_written_as_they_are(spark, tmp):
+    rows = [(f, i, bytes([0xFF, 65 + f]) * i) for f in range(40) for i in range(5)]
+    lines = spark.createDataFrame(rows[::-1], "file long, n int, value binary")
+    assert SK.write_text_files(lines, f"{tmp}/out", "file", "value", ["n"]) == 40
+    assert SK.write_text_files(lines, f"{tmp}/out", "file", "value", ["n"]) == 40  # as by a task that runs again
+    for f in range(40):
+        assert os.listdir(f"{tmp}/out/file={f}") == ["lines.txt"]
+        with open(f"{tmp}/out/file={f}/lines.txt", "rb") as got:
+            assert got.read() == b"".join(bytes([0xFF, 65 + f]) * i + b"\n" for i in range(5))
