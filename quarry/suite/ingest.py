@@ -16,6 +16,7 @@ from quarry.operators import mixing as MX
 from quarry.operators import retrieval as R
 from quarry.operators import tokens as TK
 from quarry.plans.layout import attach_row
+from quarry.session import materialize
 from quarry.sources import readers as RD
 from quarry.sources import sinks as SK
 from quarry.sources.tables import table
@@ -117,9 +118,10 @@ def q_read_text_corpus(spark, sf):
 
 
 def q_tokenize_corpus(spark, sf):
-    # files -> texts -> shards: what the shards and their meta.json say
+    # files -> texts -> shards: what the shards and their meta.json say.  The shards' layout reads
+    # the texts more than once, but each file is opened once
     path = f"{scratch_path(spark, 'fixtures', 'corpus-shards')}/tokens"
-    SK.write_token_shards(_corpus(spark, sf), path, CORPUS_SHARD, id_col="path")
+    SK.write_token_shards(materialize(_corpus(spark, sf), "texts"), path, CORPUS_SHARD, id_col="path")
     meta = spark.read.option("multiLine", True).json(f"{path}/meta.json").select("total_tokens", "total_characters", "total_files", "num_shards")
     blocks = RD.read_token_shards(spark, path, block_tokens=1 << 16).select(F.explode("tokens").alias("id"))
     found = blocks.agg(F.count("id").alias("ids_read"), F.sum("id").alias("id_sum"), F.count_if(F.col("id") == TK.BOS_ID).alias("files_read"))

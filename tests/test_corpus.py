@@ -10,6 +10,7 @@ import pytest
 from quarry.sources import readers as RD
 from quarry.sources import sinks as SK
 from quarry.sources.jsonfiles import elements
+from quarry.suite import ingest
 
 
 @pytest.fixture()
@@ -134,3 +135,13 @@ def test_lines_of_files_are_written_as_they_are(spark, tmp):
         assert os.listdir(f"{tmp}/out/file={f}") == ["lines.txt"]
         with open(f"{tmp}/out/file={f}/lines.txt", "rb") as got:
             assert got.read() == b"".join(bytes([0xFF, 65 + f]) * i + b"\n" for i in range(5))
+
+
+def test_tokenized_texts_are_read_once(spark, tmp, monkeypatch):
+    """The shards' layout reads texts that were taken from the files before."""
+    spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp}/documents.parquet")
+    write, read = SK.write_token_shards, []
+    monkeypatch.setattr(SK, "write_token_shards", lambda docs, *a, **k: read.extend(docs.inputFiles()) or write(docs, *a, **k))
+    row = ingest.q_tokenize_corpus(spark, tmp).first()
+    assert read and all(f.endswith(".parquet") for f in read)
+    assert (row.total_files, row.files_read, row.ids_read) == (3, 3, row.total_tokens)
