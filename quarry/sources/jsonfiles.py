@@ -1,6 +1,7 @@
 """Large JSON files: their top-level elements, found by many tasks at once.
 
-A file is read as fragments between commas, which Spark splits by byte range (blocks).
+A file is read as fragments between commas, which Spark splits by byte range, and a range into
+runs of fragments (blocks).
 Whether a comma stands between two elements hangs on all that comes before: whether
 a string is open there, and how many brackets are.  For a block both are functions
 that compose: quotes change the first by their parity, and the brackets to count are
@@ -12,7 +13,8 @@ known for either state at its start.  So
    numbers the elements over all blocks,
 4. fragments of an element meet and are parsed.
 
-No task reads more than a block or an element, whatever the size of the file.  A file is
+No task reads more than some blocks or elements, whatever the size of the file: blocks are bounded,
+and the partitions they are dealt to grow with the bytes.  A file is
 one JSON value or it has no elements: what doesn't parse, or stands after the end,
 rejects the file.
 """
@@ -30,6 +32,10 @@ from quarry.session import materialize
 SPACE = " \t\n\r"
 #: Rejected files whose names are sent to all tasks; more are joined.
 REJECTED_BROADCAST = 100_000
+#: Fragments of a block, at most; bytes of a partition, about, with so many for a row besides its text.
+BLOCK_FRAGMENTS, PARTITION_BYTES, ROW_BYTES = 1 << 14, 64 << 20, 256
+#: Blocks whose states are sent to all tasks; more are joined.
+STATES_BROADCAST = 100_000
 _KEY = ("path", "_blk")
 
 
@@ -53,17 +59,26 @@ def _opened(text: Column) -> Column:
 
 
 def fragments(spark: SparkSession, paths, **options) -> DataFrame:
-    """path, _blk (where the block begins), _id (rising in a block), value (what stands between two
-    commas), _quotes, and the brackets opened if a string is closed (_out) or open (_in) at its start."""
+    """path, _blk (where its byte range begins, and the block's number, rising), _id (rising in a range),
+    value (what stands between two commas), _bytes, _code (its first character's code point, white space
+    left out), _quotes, and the brackets opened if a string is closed (_out) or open (_in) at its start."""
     raw = spark.read.options(**options, lineSep=",").text(paths)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_id"), valid_text("value").alias("value"))
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), valid_text("value").alias("value"))
     bare = F.regexp_replace("value", r"(?s)\\.", "")
     raw = raw.withColumn("_bare", bare)
-    counted = raw.select("path", "_blk", "_id", "value", _count(F.col("_bare"), '"').alias("_quotes"), _opened(F.col("_bare")).alias("_out"),
+    block = F.struct("_at", F.expr(f"_id div {BLOCK_FRAGMENTS}").alias("no"))
+    counted = raw.select("path", block.alias("_blk"), "_id", "value", F.octet_length("value").alias("_bytes"),
+                         F.ascii(F.ltrim(F.col("value"), F.lit(SPACE))).alias("_code"), _count(F.col("_bare"), '"').alias("_quotes"), _opened(F.col("_bare")).alias("_out"),
                          _opened(F.concat(F.lit('"'), "_bare")).alias("_in"))
     return materialize(counted, "fragments")
 
 
+def _partitions(rows: DataFrame) -> int:
+    """Partitions of about PARTITION_BYTES for the fragments; the session's at least."""
+    size = rows.agg(F.sum(F.col("_bytes").cast("long") + ROW_BYTES)).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
 def _in_block() -> Window:
     return Window.partitionBy(*_KEY).orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -72,6 +87,7 @@ def _with_state(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """rows with _open (whether a string is open after the fragment), _depth (open brackets there) and
     _cut (whether the comma after it stands between two elements).  starts: by block, _odd and _level."""
     w = _in_block()
+    starts = bounded_broadcast(starts, STATES_BROADCAST)
     known = rows.join(starts.withColumnRenamed("path", "_p").withColumnRenamed("_blk", "_b"), (F.col("path") == F.col("_p")) & (F.col("_blk") == F.col("_b"))).drop("_p", "_b")
     known = known.withColumn("_seen", F.col("_odd") + F.sum("_quotes").over(w))
     inside = (F.col("_seen") - F.col("_quotes")) % 2 == 1
@@ -84,7 +100,8 @@ def elements(spark: SparkSession, paths, **options) -> DataFrame:
     """(path, is_array, element_no, text): the elements of arrays, or whole objects, of the files that are
     one JSON value.  ``text`` is the element's JSON."""
     rows = fragments(spark, paths, **options)
-    slim = rows.select("path", "_blk", "_id", "_quotes", "_out", "_in")
+    n = _partitions(rows)
+    slim = rows.select("path", "_blk", "_id", "_quotes", "_out", "_in").repartition(n, *_KEY)
     odd = F.sum("_quotes").over(_in_block()) - F.col("_quotes")
     states = slim.withColumn("_odd", odd % 2)
     blocks = states.groupBy(*_KEY).agg(F.sum("_quotes").alias("_quotes"),
@@ -94,7 +111,8 @@ def elements(spark: SparkSession, paths, **options) -> DataFrame:
     starts = blocks.withColumn("_odd", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
     starts = starts.withColumn("_gain", F.when(F.col("_odd") == 0, F.col("_out")).otherwise(F.col("_in")))
     starts = starts.withColumn("_level", F.coalesce(F.sum("_gain").over(before), F.lit(0)))
-    roots = rows.filter("_blk = 0").groupBy("path").agg(F.min_by(F.substring(F.ltrim(F.col("value"), F.lit(SPACE)), 1, 1), "_id").alias("_root"))
+    roots = rows.filter("_blk._at = 0").groupBy("path").agg(F.min_by("_code", "_id").alias("_root"))
+    roots = roots.withColumn("_root", F.when(F.col("_root") == ord("["), "[").when(F.col("_root") == ord("{"), "{").otherwise(""))
     starts = materialize(starts.join(roots, "path").select("path", "_blk", "_odd", "_level", "_root"), "blocks")
 
     counts = _with_state(slim, starts).groupBy(*_KEY).agg(F.count_if("_cut").alias("_cuts"), F.max_by("_open", "_id").alias("_open"), F.max_by("_depth", "_id").alias("_depth"))
@@ -102,10 +120,10 @@ def elements(spark: SparkSession, paths, **options) -> DataFrame:
     counts = materialize(counts.join(starts, list(_KEY)), "elements")
     files = counts.groupBy("path").agg(F.max(F.col("_first") + F.col("_cuts")).alias("_last"), F.max_by(F.col("_open") | (F.col("_depth") != 0), "_blk").alias("_torn"))
 
-    numbered = _with_state(rows, counts.select("path", "_blk", "_odd", "_level", "_root", "_first"))
+    numbered = _with_state(rows.drop("_bytes", "_code").repartition(n, *_KEY), counts.select("path", "_blk", "_odd", "_level", "_root", "_first"))
     number = F.col("_first") + F.sum(F.col("_cut").cast("long")).over(_in_block()) - F.col("_cut").cast("long")
     parts = numbered.select("path", number.alias("element_no"), F.struct("_blk", "_id", "value").alias("_f"), "_root")
-    whole = parts.groupBy("path", "element_no").agg(F.sort_array(F.collect_list("_f")).alias("_f"), F.first("_root").alias("_root"))
+    whole = parts.repartition(n, "path", "element_no").groupBy("path", "element_no").agg(F.sort_array(F.collect_list("_f")).alias("_f"), F.first("_root").alias("_root"))
     whole = whole.select("path", "element_no", "_root", F.btrim(F.array_join(F.transform("_f", lambda f: f["value"]), ","), F.lit(SPACE)).alias("text"))
     whole = whole.join(bounded_broadcast(files, REJECTED_BROADCAST), "path")
     is_array, first, last = F.col("_root") == "[", F.col("element_no") == 0, F.col("element_no") == F.col("_last")

@@ -7,6 +7,7 @@ import tempfile
 
 import pytest
 
+from quarry.sources import jsonfiles
 from quarry.sources import readers as RD
 from quarry.sources import sinks as SK
 from quarry.sources.jsonfiles import elements
@@ -145,3 +146,20 @@ def test_tokenized_texts_are_read_once(spark, tmp, monkeypatch):
     row = ingest.q_tokenize_corpus(spark, tmp).first()
     assert read and all(f.endswith(".parquet") for f in read)
     assert (row.total_files, row.files_read, row.ids_read) == (3, 3, row.total_tokens)
+
+
+def test_blocks_are_small_and_partitions_grow_with_bytes(spark, tmp, monkeypatch):
+    """A range of bytes is many blocks, dealt to more partitions than the session's if it is large."""
+    items = [["a,b", '"[', i] if i % 3 else {"text": f"{i},{{", "n": [1, [2, i]]} for i in range(3000)]
+    put(f"{tmp}/in/one.json", json.dumps(items))
+    put(f"{tmp}/in/two.json", json.dumps({"text": "x,y"}))
+    put(f"{tmp}/in/three.json", "\u015b1, 2]")  # its first character's code is that of a bracket, and 256
+    monkeypatch.setattr(jsonfiles, "BLOCK_FRAGMENTS", 64)
+    monkeypatch.setattr(jsonfiles, "PARTITION_BYTES", 1 << 14)
+    rows = jsonfiles.fragments(spark, f"{tmp}/in")
+    assert rows.groupBy("path", "_blk").count().agg({"count": "max"}).first()[0] <= 64
+    assert jsonfiles._partitions(rows) == -(-rows.selectExpr(f"sum(_bytes + {jsonfiles.ROW_BYTES})").first()[0] // (1 << 14)) > 50
+    found = elements(spark, f"{tmp}/in").collect()
+    one = {r.element_no: json.loads(r.text) for r in found if r.path.endswith("one.json")}
+    assert [one[i] for i in range(len(one))] == items
+    assert [r.text for r in found if not r.path.endswith("one.json")] == ['{"text": "x,y"}']
