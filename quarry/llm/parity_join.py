@@ -18,7 +18,10 @@ size//3 + 1 least whole shingles; two such sets share one of those.
 
 Verify.  Sets that share keys are buckets.  Each bucket's sets are compared with
 its first; then each with the likeliest of every other component in the bucket; then
-all that are still not linked through others.  A pair is dropped if its sizes, or the
+all that are still not linked through others.  Buckets with the same first set are
+dealt together, a row for each of their sets with the names of its buckets, so that
+a sketch is sent once for them all (once a share of SHARE places in buckets, if the
+first set has more).  A pair is dropped if its sizes, or the
 bits in which its bit sketches (a parity bit for each of once to twice as many places
 as shingles) differ, rule the similarity out; what is left is compared exactly, on the shingles of both texts.  Links that join
 two parts of one component already are not looked for, as components are the result.
@@ -49,6 +52,8 @@ SHINGLE = 5
 LOOKED_AT, COMMON = 4, 1000
 #: Sets compared with each other at a time, within a bucket.
 BLOCK = 256
+#: Places in buckets, of a first set, that are dealt together.
+SHARE = 1 << 14
 #: Bits of the sieve that keeps texts no pair needs from being shuffled (log 2).
 SIEVE = 26
 
@@ -188,7 +193,8 @@ def sketched(texts: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
 
 
 def buckets(keys: DataFrame, parts: int) -> DataFrame:
-    """_b, _set: sets that share a key; buckets of the same sets are one."""
+    """_a, _set, _bs: the sets that share a key (_bs: names of buckets) with others of which _a is
+    the least; buckets of the same sets are one."""
     def run(batches):
         key, own = [], []
         for b in batches:
@@ -219,9 +225,11 @@ def buckets(keys: DataFrame, parts: int) -> DataFrame:
         keep = np.zeros(len(n), bool)
         keep[which] = True
         rows = np.repeat(keep, n)
-        yield pa.RecordBatch.from_arrays([signed(np.repeat(name, n)[rows]), signed(own[rows])], names=["_b", "_set"])
+        least = np.minimum.reduceat(own.view(np.int64), r[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(least, n)[rows]), signed(np.repeat(name, n)[rows]), signed(own[rows])], names=["_a", "_b", "_set"])
 
-    return keys.repartitionById(parts, F.col("_q")).mapInArrow(run, "_b long, _set long").distinct()
+    rows = keys.repartitionById(parts, F.col("_q")).mapInArrow(run, "_a long, _b long, _set long")
+    return rows.groupBy("_a", "_set").agg(F.collect_set("_b").alias("_bs"))
 
 
 def sieve(ids: DataFrame) -> np.ndarray:
@@ -324,7 +332,7 @@ def by_width(bits: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def star_of(own, root, size, bits):
-    """(a, root of b, b, apart) of a bucket's least set a and all others."""
+    """(a, root of a, b, apart) of the least set a of buckets and all others in them."""
     first = int(own.argmin())
     its = np.frombuffer(bits[first], np.uint64).reshape(1, -1)
     for mine, whole in by_width(bits):
@@ -353,20 +361,44 @@ def rest_of(own, root, size, bits):
                     yield own[a], root[b], own[b], apart[i, j]
 
 
+def rest_of_all(own, root, size, bits, bucket, at):
+    """What rest_of yields for the buckets (``at``: the places of each one's sets), or for all sets at once
+    if these make fewer pairs."""
+    order = np.lexsort((at, bucket))
+    bucket, at = bucket[order], at[order]
+    g = runs(bucket)
+    if len(own) ** 2 <= (np.diff(g) ** 2).sum():
+        yield from rest_of(own, root, size, bits)
+        return
+    for lo, hi in zip(g[:-1].tolist(), g[1:].tolist(), strict=True):
+        mine = at[lo:hi]
+        if root[mine].min() < root[mine].max():
+            yield from rest_of(own[mine], root[mine], size[mine], [bits[i] for i in mine.tolist()])
+
+
 def bucket_pairs(rows: DataFrame, stars: bool) -> DataFrame:
     """a, r, bs: for a set and another component (least set r) of its bucket, the sets
-    of that one that may be similar, the likeliest first.  rows: _b, _set, _root,
-    n_shingles, _bits; stars: pairs with the bucket's least set only."""
+    of that one that may be similar, the likeliest first.  rows: _a, _share, _set, _root,
+    n_shingles, _bits, _bs; stars: pairs with the buckets' least set only (no _bs)."""
     def run(batches):
         held = None
 
         def flush(rows):
-            g = runs(rows["_b"].to_numpy())
+            g = runs(rows["_a"].to_numpy(), rows["_share"].to_numpy())
             own, root, size = (rows[c].to_numpy() for c in ("_set", "_root", "n_shingles"))
             bits = rows["_bits"].to_pylist()
+            if not stars:
+                lists = rows["_bs"].combine_chunks()
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                bucket = lists.flatten().to_numpy()
             found = [np.zeros((4, 0), np.int64)]
             for lo, hi in zip(g[:-1].tolist(), g[1:].tolist(), strict=True):
-                found += [np.stack(x) for x in (star_of if stars else rest_of)(own[lo:hi], root[lo:hi], size[lo:hi], bits[lo:hi])]
+                group = own[lo:hi], root[lo:hi], size[lo:hi], bits[lo:hi]
+                if stars:
+                    found += [np.stack(x) for x in star_of(*group)]
+                else:
+                    at = np.repeat(np.arange(hi - lo), np.diff(ends[lo:hi + 1]))
+                    found += [np.stack(x) for x in rest_of_all(*group, bucket[ends[lo]:ends[hi]], at)]
             a, r, b, apart = np.unique(np.concatenate(found, 1), axis=1)
             order = np.lexsort((b, apart, r, a))
             a, r, b = a[order], r[order], b[order]
@@ -375,23 +407,29 @@ def bucket_pairs(rows: DataFrame, stars: bool) -> DataFrame:
 
         for b in batches:
             held = pa.concat_tables([held, pa.Table.from_batches([b])]) if held is not None else pa.Table.from_batches([b])
-            name = held["_b"].to_numpy()
-            cut = int((name != name[-1]).sum()) if len(name) else 0
+            name, share = held["_a"].to_numpy(), held["_share"].to_numpy()
+            cut = int(((name != name[-1]) | (share != share[-1])).sum()) if len(name) else 0
             if cut:
                 yield flush(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
             yield flush(held)
 
-    dealt = rows.select("_b", "_set", "_root", "n_shingles", "_bits").repartition(F.col("_b")).sortWithinPartitions("_b")
+    columns = ["_a", "_share", "_set", "_root", "n_shingles", "_bits"] + ["_bs"] * (not stars)
+    dealt = rows.select(columns).repartition(F.col("_a"), F.col("_share")).sortWithinPartitions("_a", "_share")
     return dealt.mapInArrow(run, "a long, r long, bs array<long>")
 
 
 def unlinked(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets whose sets are in different components so far, with _root."""
+    """The rows of least sets whose buckets' sets are in different components so far, with _root, and a
+    row for each _share of their buckets."""
     rows = found.join(grown(labels), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
-    apart = rows.groupBy("_b").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).filter("lo < hi").select("_b")
-    return rows.join(grown(apart), "_b")
+    of_a = Window.partitionBy("_a")
+    rows = rows.withColumn("_lo", F.min("_root").over(of_a)).withColumn("_hi", F.max("_root").over(of_a)).withColumn("_n", F.sum(F.size("_bs")).over(of_a))
+    shares = F.expr(f"1 + _n div {SHARE}")
+    rows = rows.filter("_lo < _hi").withColumn("_of", F.transform("_bs", lambda b: F.pmod(b, shares)))
+    rows = rows.withColumn("_share", F.explode(F.array_distinct("_of")))
+    return rows.withColumn("_bs", F.filter("_bs", lambda b: F.pmod(b, shares) == F.col("_share"))).select("_a", "_share", "_set", "_root", "_bs")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -404,7 +442,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = materialize(buckets(sketched(texts, common, parts), parts), "buckets")
     bits = texts.select("_set", "n_shingles", "_bits").join(grown(found.select("_set").distinct()), "_set", "left_semi").dropDuplicates(["_set"])
     bits = materialize(bits, "bits")
-    stars = bucket_pairs(found.join(bits, "_set").withColumn("_root", F.col("_set")), True)
+    firsts = found.select("_a", "_set").join(bits, "_set").withColumn("_root", F.col("_set")).withColumn("_share", F.lit(0))
+    stars = materialize(bucket_pairs(firsts, True), "candidates")  # linked() reads its pairs twice
     links = materialize(linked(stars.select("a", F.explode("bs").alias("b")).distinct(), texts), "stars")
     labels = components(links)
     more = bucket_pairs(unlinked(found, labels).join(bits, "_set"), False)  # tasks have much the same lists

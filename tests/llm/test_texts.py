@@ -90,6 +90,54 @@ def test_near_duplicates(spark, common, monkeypatch):
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+def variants(spark, many=24):
+    """Near copies of two texts, their changed words adding up, so that they share many keys and not all link."""
+    import random
+    rand, rows = random.Random(5), []
+    for _ in range(2):
+        words = [f"w{rand.randrange(10**6)}" for _ in range(300)]
+        for _ in range(many):
+            for i in rand.sample(range(300), rand.choice((1, 2, 5, 20))):
+                words[i] = f"w{rand.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_near_duplicates_send_a_sketch_once(spark, monkeypatch):
+    """Sets that share many buckets are dealt once for all buckets with the same least set, in both passes."""
+    dealt, pairs = [], parity_join.bucket_pairs
+
+    def counted(rows, stars):
+        dealt.append((rows.count(), rows.select("_set").distinct().count()))
+        return pairs(rows, stars)
+
+    monkeypatch.setattr(parity_join, "bucket_pairs", counted)
+    parity_join.near_duplicates(variants(spark, 16)).collect()
+    assert len(dealt) == 2
+    assert all(0 < n <= 10 * sets for n, sets in dealt)
+
+
+def test_near_duplicates_reads_pairs_once(spark, monkeypatch):
+    """The sieve and the join with the texts read pairs that were written, and don't make them twice."""
+    plans, linked = [], parity_join.linked
+
+    def planned(pairs, texts):
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return linked(pairs, texts)
+
+    monkeypatch.setattr(parity_join, "linked", planned)
+    parity_join.near_duplicates(variants(spark, 4)).collect()
+    assert len(plans) == 3 and not any("MapInArrow" in p for p in plans)
+
+
+def test_near_duplicates_in_shares(spark, monkeypatch):
+    df = variants(spark, 12)
+    want = {r.doc_id: r.component_id for r in parity_join.near_duplicates(df).collect()}
+    assert 2 < len(set(want.values())) < len(want)
+    monkeypatch.setattr(parity_join, "SHARE", 20)
+    assert {r.doc_id: r.component_id for r in parity_join.near_duplicates(df).collect()} == want
+
+
 def test_near_duplicates_edge_rows(spark, edge, empty):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in parity_join.near_duplicates(edge).collect()}
     assert got[0, 0] == 0 and got[1, 0] == 1 and got[2, 0] == 2  # without words: on their own
